@@ -6,9 +6,9 @@ import re
 
 _TIME = r"(?:\d{1,3}:)?\d{1,2}:\d{1,2}[.,:]\d{1,3}"
 #: A cue's head: an optional line with its number, then the line with its times.
-_HEAD = re.compile(rf"(?:^|\n)[ \t﻿]*(?:\d+[ \t]*\n[ \t]*)?{_TIME}[ \t]*-->[^\n]*")
+_HEAD = re.compile(rf"(?:^|\n)[ \t\ufeff]*(?:\d+[ \t]*\n[ \t]*)?{_TIME}[ \t]*-->[^\n]*")
 _TAGS = re.compile(r"<[^<>\n]{0,80}>|\{[^{}\n]{0,80}\}")
-_SOUNDS = re.compile(r"\[[^\[\]]{0,120}\]|\([^()]{0,120}\)|♪[^♪]{0,120}♪|^[ \t﻿]*WEBVTT[^\n]*", re.MULTILINE)
+_SOUNDS = re.compile(r"\[[^\[\]]{0,120}\]|\([^()]{0,120}\)|♪[^♪]{0,120}♪|^[ \t\ufeff]*WEBVTT[^\n]*", re.MULTILINE)
 #: Adverts of subtitle makers: a cue with a web address.
 _ADVERT = re.compile(r"\bwww\.|https?:|\b[a-z0-9-]{3,}\.(?:example|invalid|com|net|org|info|tv)\b", re.IGNORECASE)
 

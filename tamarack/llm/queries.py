@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamarack.llm import leakage, mixing
+from tamarack.llm import abuse, leakage, mixing, mojibake
 from tamarack.sources.tables import table
 
 
+def _damaged(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.damaged_fields(mojibake.form_texts(table(spark, d, "form_control"), table(spark, d, "form_content")))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _damaged(spark, d).select("record_kind", "record_id", "field_name").distinct()
+
+
+def p5_restored(spark: SparkSession, d: str) -> DataFrame:
+    return _damaged(spark, d)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_item")).select("doc_id", "item_id")
 
@@ -26,5 +38,18 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.actual_shares(p9_mix(spark, d), table(spark, d, "source_weight"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p8_found, p8_runs, p9_mix, p9_shares)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.found_content(abuse.content_scores(table(spark, d, "documents")))
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.content_scores(table(spark, d, "documents"))
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return abuse.content_rates(documents, abuse.content_scores(documents))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_restored, p8_found, p8_runs, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
 ORACLES: dict[str, str] = {}
