@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: the characters that count as outer blanks of a name.
-BLANKS = " \t\r\n 　"
+BLANKS = " \t\r\n\u00a0\u3000"
 
 
 def strip(c: Column) -> Column:

@@ -91,15 +91,15 @@ def sql_sources(text: str | None) -> list[str]:
 
 
 def _key(name: str) -> str:
-    name = name.strip(" \t\r\n 　")
+    name = name.strip(" \t\r\n \u3000")
     if len(name) >= 2 and name[0] == "[" and name[-1] == "]":
-        name = name[1:-1].strip(" \t\r\n 　")
+        name = name[1:-1].strip(" \t\r\n \u3000")
     return name.lower()
 
 
 def field_ref(text: str | None) -> list[str]:
     """[object key or '', field key] of a control source; [] for empty texts and expressions."""
-    text = (text or "").strip(" \t\r\n 　")
+    text = (text or "").strip(" \t\r\n \u3000")
     if not text or text.startswith("="):
         return []
     dot = -1

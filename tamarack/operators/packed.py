@@ -12,7 +12,7 @@ from tamarack.functions.names import strip
 
 #: Characters that separate values, and blanks around them.
 SEPARATORS = ";,|\t\r\n；，"
-BLANK = "  　"
+BLANK = " \u00a0\u3000"
 CLOSER = {'"': '"', "'": "'", "[": "]"}
 
 

@@ -35,7 +35,7 @@ BLOCK = 8192
 
 def attribute_key(c: Column) -> Column:
     """Attribute name in lower case without blanks and underscores."""
-    return F.regexp_replace(F.lower(c), r"[\s_ 　]+", "")
+    return F.regexp_replace(F.lower(c), r"[\s_ \u3000]+", "")
 
 
 def _hex(v: Column) -> Column:
