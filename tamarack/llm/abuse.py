@@ -143,41 +143,45 @@ def train_linear(rows: list[list[int]], target: np.ndarray, weight: np.ndarray,
     return w
 
 
-def _score(models: dict[str, np.ndarray], doc_type: pa.DataType):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bias = [m[-1] for m in models.values()]
-        names = list(models)
-        table = np.stack([m[:-1] for m in models.values()], 1)
-        # only features with weight are looked up; words are hashed once a task
-        heavy = np.abs(table).max(1) > 1e-3
-        known: dict[str, tuple] = {}
-        crc = zlib.crc32
-
-        def weigh(key: str):
-            h = crc(key.encode()) & (WIDTH - 1)
-            v = (h, *table[h]) if heavy[h] else None
-            if len(known) < 500_000:
-                known[key] = v
-            return v
+def _weights(model: np.ndarray, sentences: list[str], least: float = 1e-3) -> tuple[dict, dict]:
+    """Weights of the words and of the pairs of words that occur in the training sentences: word -> w, first -> second -> w."""
+    words: dict[str, float] = {}
+    pairs: dict[str, dict[str, float]] = {}
+    for s in sentences:
+        ws = s.split()
+        for w in ws:
+            if abs(v := model[zlib.crc32(w.encode()) & (WIDTH - 1)]) > least:
+                words[w] = float(v)
+        for a, b in zip(ws, ws[1:]):
+            if abs(v := model[zlib.crc32(f"{a} {b}".encode()) & (WIDTH - 1)]) > least:
+                pairs.setdefault(a, {})[b] = float(v)
+    return words, pairs
+
+
+def _score(models: dict[str, tuple[float, dict, dict]], doc_type: pa.DataType):
+    names = list(models)
+    bias = [models[c][0] for c in names]
+    words: dict[str, tuple] = {}
+    pairs: dict[str, dict[str, tuple]] = {}
+    for w in {w for c in names for w in models[c][1]}:
+        words[w] = tuple(models[c][1].get(w, 0.0) for c in names)
+    for a in {a for c in names for a in models[c][2]}:
+        seconds = {b for c in names for b in models[c][2].get(a, ())}
+        pairs[a] = {b: tuple(models[c][2].get(a, {}).get(b, 0.0) for c in names) for b in seconds}
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, follow = words.get, pairs.get
         for batch in batches:
             best = [[] for _ in names]
-            for text in batch.column(1):
+            for text in batch.column(1).to_pylist():
                 low = [-99.0] * len(names)
-                for s in (text.as_py() or "").split("\n"):
+                for s in set((text or "").split("\n")):
                     ws = s.split()
-                    sums = list(bias)
-                    used = set()
-                    last = None
-                    for w in ws:
-                        for key in (w, f"{last} {w}") if last is not None else (w,):
-                            v = known[key] if key in known else weigh(key)
-                            if v is not None and v[0] not in used:
-                                used.add(v[0])
-                                for k in range(len(sums)):
-                                    sums[k] += v[k + 1]
-                        last = w
-                    for k, z in enumerate(sums):
+                    hits = {w: v for w in ws if (v := get(w)) is not None}
+                    for a, b in zip(ws, ws[1:]):
+                        if (f := follow(a)) is not None and (v := f.get(b)) is not None:
+                            hits[a, b] = v
+                    for k, z in enumerate(map(sum, zip(bias, *hits.values()))):
                         if z > low[k]:
                             low[k] = z
                 for k, z in enumerate(low):
@@ -187,6 +191,19 @@ def _score(models: dict[str, np.ndarray], doc_type: pa.DataType):
     return run
 
 
+def _some(rows: DataFrame, number: int, columns: list[str]) -> list:
+    """At most ``number`` rows, those of the smallest hashes; all of them where there are no more.
+
+    The rows are counted and thinned by hash before they are sorted, so the
+    parts of the sort stay in proportion to ``number``.
+    """
+    lot = F.xxhash64(*[F.col(c) for c in rows.columns])
+    every = rows.count()
+    if every > 2 * number:
+        rows = rows.filter(F.pmod(lot, F.lit(1_000_000)) < math.ceil(2_000_000 * number / every))
+    return rows.orderBy(lot, *columns).limit(number).select(*columns).collect()
+
+
 def _pa_type(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
 
@@ -208,29 +225,26 @@ def content_scores(documents: DataFrame, train_sentences: int = TRAIN_SENTENCES)
     for r in said.filter("category <> ''").groupBy("category", "votes").agg(F.count("*").alias("n")).collect():
         counted[r["category"]][r["votes"]] = r["n"]
     half = train_sentences // 2
-    lots = F.xxhash64("sentence", "place", "doc_id")
     weights = {}
-    plain_rows = [r["sentence"] for r in scanned.filter("quiet is not null").select(F.col("quiet").alias("sentence"), F.lit(0).alias("place"), "doc_id").orderBy(lots).limit(half // 2).select("sentence").collect()]
-    near_rows = [(r["category"], r["sentence"]) for r in said.filter("category = '' or votes not like '%+%'").orderBy(lots).limit(half // 2).select("category", "sentence").collect()]
-    voted = {k: [r["sentence"] for r in said.filter((F.col("category") == k) & F.col("votes").contains("+")).orderBy(lots).limit(half // 4).select("sentence").collect()] for k in V.CATEGORIES}
+    plain_rows = [r["sentence"] for r in _some(scanned.filter("quiet is not null").select("doc_id", F.col("quiet").alias("sentence")), half // 2, ["sentence"])]
+    near_rows = [(r["category"], r["sentence"]) for r in _some(said.filter("category = '' or votes not like '%+%'").select("doc_id", "place", "category", "sentence"), half // 2, ["category", "sentence"])]
+    voted = {c: _some(said.filter((F.col("category") == c)).select("doc_id", "place", "votes", "sentence"), half, ["votes", "sentence"]) for c in V.CATEGORIES}
     for c in V.CATEGORIES:
-        names, signs = [v[0] for v in V.VOTERS[c]], [v[2] for v in V.VOTERS[c]]
-        model = LabelModel(names, signs)
+        model = LabelModel([v[0] for v in V.VOTERS[c]], [v[2] for v in V.VOTERS[c]])
         if counted[c]:
             model.fit(dict(counted[c]))
-        own = said.filter(F.col("category") == c).orderBy(lots).limit(half).select("votes", "sentence").collect()
-        rows = [(r["sentence"], model.posterior(r["votes"])) for r in own]
+        rows = [(r["sentence"], model.posterior(r["votes"])) for r in voted[c]]
         mine = {s for s, _ in rows}
         rows += [(s, 0.0) for s in plain_rows] + [(s, 0.0) for k, s in near_rows if k != c and s not in mine]
         # what speaks for another category alone is no case of this one
-        rows += [(s, 0.0) for k in V.CATEGORIES if k != c for s in voted[k] if s not in mine]
+        rows += [(r["sentence"], 0.0) for k in V.CATEGORIES if k != c for r in voted[k][: half // 4] if "+" in r["votes"] and r["sentence"] not in mine]
         target = np.array([p for _, p in rows])
         positive = max(target.sum(), 1.0)
         balance = np.where(target > 0.5, max(1.0, (len(rows) - positive) / positive / 16), 1.0)
-        weights[c] = train_linear([features(s) for s, _ in rows], target, balance)
+        linear = train_linear([features(s) for s, _ in rows], target, balance)
+        weights[c] = (float(linear[-1]), *_weights(linear, [s for s, _ in rows]))
     out = f"doc_id {kind}, " + ", ".join(f"{c} double" for c in V.CATEGORIES)
-    scored = scanned.select("doc_id", "plain").mapInArrow(_score(weights, _pa_type(kind)), out)
-    return scored
+    return scanned.select("doc_id", "plain").mapInArrow(_score(weights, _pa_type(kind)), out)
 
 
 def found_content(scores: DataFrame, threshold: float = 0.5) -> DataFrame:

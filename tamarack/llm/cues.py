@@ -10,7 +10,7 @@ _HEAD = re.compile(rf"(?:^|\n)[ \t\ufeff]*(?:\d+[ \t]*\n[ \t]*)?{_TIME}[ \t]*-->
 _TAGS = re.compile(r"<[^<>\n]{0,80}>|\{[^{}\n]{0,80}\}")
 _SOUNDS = re.compile(r"\[[^\[\]]{0,120}\]|\([^()]{0,120}\)|♪[^♪]{0,120}♪|^[ \t\ufeff]*WEBVTT[^\n]*", re.MULTILINE)
 #: Adverts of subtitle makers: a cue with a web address.
-_ADVERT = re.compile(r"\bwww\.|https?:|\b[a-z0-9-]{3,}\.(?:example|invalid|com|net|org|info|tv)\b", re.IGNORECASE)
+_ADVERT = re.compile(r"\.(?<=[a-zA-Z0-9]\.)(?:example|invalid|com|net|org|info|tv)\b|\bhttps?://", re.IGNORECASE)
 
 
 def dialogue(text: str, adverts: bool = False) -> list[str]:
@@ -18,15 +18,10 @@ def dialogue(text: str, adverts: bool = False) -> list[str]:
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     cues = _HEAD.split(text)
-    out = []
-    for cue in cues:
-        if not adverts and "." in cue and _ADVERT.search(cue):
-            continue
-        if "<" in cue or "{" in cue:
-            cue = _TAGS.sub("", cue)
-        if "[" in cue or "(" in cue or "♪" in cue or "WEBVTT" in cue:
-            cue = _SOUNDS.sub(" ", cue)
-        cue = cue.strip()
-        if cue:
-            out.append(cue)
-    return out
+    if not adverts and _ADVERT.search(text):
+        cues = [c for c in cues if "." not in c or not _ADVERT.search(c)]
+    if "<" in text or "{" in text:
+        cues = [_TAGS.sub("", c) if "<" in c or "{" in c else c for c in cues]
+    if "[" in text or "(" in text or "\u266a" in text or "WEBVTT" in text:
+        cues = [_SOUNDS.sub(" ", c) for c in cues]
+    return [c for c in map(str.strip, cues) if c]

@@ -77,14 +77,16 @@ TRIGGERS = frozenset(INSULTS) | frozenset(SCORN) | frozenset(DEGRADING) | frozen
     amour begged fuck fucked fucking kissed slid caressed grabbed stroked sucked lechait embrassa lamio beso kusste leckte bare clothes ropa zog knees faziam orgasmic""".split()
 )
 
-_ZERO = dict.fromkeys(map(ord, "\u200b\u200c\u200d\u2060\ufeff\u00ad\u200e\u200f"))
+_UNSEEN = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad\u200e\u200f]")
+_LEAD = re.compile("[\u00c2-\u00c5\u00d0\u00d1\u00e2\u00e3]")
+_OTHER = re.compile("[\u0250-\u1dff\u2c00-\ud7ff\uf900-\ufb00]")
 _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[.\-_*·][^\W_]){2,}(?![^\W_])")
 _LONG = re.compile(r"([a-z])\1{2,}")
 _WORD = re.compile(r"[^\W_]+(?:[@$*!+][^\W_]+)*|[@$][^\W_]+(?:[@$*!][^\W_]+)*")
 _LEET = str.maketrans("0134579@$!+", "oieastgasit")
 _LEET_L = str.maketrans("0134579@$!+", "oleastgaslt")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+(?=[^\W_]|[-–—¡¿\"“«(@$])|\n\s*\n")
-_LATIN = str.maketrans({"ß": "ss", "œ": "oe", "æ": "ae", "ø": "o", "ł": "l", "đ": "d", "ı": "i"})
+_LATIN = str.maketrans({"\u2019": "'", "ß": "ss", "œ": "oe", "æ": "ae", "ø": "o", "ł": "l", "đ": "d", "ı": "i"})
 _UTF8 = re.compile("[\u0080-ÿŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]{2,}")
 _CP1251 = re.compile("[ГВвРС][\u00a0-¿Ђ-џ‚-›€™Ґґ№]")
 
@@ -102,7 +104,8 @@ def _recode(m: re.Match) -> str:
 
 def readable(text: str) -> str:
     """``text`` with runs of UTF-8 read as a Western code page, or pairs of it read as a Cyrillic one, put right."""
-    text = _UTF8.sub(_recode, text)
+    if _LEAD.search(text):
+        text = _UTF8.sub(_recode, text)
     if _CP1251.search(text):
         def pair(m: re.Match) -> str:
             try:
@@ -115,6 +118,8 @@ def readable(text: str) -> str:
 
 
 def _fold(word: str) -> str:
+    if not _OTHER.search(word):
+        return unicodedata.normalize("NFKD", word.translate(_LATIN) if "\u00df" in word or "\u0153" in word or "\u00f8" in word or "\u0142" in word or "\u00e6" in word else word.replace("\u2019", "'")).encode("ascii", "ignore").decode()
     return "".join(c for c in unicodedata.normalize("NFKD", word.translate(_LATIN)) if not unicodedata.combining(c))
 
 
@@ -148,7 +153,7 @@ def plain(text: str) -> list[str]:
     letters repeated three times and more, digits and signs for letters, one
     masked letter, and UTF-8 read as a Western or Cyrillic code page.
     """
-    low = text.lower() if text.isascii() else readable(text.translate(_ZERO)).lower()
+    low = text.lower() if text.isascii() else readable(_UNSEEN.sub("", text)).lower()
     if not low.isascii():
         low = _fold(low)
     low = _SPACED.sub(lambda m: re.sub(r"[.\-_*·]", "", m.group()), low)
