@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarack.operators import drift, forms_tree, hierarchy, nested, orphans, packed, widen
+from tamarack.queries.oracles import ORACLES
 from tamarack.sources.tables import table
 
 
@@ -71,4 +72,5 @@ def p7_wide(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_schema, p2_controls, p3_found, p4_found, p4_layout, p6_found, p6_counts, p7_found, p7_wide)}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
