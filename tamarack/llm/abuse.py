@@ -125,10 +125,14 @@ def features(sentence: str) -> list[int]:
 
 
 def train_linear(rows: list[list[int]], target: np.ndarray, weight: np.ndarray, rounds: int = 150, rate: float = 0.5, ridge: float = 1e-5) -> np.ndarray:
-    """Logistic regression on soft labels by adaptive gradient steps; the last entry is the bias."""
-    lengths = np.array([len(r) for r in rows])
-    flat = np.concatenate([np.array(r, dtype=np.int64) for r in rows]) if len(rows) else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(rows)), lengths)
+    """Logistic regression on soft labels by adaptive gradient steps; the last entry is the bias.  Without rows nothing scores high."""
+    if not rows:
+        w = np.zeros(WIDTH + 1)
+        w[-1] = -5.0
+        return w
+    lengths = np.array([len(r) for r in rows], dtype=np.int64)
+    flat = np.concatenate([np.array(r, dtype=np.int64) for r in rows])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int64), lengths)
     w = np.zeros(WIDTH + 1)
     seen = np.full(WIDTH + 1, 1e-8)
     total = max(weight.sum(), 1.0)

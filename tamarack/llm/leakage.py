@@ -27,8 +27,8 @@ BLOCK_WORDS = 2_000_000
 #: Anchors within every stretch that must be found.
 ANCHORS = 3
 #: Letters that character recognition confuses count as one, punctuation separates, apostrophes vanish.
-_ONE = bytes.maketrans(b"1i|0bfc!", b"lllohtel")
-_KEEP = set(b"abcdefghijklmnopqrstuvwxyz0123456789|!")
+_ONE = bytes.maketrans(b"1i|0bfc", b"lllohte")
+_KEEP = set(b"abcdefghijklmnopqrstuvwxyz0123456789|")
 _TABLE = bytes((_ONE[c] if c in _KEEP else 32) for c in range(256))
 _DIGITS = set(b"0123456789lo")
 _WIDE = re.compile("[぀-鿿가-힯]|[Ͱ-῿]{2,}")

@@ -6,7 +6,7 @@ the fraction is drawn with the cube method: fractional inclusion
 probabilities move along the null space of the balancing constraints (tokens
 and documents of the source) until all but two are 0 or 1.  The flight runs in
 blocks of bounded size; what each block leaves flies on together, and the last
-few are landed by rounding.
+two are landed by giving up one constraint after the other.
 """
 
 from __future__ import annotations
@@ -92,14 +92,24 @@ def fly(units: list[list], rng: random.Random) -> list[list]:
     return active
 
 
-def land(rest: list[list]) -> None:
-    """Landing: the 0/1 choice of the few undecided units whose tokens come nearest the expected ones, changed in place."""
-    if not rest:
-        return
-    want = sum(x[1] * x[2] for x in rest)
-    best = min(range(1 << len(rest)), key=lambda m: (abs(sum(x[1] for k, x in enumerate(rest) if m >> k & 1) - want), m))
-    for k, x in enumerate(rest):
-        x[2] = float(best >> k & 1)
+def land(rest: list[list], rng: random.Random) -> None:
+    """Landing of the at most two undecided units, changed in place: the number of documents is given up first, then the tokens.
+
+    Two units move along (tokens of the other, -own tokens), which keeps the
+    expected tokens, until one is decided; the last is drawn.  Inclusion
+    probabilities stay as they are, and a source misses its tokens by less
+    than one document.
+    """
+    if len(rest) == 2:
+        a, b = rest
+        u = (float(b[1]), -float(a[1])) if a[1] or b[1] else (1.0, -1.0)
+        up = min(((1 - x[2]) if d > 0 else x[2]) / abs(d) for x, d in zip(rest, u) if d)
+        down = min((x[2] if d > 0 else (1 - x[2])) / abs(d) for x, d in zip(rest, u) if d)
+        step = up if rng.random() * (up + down) < down else -down
+        for x, d in zip(rest, u):
+            x[2] = min(1.0, max(0.0, x[2] + step * d))
+    for x in rest:
+        x[2] = 1.0 if x[2] > 1 - EPS or (x[2] > EPS and rng.random() < x[2]) else 0.0
 
 
 def _block(seed: int):
@@ -118,7 +128,8 @@ def _rest(seed: int):
     def run(table: pa.Table) -> pa.Table:
         order = table.sort_by([("doc_id", "ascending")])
         units = [list(x) for x in zip(order.column("doc_id").to_pylist(), order.column("n_tokens").to_pylist(), order.column("pi").to_pylist())]
-        land(fly(units, random.Random(f"{seed}:{order.column('source')[0].as_py()}:rest")))
+        rng = random.Random(f"{seed}:{order.column('source')[0].as_py()}:rest")
+        land(fly(units, rng), rng)
         return pa.table({"doc_id": order.column("doc_id"), "source": order.column("source"), "n_tokens": order.column("n_tokens"), "whole": order.column("whole"), "pi": pa.array([u[2] for u in units], pa.float64())})
 
     return run

@@ -45,6 +45,10 @@ def _bytes(word: str, read: str) -> bytes | None:
     try:
         return word.encode(read)
     except UnicodeEncodeError:
+        if read == "gbk":
+            # its later form gives private-use characters to more pairs of bytes
+            wide = word.encode("gb18030", "surrogatepass")
+            return wide if len(wide) == sum(1 if c.isascii() else 2 for c in word) else None
         if read not in ("cp1252", "cp1250", "cp1251"):
             return None
     out = bytearray()
@@ -149,12 +153,13 @@ def backward(word: str) -> list[tuple[str, str, float]]:
 
 def forward(word: str) -> list[tuple[str, str, float]]:
     """What lossy channels turn a word into: channel, garbled form, evidence."""
-    out: dict[str, tuple[str, float]] = {}
+    out: dict[tuple[str, str], float] = {}
 
     def add(channel: str, garbled: str, evidence: float) -> None:
         garbled = garbled.strip(" ")
-        if garbled and garbled != word and garbled not in out:
-            out[garbled] = (channel, evidence)
+        if garbled and garbled != word:
+            # a word of lost characters alone could be anything
+            out.setdefault((channel, garbled), evidence if garbled.strip(LOST + "?") else -9.0)
 
     for written in WRITTEN:
         try:
@@ -172,11 +177,13 @@ def forward(word: str) -> list[tuple[str, str, float]]:
                 add(channel, "".join(c for c in kept if c != LOST and not "\x80" <= c <= "\x9f").replace("\xa0", " "), 0.5)
             else:
                 add(channel, raw.decode(read, "replace"), 1.0)
+                if read == "gbk":
+                    add(channel, raw.decode("gb18030", "replace"), 1.0)
                 if read != "utf-8":
                     add(channel, raw.decode(read, "ignore"), 0.5)
     add("ascii", word.encode("ascii", "replace").decode(), 0.5)
     add("holes", "".join(c if c.isascii() else LOST for c in word), 0.5)
-    return [(c, g, e) for g, (c, e) in out.items()]
+    return [(c, g, e) for (c, g), e in out.items()]
 
 
 def _lattice_udf(fn):
