@@ -61,6 +61,7 @@ def tokenize(text: str | None, decimal_comma: bool = False) -> list[str]:
 def split_packed(df: DataFrame, text_col: str, decimal_comma_col: str | None = None) -> DataFrame:
     """All columns of ``df`` plus item_no (from 1) and item_text, one row per value.
 
+    Columns of ``df`` that have these names already are replaced.
     Rows whose text is null or blank give none.  Tokenizing runs in Arrow
     batches; rows never move between partitions.
     """
@@ -72,8 +73,9 @@ def split_packed(df: DataFrame, text_col: str, decimal_comma_col: str | None = N
     values.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
     udf = F.pandas_udf(values, "array<string>")
     commas = F.col(decimal_comma_col) if decimal_comma_col else F.lit(False)
-    rows = df.filter(strip(F.col(text_col)) != "").withColumn("__values", udf(F.col(text_col), commas))
-    return rows.select(*[F.col(f"`{c}`") for c in df.columns], F.posexplode("__values").alias("__pos", "item_text")).withColumn("item_no", (F.col("__pos") + 1).cast("int")).drop("__pos")
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("item_no", "item_text")]
+    rows = df.filter(strip(F.col(text_col)) != "").select(F.struct(*kept).alias("__row"), udf(F.col(text_col), commas).alias("__values"))
+    return rows.select("__row", F.posexplode("__values").alias("__pos", "item_text")).select("__row.*", "item_text", (F.col("__pos") + 1).cast("int").alias("item_no"))
 
 
 def packed_fields(controls: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ def stitch(cells: DataFrame, entity: list[str], columns: dict[str, str]) -> Data
     most BLOCK entities and as many rows per column, whatever the skew.
     Entities without any cell don't appear.
     """
-    cells = settle(cells)
+    cells = settle(cells.select(*entity, "attr_name", "cell_value"))
     numbered = cells.join(ordinals(cells, entity), entity)
     names = list(columns)
     index = {n: k for k, n in enumerate(names)}

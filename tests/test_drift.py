@@ -78,3 +78,8 @@ def test_unite(spark):
     assert sorted(map(tuple, rows)) == [(1, "x", None), (2, None, 3.5)]
     with pytest.raises(ValueError):
         drift.unite([], [("k", "bigint")])
+
+
+def test_extra_columns(spark):
+    df = files(spark, {"t": [("a", "Text")]}, {"t": [("a", "Text"), ("b", "INT")]}).selectExpr("*", "1 as rank", "'x' as kind", "2 as next_no", "'y' as left_name")
+    assert [r["change_kind"] for r in drift.schema_changes(df).collect()] == ["added"]

@@ -52,3 +52,8 @@ def test_reasons(spark):
 
 def test_empty(spark):
     assert run(spark) == set()
+
+
+def test_extra_columns_and_null_rows(spark):
+    frames = [spark.createDataFrame([], CONTROL + ", kind string, name string, reason string"), spark.createDataFrame([(1, "a", None, "lost", None, None, D(5), None, "k"), (None,) * 9], FORM + ", kind string"), spark.createDataFrame([(None,) * 6], OBJECT + ", kind string"), spark.createDataFrame([(None,) * 6], FIELD + ", known boolean")]
+    assert {tuple(r) for r in orphans.form_orphans(*frames).collect()} == {("record_source", 1, "missing", "2024-05")}

@@ -50,3 +50,9 @@ def test_packed_fields(spark):
     got = {tuple(r) for r in packed.packed_fields(spark.createDataFrame(rows, schema)).collect()}
     assert got == {(1, "link_child_fields", 1, "a"), (1, "link_child_fields", 2, "b"), (1, "column_widths", 1, "1,5cm"), (1, "column_widths", 2, "2"), (1, "row_source", 1, "x")}
     assert packed.packed_fields(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_clashing_columns_are_replaced(spark):
+    df = spark.createDataFrame([(9, "old", "a;b", 1)], "item_no int, item_text string, t string, __pos int")
+    rows = packed.split_packed(df, "t").orderBy("item_no").collect()
+    assert [(r["item_no"], r["item_text"], r["__pos"]) for r in rows] == [(1, "a", 1), (2, "b", 1)]

@@ -58,3 +58,8 @@ def test_ordinals_are_dense(spark):
 
 def test_empty(spark):
     assert widen.form_attributes(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_extra_columns(spark):
+    df = spark.createDataFrame([(1, "form", 5, "Width", "10", D(1), "x", 3, 4)], SCHEMA + ", attr_name string, ordinal int, cell_value int")
+    assert widen.form_attributes(df).first()["width"] == 10
