@@ -146,7 +146,7 @@ def mix(sizes: DataFrame, weights: DataFrame, total_tokens: float | None = None,
     tokens are never chosen; documents of sources outside the plan neither.
     """
     plan = weights.filter("target_share > 0 and source is not null").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap")).filter("cap > 0")
-    known = settle(sizes.filter("n_tokens > 0 and source is not null and doc_id is not null"))
+    known = settle(sizes.select("doc_id", "source", "n_tokens").filter("n_tokens > 0 and source is not null and doc_id is not null"))
     have = known.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     # one row per source of the plan; the plan's length bounds what is collected
     rows = have.join(plan, "source").collect()

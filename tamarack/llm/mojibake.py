@@ -298,5 +298,5 @@ def form_texts(controls: DataFrame, forms: DataFrame) -> DataFrame:
 
 def damaged_fields(fields: DataFrame) -> DataFrame:
     """record_kind, record_id, field_name, text, restored, channels, complete of every field whose text was decoded wrongly."""
-    fields = settle(fields)
+    fields = settle(fields.select("record_kind", "record_id", "field_name", "text"))
     return fields.join(restore_texts(fields), "text").select("record_kind", "record_id", "field_name", "text", "restored", "channels", "complete")

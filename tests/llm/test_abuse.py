@@ -92,3 +92,9 @@ def test_linear_model_generalises():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert abuse.content_scores(df).count() == 0
+
+
+def test_extra_columns(spark):
+    df = spark.createDataFrame([(1, "Hello there.", "s", 1.0, "x")], "doc_id long, text string, source string, abuse double, plain string")
+    scores = abuse.content_scores(df)
+    assert scores.columns == ["doc_id", "abuse", "hate", "sexual"] and abuse.content_rates(df, scores).first()["n_docs"] == 1

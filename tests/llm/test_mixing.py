@@ -82,3 +82,9 @@ def test_token_counts(spark):
     docs = spark.createDataFrame([(1, "s", "hello world"), (2, "s", None), (3, None, ""), (4, "s", "<|endoftext|>")], "doc_id long, source string, text string")
     got = {r["doc_id"]: r["n_tokens"] for r in mixing.token_counts(docs).collect()}
     assert got[1] == 2 and got[2] == 0 and got[3] == 0 and got[4] > 1
+
+
+def test_extra_columns(spark):
+    sizes = spark.createDataFrame([(1, "a", 10, 0.5, 7), (2, "a", 30, 0.5, 7)], SIZES + ", rate double, block int")
+    plan = spark.createDataFrame([("a", 1.0, 1, 5)], PLAN + ", tokens int")
+    assert sorted(tuple(r) for r in mixing.mix(sizes, plan).collect()) == [(1, "a", 10, 1), (2, "a", 30, 1)]
