@@ -173,7 +173,6 @@ def leaked_items(documents: DataFrame, items: DataFrame, least: float = 0.5, blo
     Items are taken in blocks of ``block_words`` words, one pass over the
     corpus each, so what a task holds is bounded.
     """
-    spark = documents.sparkSession
     doc_type = documents.schema["doc_id"].dataType.simpleString()
     result = None
     block: list[tuple[int, list[bytes]]] = []
@@ -187,7 +186,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, least: float = 0.5, blo
         index = settle(documents.select("doc_id", "text").mapInArrow(_index(vocabulary, near_words(vocabulary), schema), f"doc_id {doc_type}, terms array<int>, places array<int>"))
         counts = {r["term"]: r["n"] for r in index.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
         anchors = anchors_of(coded, counts, least)
-        rare = spark.createDataFrame([(sorted(anchors),)], "a array<int>").first()["a"] if anchors else []
+        rare = sorted(anchors)
         near = index.filter(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in rare]))) if 0 < len(rare) <= 2000 else index
         part = near.mapInArrow(_intersect(coded, anchors, least), f"doc_id {doc_type}, item_id bigint, run_words int, item_words int")
         result = part if result is None else result.unionByName(part)
