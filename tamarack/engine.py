@@ -6,8 +6,8 @@ import hashlib
 import itertools
 import threading
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +16,7 @@ from tamarack.plans.ast import Select
 from tamarack.plans.compiler import Column, Compiler, normal, unique
 from tamarack.plans.lexer import AccessSqlError
 from tamarack.plans.parser import parse
+from tamarack.sources.tables import listing
 from tamarack.sources.tables import table as read_table
 
 _serial = itertools.count(1)
@@ -86,9 +87,9 @@ class Engine:
 
     def tables(self) -> list[str]:
         names = {k: n for k, (n, _) in self._sources.items()}
-        if self.folder and Path(self.folder).is_dir():
-            for p in Path(self.folder).glob("*.parquet"):
-                names.setdefault(p.stem.lower(), p.stem)
+        if self.folder:
+            for name, *_ in listing(self.spark, self.folder):
+                names.setdefault(name.lower(), name)
         return [names[k] for k in sorted(names)]
 
     def views(self) -> list[str]:
@@ -193,9 +194,25 @@ class Engine:
         out = compiler.select(stmt, None)
         return self.spark.sql(out.sql, args=compiler.args) if compiler.args else self.spark.sql(out.sql)
 
-    def rows(self, sql: str, params: dict[str, object] | None = None) -> Iterator[tuple]:
-        """Rows one by one, a partition at a time."""
+    @contextmanager
+    def running(self, tag: str | None = None):
+        """A slot of the engine's bounded concurrency; jobs started within carry ``tag``, by which ``interrupt`` stops them."""
         with self.slots:
+            if tag:
+                self.spark.addTag(tag)
+            try:
+                yield self
+            finally:
+                if tag:
+                    self.spark.removeTag(tag)
+
+    def interrupt(self, tag: str) -> None:
+        """Stop the running jobs of a tag."""
+        self.spark.interruptTag(tag)
+
+    def rows(self, sql: str, params: dict[str, object] | None = None, tag: str | None = None) -> Iterator[tuple]:
+        """Rows one by one, a partition at a time."""
+        with self.running(tag):
             for row in self.query(sql, params).toLocalIterator():
                 yield tuple(row)
 

@@ -5,7 +5,8 @@ a name and a type, tied to their left and right neighbours.  Pairs of columns
 carry a match score that starts from name and type likeness and flows to the
 pairs of their neighbours until it has converged; the best consistent pairs
 are the correspondences.  Only pairs that share a name, or a neighbour's name,
-are built, at most three for each column, so the pair graph stays linear.
+are built, at most three for each column, so the pair graph stays linear.  The
+columns of one table in one file are sorted together: Access allows 255.
 """
 
 from __future__ import annotations
@@ -145,8 +146,7 @@ def schema_changes(schemas: DataFrame) -> DataFrame:
     changes = settle(_table_changes(columns))
     key = ["db_name", "file_no", "table_name"]
     kept = changes.filter("change_kind is null").select(*key)
-    pairs = settle(flooded_pairs(columns, kept))
-    matches = settle(column_matches(pairs))
+    matches = settle(column_matches(flooded_pairs(columns, kept)))
     types = matches.filter("same and old_kind <> new_kind").select(*key, F.col("new_col_name").alias("col_name"), F.lit("type_changed").alias("change_kind"), F.col("old_col_name").alias("old_name"), F.col("old_kind").alias("old_type"), F.col("new_kind").alias("new_type"), "score")
     renames = matches.filter("not same and old_kind = new_kind and old_left_name = new_left_name and old_right_name = new_right_name")
     renamed = renames.select(*key, F.col("new_col_name").alias("col_name"), F.lit("renamed").alias("change_kind"), F.col("old_col_name").alias("old_name"), F.col("old_kind").alias("old_type"), F.col("new_kind").alias("new_type"), "score")

@@ -259,3 +259,27 @@ def test_pager(db):
     p.close()
     with pytest.raises(PageError):
         p.page(1)
+
+
+def test_interrupt(db):
+    import threading
+    import time
+
+    caught = []
+
+    def slow():
+        try:
+            with db.running("slow-one"):
+                db.query("SELECT Count(*) AS n FROM hbl a, hbl b, hbl c, hbl d, hbl e, hbl f, hbl g, hbl h, hbl i, hbl j, hbl k, hbl l, hbl m WHERE a.id + b.id + c.id + d.id + e.id + f.id + g.id + h.id + i.id + j.id + k.id + l.id + m.id > 64").collect()
+        except Exception as error:  # noqa: BLE001
+            caught.append(error)
+
+    t = threading.Thread(target=slow)
+    t.start()
+    for _ in range(100):
+        time.sleep(0.3)
+        db.interrupt("slow-one")
+        if not t.is_alive():
+            break
+    t.join(60)
+    assert caught and not t.is_alive()
