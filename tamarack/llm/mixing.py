@@ -162,9 +162,18 @@ def mix(sizes: DataFrame, weights: DataFrame, total_tokens: float | None = None,
     out = f"doc_id {doc_type}, source string, n_tokens long, whole long, pi double"
     flown = settle(units.groupBy("source", "block").applyInArrow(_block(seed), out))
     open_ = (F.col("pi") > 0) & (F.col("pi") < 1)
-    # at most two documents a block are left
-    landed = flown.filter(open_).groupBy("source").applyInArrow(_rest(seed), out)
-    chosen = flown.filter(~open_).unionByName(landed)
+    chosen, rest = flown.filter(~open_), flown.filter(open_)
+    # at most two documents a block are left; where they are many, they fly on in blocks before the last flight
+    level, left = 0, rest.count()
+    while left > block_docs:
+        level += 1
+        again = rest.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.lit(-(-left // block_docs)))).select("doc_id", "source", "n_tokens", "whole", "pi", "block")
+        flown = settle(again.groupBy("source", "block").applyInArrow(_block(seed + level), out))
+        chosen, rest = chosen.unionByName(flown.filter(~open_)), flown.filter(open_)
+        before, left = left, rest.count()
+        if left == before:
+            break
+    chosen = chosen.unionByName(rest.groupBy("source").applyInArrow(_rest(seed), out))
     return chosen.select("doc_id", "source", "n_tokens", (F.col("whole") + F.round("pi")).cast("int").alias("n_repeats")).filter("n_repeats > 0")
 
 

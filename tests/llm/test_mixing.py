@@ -84,6 +84,14 @@ def test_token_counts(spark):
     assert got[1] == 2 and got[2] == 0 and got[3] == 0 and got[4] > 1
 
 
+def test_leftovers_fly_on(spark):
+    r = random.Random(8)
+    sizes = spark.createDataFrame([(k, "ab"[k % 2], r.randrange(20, 900)) for k in range(3000)], SIZES)
+    plan = spark.createDataFrame([("a", 0.7, 1), ("b", 0.3, 1)], PLAN)
+    rows = mixing.mix(sizes, plan, block_docs=20).collect()
+    assert len({x["doc_id"] for x in rows}) == len(rows) and abs(shares(rows)["b"] - 0.3) < 0.005
+
+
 def test_extra_columns(spark):
     sizes = spark.createDataFrame([(1, "a", 10, 0.5, 7), (2, "a", 30, 0.5, 7)], SIZES + ", rate double, block int")
     plan = spark.createDataFrame([("a", 1.0, 1, 5)], PLAN + ", tokens int")
