@@ -137,3 +137,21 @@ r AS (SELECT owner_kind, owner_id, attr, recorded_at, prop_row_id, CASE
 SELECT owner_kind, owner_id, attr AS attr_name, arg_max(cell, (recorded_at, prop_row_id)) AS cell_value FROM r WHERE cell IS NOT NULL GROUP BY ALL""",
 }
 ORACLES["p6_counts"] = f"SELECT ref_field, reason, period_month, count(*) AS n_orphans FROM ({ORACLES['p6_found']}) GROUP BY ALL"
+ORACLES["p1_paths"] = f"""WITH RECURSIVE {_PARENTS},
+credited AS (SELECT unnest(CASE WHEN looped THEN path[1:list_position(path, cur)] ELSE path END) AS x FROM ends),
+sizes AS (SELECT x, count(*) AS n FROM credited GROUP BY 1),
+steps AS (SELECT id, unnest(path) AS node, generate_subscripts(path, 1) AS k FROM ends WHERE NOT looped),
+names AS (SELECT s.id, string_agg(trim(coalesce(d.ctl_name, ''), e' \\t\\r\\n'), '/' ORDER BY s.k DESC) AS path_text FROM steps s JOIN d ON d.control_id = s.node GROUP BY 1)
+SELECT e.id, par.parent_id, CASE WHEN looped THEN list_min(e.path[list_position(e.path, cur):]) ELSE cur END AS root_id, CAST(CASE WHEN looped THEN -1 ELSE len(e.path) - 1 END AS INTEGER) AS depth,
+       names.path_text AS path, sizes.n AS subtree_size, looped AND list_position(e.path, cur) = 1 AS on_loop
+FROM ends e JOIN par ON par.control_id = e.id JOIN sizes ON sizes.x = e.id LEFT JOIN names ON names.id = e.id"""
+
+
+def _wide() -> str:
+    from tamarack.operators.widen import ATTRIBUTES, SPARK_TYPES
+
+    cells = [f"CAST(max(cell_value) FILTER (WHERE attr_name = '{n}') AS {SPARK_TYPES[k].replace('string', 'VARCHAR')}) AS \"{n}\"" for k, names in ATTRIBUTES.items() for n in names]
+    return f"SELECT owner_kind, owner_id, {', '.join(cells)} FROM ({ORACLES['p7_found']}) GROUP BY ALL"
+
+
+ORACLES["p7_wide"] = _wide()
