@@ -86,8 +86,25 @@ def _table_changes(columns: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [rest_gone, rest_came, renamed, kept])
 
 
-def flooded_pairs(columns: DataFrame, kept: DataFrame) -> DataFrame:
-    """Scored pairs of columns of the tables in both files.
+KEY = ["db_name", "file_no", "table_name"]
+SIDE = ["kind", "left_name", "right_name", "rank"]
+
+
+def aligned(columns: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row per column name of the tables in both files, with what is known of it in the older and the newer file."""
+    tables = kept.select(*KEY)
+    side = F.struct(*SIDE)
+    old = columns.filter("next_no is not null").select("db_name", F.col("next_no").alias("file_no"), "table_name", "col_name", side.alias("old"), F.lit(None).cast(side_type(columns)).alias("new"))
+    new = columns.filter("prev_no is not null").select(*KEY, "col_name", F.lit(None).cast(side_type(columns)).alias("old"), side.alias("new"))
+    return settle(old.unionByName(new).join(tables, KEY).groupBy(*KEY, "col_name").agg(F.max("old").alias("old"), F.max("new").alias("new")))
+
+
+def side_type(columns: DataFrame) -> str:
+    return columns.select(F.struct(*SIDE).alias("s")).schema["s"].dataType.simpleString()
+
+
+def flooded_pairs(columns: DataFrame) -> DataFrame:
+    """Scored pairs of columns, from ``aligned`` names: each name with itself, and gone with come columns that share a neighbour.
 
     A pair's neighbours are the pairs one column to the left and one to the
     right on both sides, which lie on one diagonal of the table's pair matrix:
@@ -95,22 +112,19 @@ def flooded_pairs(columns: DataFrame, kept: DataFrame) -> DataFrame:
     (1 - FLOW) * own + FLOW * mean(neighbours), a contraction, so after
     log(EPSILON) / log(FLOW) rounds the scores have converged to EPSILON.
     """
-    key = ["db_name", "file_no", "table_name"]
-    side = ["col_name", "kind", "left_name", "right_name", "rank"]
-    tables = kept.select(*key)
-    old = columns.filter("next_no is not null").select("db_name", F.col("next_no").alias("file_no"), "table_name", *[F.col(c).alias(f"old_{c}") for c in side]).join(tables, key)
-    new = columns.filter("prev_no is not null").select(*key, *[F.col(c).alias(f"new_{c}") for c in side]).join(tables, key)
-    full = settle(old.join(new.withColumn("old_col_name", F.col("new_col_name")), [*key, "old_col_name"], "full"))
-    same = full.filter("old_rank is not null and new_rank is not null")
-    gone = full.filter("new_rank is null").select(*key, *[f"old_{c}" for c in side])
-    came = full.filter("old_rank is null").select(*key, *[f"new_{c}" for c in side])
-    by_left = gone.join(came.withColumn("old_left_name", F.col("new_left_name")), [*key, "old_left_name"])
-    by_right = gone.join(came.withColumn("old_right_name", F.col("new_right_name")), [*key, "old_right_name"])
-    cols = [*key, *[f"{s}_{c}" for s in ("old", "new") for c in side]]
+    flat = lambda df, which, name: [F.col(name).alias(f"{which}_col_name"), *[F.col(f"{which}.{c}").alias(f"{which}_{c}") for c in SIDE]]
+    same = columns.filter("old is not null and new is not null").select(*KEY, *flat(columns, "old", "col_name"), *flat(columns, "new", "col_name"))
+    gone = columns.filter("new is null").select(*KEY, *flat(columns, "old", "col_name"))
+    came = columns.filter("old is null").select(*KEY, *flat(columns, "new", "col_name"))
+    by_left = gone.join(came.withColumn("old_left_name", F.col("new_left_name")), [*KEY, "old_left_name"])
+    by_right = gone.join(came.withColumn("old_right_name", F.col("new_right_name")), [*KEY, "old_right_name"])
+    cols = same.columns
     near = by_left.select(*cols).union(by_right.select(*cols)).distinct()
     likeness = 1 - F.levenshtein("old_col_name", "new_col_name") / F.greatest(F.length("old_col_name"), F.length("new_col_name"), F.lit(1))
-    pairs = same.select(*cols).union(near).withColumn("own", 0.6 * likeness + 0.4 * (F.col("old_kind") == F.col("new_kind")).cast("double")).withColumn("score", F.col("own"))
-    line = Window.partitionBy(*key, F.col("new_rank") - F.col("old_rank")).orderBy("old_rank")
+    pairs = same.union(near).withColumn("own", 0.6 * likeness + 0.4 * (F.col("old_kind") == F.col("new_kind")).cast("double")).withColumn("score", F.col("own"))
+    # the diagonal is a column of its own: as an expression every window would sort by another one
+    pairs = pairs.withColumn("diagonal", F.col("new_rank") - F.col("old_rank"))
+    line = Window.partitionBy(*KEY, "diagonal").orderBy("old_rank")
     edge = lambda a, b, mark: ((F.col(a) == mark) & (F.col(b) == mark)).cast("double")
     rounds, error = 0, 1.0
     while error > EPSILON:
@@ -124,12 +138,20 @@ def flooded_pairs(columns: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def column_matches(pairs: DataFrame) -> DataFrame:
-    """Consistent correspondences: pairs that are the best of both their columns, ties to the first by position."""
-    key = ["db_name", "file_no", "table_name"]
-    best_new = F.row_number().over(Window.partitionBy(*key, "old_col_name").orderBy(F.desc("same"), F.desc("score"), "new_rank"))
-    best_old = F.row_number().over(Window.partitionBy(*key, "new_col_name").orderBy(F.desc("same"), F.desc("score"), "old_rank"))
-    marked = pairs.withColumn("same", F.col("old_col_name") == F.col("new_col_name"))
-    return marked.withColumn("a", best_new).withColumn("b", best_old).filter("a = 1 and b = 1").drop("a", "b")
+    """Consistent correspondences, with ``same`` for a kept name.
+
+    A kept name is its own match; of the other pairs, which hold no kept name,
+    those that are the best of both their columns, ties to the first by position.
+    """
+    marked = settle(pairs.withColumn("same", F.col("old_col_name") == F.col("new_col_name")))
+    best_new = F.row_number().over(Window.partitionBy(*KEY, "old_col_name").orderBy(F.desc("score"), "new_rank"))
+    best_old = F.row_number().over(Window.partitionBy(*KEY, "new_col_name").orderBy(F.desc("score"), "old_rank"))
+    others = marked.filter("not same").withColumn("a", best_new).withColumn("b", best_old).filter("a = 1 and b = 1").drop("a", "b")
+    return marked.filter("same").unionByName(others)
+
+
+#: The rule a match of different names must meet to be a rename.
+RENAME = "not same and old_kind = new_kind and old_left_name = new_left_name and old_right_name = new_right_name"
 
 
 def schema_changes(schemas: DataFrame) -> DataFrame:
@@ -144,18 +166,14 @@ def schema_changes(schemas: DataFrame) -> DataFrame:
     """
     columns = settle(_columns(schemas))
     changes = settle(_table_changes(columns))
-    key = ["db_name", "file_no", "table_name"]
-    kept = changes.filter("change_kind is null").select(*key)
-    matches = settle(column_matches(flooded_pairs(columns, kept)))
-    types = matches.filter("same and old_kind <> new_kind").select(*key, F.col("new_col_name").alias("col_name"), F.lit("type_changed").alias("change_kind"), F.col("old_col_name").alias("old_name"), F.col("old_kind").alias("old_type"), F.col("new_kind").alias("new_type"), "score")
-    renames = matches.filter("not same and old_kind = new_kind and old_left_name = new_left_name and old_right_name = new_right_name")
-    renamed = renames.select(*key, F.col("new_col_name").alias("col_name"), F.lit("renamed").alias("change_kind"), F.col("old_col_name").alias("old_name"), F.col("old_kind").alias("old_type"), F.col("new_kind").alias("new_type"), "score")
-    old = columns.filter("next_no is not null").select("db_name", F.col("next_no").alias("file_no"), "table_name", "col_name", F.col("kind").alias("old_type")).join(kept, key)
-    new = columns.filter("prev_no is not null").select(*key, "col_name", F.col("kind").alias("new_type")).join(kept, key)
-    full = old.join(new, [*key, "col_name"], "full").filter("old_type is null or new_type is null")
-    moved = renames.select(*key, F.col("old_col_name").alias("col_name")).union(renames.select(*key, "new_col_name"))
-    single = full.join(moved, [*key, "col_name"], "left_anti").select(*key, "col_name", F.when(F.col("old_type").isNull(), "added").otherwise("removed").alias("change_kind"), F.lit(None).cast("string").alias("old_name"), "old_type", "new_type", F.lit(None).cast("double").alias("score"))
-    tables = changes.filter("change_kind is not null").select(*key, F.lit("").alias("col_name"), "change_kind", F.col("old_table").alias("old_name"), F.lit(None).cast("string").alias("old_type"), F.lit(None).cast("string").alias("new_type"), F.lit(None).cast("double").alias("score"))
+    names = aligned(columns, changes.filter("change_kind is null"))
+    matches = column_matches(flooded_pairs(names))
+    types = matches.filter("same and old_kind <> new_kind").select(*KEY, F.col("new_col_name").alias("col_name"), F.lit("type_changed").alias("change_kind"), F.col("old_col_name").alias("old_name"), F.col("old_kind").alias("old_type"), F.col("new_kind").alias("new_type"), "score")
+    renames = settle(matches.filter(RENAME))
+    renamed = renames.select(*KEY, F.col("new_col_name").alias("col_name"), F.lit("renamed").alias("change_kind"), F.col("old_col_name").alias("old_name"), F.col("old_kind").alias("old_type"), F.col("new_kind").alias("new_type"), "score")
+    moved = renames.select(*KEY, F.col("old_col_name").alias("col_name")).union(renames.select(*KEY, "new_col_name"))
+    single = names.filter("old is null or new is null").join(moved, [*KEY, "col_name"], "left_anti").select(*KEY, "col_name", F.when(F.col("old").isNull(), "added").otherwise("removed").alias("change_kind"), F.lit(None).cast("string").alias("old_name"), F.col("old.kind").alias("old_type"), F.col("new.kind").alias("new_type"), F.lit(None).cast("double").alias("score"))
+    tables = changes.filter("change_kind is not null").select(*KEY, F.lit("").alias("col_name"), "change_kind", F.col("old_table").alias("old_name"), F.lit(None).cast("string").alias("old_type"), F.lit(None).cast("string").alias("new_type"), F.lit(None).cast("double").alias("score"))
     files = columns.select("db_name", "file_no", "file_name").distinct()
     return reduce(DataFrame.unionByName, [types, renamed, single, tables]).join(files, ["db_name", "file_no"]).select("db_name", "file_no", "file_name", "table_name", "col_name", "change_kind", "old_name", "old_type", "new_type", "score")
 
@@ -172,9 +190,8 @@ def consistent_layout(schemas: DataFrame) -> DataFrame:
 
     columns = settle(_columns(schemas))
     changes = settle(_table_changes(columns))
-    key = ["db_name", "file_no", "table_name"]
-    kept = changes.filter("change_kind is null").select(*key)
-    matches = column_matches(flooded_pairs(columns, kept)).filter("same or (old_kind = new_kind and old_left_name = new_left_name and old_right_name = new_right_name)").select(*key, "old_col_name", "new_col_name")
+    key = KEY
+    matches = column_matches(flooded_pairs(aligned(columns, changes.filter("change_kind is null")))).filter(f"same or ({RENAME})").select(*key, "old_col_name", "new_col_name")
     ident = lambda no, table, col: F.xxhash64("db_name", no, table, col)
     through = matches.select("db_name", "file_no", F.col("table_name").alias("old_table"), "table_name", "old_col_name", "new_col_name")
     carried = changes.filter("change_kind = 'table_renamed'").select(*key, "old_table")
