@@ -11,15 +11,23 @@ _TAGS = re.compile(r"<[^<>\n]{0,80}>|\{[^{}\n]{0,80}\}")
 _SOUNDS = re.compile(r"\[[^\[\]]{0,120}\]|\([^()]{0,120}\)|♪[^♪]{0,120}♪|^[ \t\ufeff]*WEBVTT[^\n]*", re.MULTILINE)
 #: Adverts of subtitle makers: a cue with a web address.
 _ADVERT = re.compile(r"\.(?<=[a-zA-Z0-9]\.)(?:example|invalid|com|net|org|info|tv)\b|\bhttps?://", re.IGNORECASE)
+#: Set phrases of adverts and credits without one.
+_CREDIT = re.compile(r"synced (?:&|and) corrected by|\b(?:subtitles|captions|untertitel) ?(?:by|at|von|:)|become a vip member|advertise your product|download \S+ player|\d ?% off today", re.IGNORECASE)
+#: One of these stands in every advert or credit; looked for first, as that is quicker.
+_SIGNS = (".example", ".invalid", ".com", ".net", ".org", ".info", ".tv", "http", "synced", "subtitles", "captions", "untertitel", "vip member", "advertise your", "download ", "% off")
+
+
+def _suspect(low: str) -> bool:
+    return any(w in low for w in _SIGNS)
 
 
 def dialogue(text: str, adverts: bool = False) -> list[str]:
-    """The cues' texts, in order; blank ones are left out, and with ``adverts`` false those that hold a web address."""
+    """The cues' texts, in order; blank ones are left out, and with ``adverts`` false adverts and credits: those that hold a web address or a set phrase."""
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     cues = _HEAD.split(text)
-    if not adverts and _ADVERT.search(text):
-        cues = [c for c in cues if "." not in c or not _ADVERT.search(c)]
+    if not adverts and _suspect(text.lower()):
+        cues = [c for c in cues if not (_suspect(c.lower()) and (_ADVERT.search(c) or _CREDIT.search(c)))]
     if "<" in text or "{" in text:
         cues = [_TAGS.sub("", c) if "<" in c or "{" in c else c for c in cues]
     if "[" in text or "(" in text or "\u266a" in text or "WEBVTT" in text:

@@ -82,7 +82,7 @@ _LEAD = re.compile("[\u00c2-\u00c5\u00d0\u00d1\u00e2\u00e3]")
 _OTHER = re.compile("[\u0250-\u1dff\u2c00-\ud7ff\uf900-\ufb00]")
 _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[.\-_*·][^\W_]){2,}(?![^\W_])")
 _LONG = re.compile(r"([a-z])\1{2,}")
-_WORD = re.compile(r"[^\W_]+(?:[@$*!+][^\W_]+)*|[@$][^\W_]+(?:[@$*!][^\W_]+)*")
+_WORD = re.compile(r"[^\W_]+(?:[@$*!+]+[^\W_]+)*[$@]?|[@$*]+[^\W_]+(?:[@$*!+]+[^\W_]+)*[$@]?")
 _LEET = str.maketrans("0134579@$!+", "oieastgasit")
 _LEET_L = str.maketrans("0134579@$!+", "oleastgaslt")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+(?=[^\W_]|[-–—¡¿\"“«(@$])|\n\s*\n")
@@ -151,8 +151,10 @@ def plain(text: str) -> list[str]:
 
     Undone are invisible characters, letters parted by dots or hyphens,
     letters repeated three times and more, digits and signs for letters, one
-    masked letter, and UTF-8 read as a Western or Cyrillic code page.
+    masked or lost letter, and UTF-8 read as a Western or Cyrillic code page.
     """
+    if "\ufffd" in text:
+        text = text.replace("\ufffd", "*")
     low = text.lower() if text.isascii() else readable(_UNSEEN.sub("", text)).lower()
     if not low.isascii():
         low = _fold(low)

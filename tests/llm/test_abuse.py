@@ -49,6 +49,7 @@ def test_disguises():
     p = lambda s: " ".join(voters.plain(s))
     assert p("n-a-k-e-d S.E.X!") == "naked sex"
     assert p("mo​aning n@k3d m*aning veeeermine") == "moaning naked moaning vermine"
+    assert p("b@$t@rd subhuman$ c\ufffdllate \ufffdliminer") == "bastard subhumans callate eliminer"
     assert p("GrÃ¶ÃŸe Café dЎ") .startswith("grosse cafe")
     assert p("in 1894 A4 12") == "in 1894 a4 12" or "1894" in p("in 1894 A4 12")
 
