@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamarack.functions.names import strip
+from tamarack.functions.names import name_key, strip
 from tamarack.workspace import settle
 
 #: Access column type codes and the spellings of their names.
@@ -52,15 +52,15 @@ def type_code(code: Column, name: Column) -> Column:
     return F.coalesce(code.cast("int"), F.element_at(table, F.regexp_replace(F.lower(strip(name)), r"\s+", " ")))
 
 
-def _key(c: Column) -> Column:
+def _text_key(c: Column) -> Column:
     return F.lower(strip(c))
 
 
 def _columns(schemas: DataFrame) -> DataFrame:
     """One row per file, table and column, with the file before it in the series, and the neighbours' names."""
-    files = schemas.filter("db_name is not null and file_no is not null").groupBy("db_name", "file_no").agg(F.min(_key(F.col("file_name"))).alias("file_name"))
+    files = schemas.filter("db_name is not null and file_no is not null").groupBy("db_name", "file_no").agg(F.min(_text_key(F.col("file_name"))).alias("file_name"))
     series = files.select("*", F.lead("file_no").over(Window.partitionBy("db_name").orderBy("file_no")).alias("next_no"), F.lag("file_no").over(Window.partitionBy("db_name").orderBy("file_no")).alias("prev_no"))
-    cols = schemas.select("db_name", "file_no", _key(F.col("table_name")).alias("table_name"), _key(F.col("col_name")).alias("col_name"), type_code(F.col("col_type"), F.col("type_name")).alias("code"), F.col("col_type").isNotNull().alias("sure"), _key(F.col("type_name")).alias("spelling"), "col_pos", "loaded_at").filter("table_name is not null and col_name is not null")
+    cols = schemas.select("db_name", "file_no", name_key(F.col("table_name")).alias("table_name"), name_key(F.col("col_name")).alias("col_name"), type_code(F.col("col_type"), F.col("type_name")).alias("code"), F.col("col_type").isNotNull().alias("sure"), _text_key(F.col("type_name")).alias("spelling"), "col_pos", "loaded_at").filter("table_name is not null and col_name is not null")
     once = cols.groupBy("db_name", "file_no", "table_name", "col_name").agg(F.max(F.struct("loaded_at", "sure", "code", "spelling", (-F.col("col_pos")).alias("back"))).alias("r"))
     typed = once.select("db_name", "file_no", "table_name", "col_name", F.coalesce(F.col("r.code").cast("string"), F.col("r.spelling"), F.lit("")).alias("kind"), (-F.col("r.back")).alias("col_pos"))
     line = Window.partitionBy("db_name", "file_no", "table_name").orderBy("col_pos", "col_name")

@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def root(spark: SparkSession) -> str:
@@ -38,4 +39,19 @@ def settle(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this application; returns their number.
+
+    To be called once results are written: lazy results that read them fail
+    afterwards.
+    """
+    jvm = spark.sparkContext._jvm
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)

@@ -36,6 +36,10 @@ def test_each_kind_of_change(spark):
     }
 
 
+def test_brackets_case_and_blanks_are_no_change(spark):
+    assert changes(spark, {"[T 1]": [("[A]", "Text"), (" b ", "Long Integer")]}, {" t 1 ": [("a", "TEXT"), ("[B]", "longint")]}) == set()
+
+
 def test_no_change_and_moves(spark):
     one = {"t": [("a", "Text"), ("b", "INT"), ("c", "MONEY")]}
     two = {"T ": [("c", "Currency"), ("A", (10, "?")), ("b", "Integer")]}

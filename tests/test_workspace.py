@@ -21,6 +21,14 @@ def test_shared_folder_is_used(spark, tmp_path, monkeypatch):
     assert any(tmp_path.iterdir())
 
 
+def test_clear(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(workspace, "_written", {})
+    monkeypatch.setattr(workspace, "root", lambda _: f"file://{tmp_path}")
+    workspace.settle(spark.range(3))
+    assert any(tmp_path.iterdir()) and workspace.clear(spark) == 1
+    assert not any(tmp_path.iterdir()) and workspace.clear(spark) == 0
+
+
 def test_listing(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "many.parquet"))
     part = next(Path(tmp_path / "many.parquet").glob("*.parquet"))
