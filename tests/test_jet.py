@@ -115,3 +115,38 @@ def test_query_text():
     for bad, flags in (([QueryRow(5, 0, "t")], 0), ([QueryRow(3, 1), QueryRow(5, 0, "t")], 0x20), ([QueryRow(3, 1), QueryRow(5, 0, "t"), QueryRow(7, 1, "t", "u", "x")], 0), ([QueryRow(3, 1), QueryRow(5, 0, "t"), QueryRow(7, 1, "t", "t", "x")], 0), ([QueryRow(2, 77, "p"), QueryRow(3, 1)], 0), ([QueryRow(3, 1), QueryRow(5, 0, "t"), QueryRow(5, 0, "u"), QueryRow(7, 9, "t", "u", "x")], 0)):
         with pytest.raises(JetError):
             query_sql(bad, flags)
+
+
+def jet3_row(columns, values):
+    """A Jet 3 row: one-byte counts and offsets, and a byte for each 256 that the offsets pass."""
+    fixed, variable, mask = bytearray(), [], bytearray((len(columns) + 7) // 8)
+    for k, (c, v) in enumerate(zip(columns, values)):
+        if v is not None:
+            mask[k // 8] |= 1 << k % 8
+        if c.fixed:
+            fixed += struct.pack("<i", v or 0)
+        else:
+            variable.append((v or "").encode("cp1252"))
+    out = bytearray([len(columns)]) + fixed
+    offsets = []
+    for v in variable:
+        offsets.append(len(out))
+        out += v
+    offsets.append(len(out))
+    jumps = bytearray(next(k for k, o in enumerate(offsets) if o >= 256 * n) for n in range(1, offsets[-1] // 256 + 1))
+    tail = bytes(o & 255 for o in reversed(offsets))
+    return bytes(out + tail + bytes(reversed(jumps)) + bytes([len(variable)]) + mask)
+
+
+@pytest.mark.parametrize("sizes", [(3, 5), (0, 0), (200, 300), (10, 600), (255, 255), (300, 1)])
+def test_jet3_rows(sizes):
+    from tamarack.sources.jet.pages import JET3
+    from tamarack.sources.jet.tables import JetColumn, JetTable
+
+    f = JetFile.__new__(JetFile)
+    f.layout, f.code_page = JET3, 1252
+    columns = (JetColumn("a", 4, 0, 0, 0, 4, True), JetColumn("s", 10, 1, 0, 0, 255, False), JetColumn("t", 10, 2, 1, 0, 255, False))
+    table = JetTable("x", 1, 1, 2, 0, columns)
+    values = (7, "é" * sizes[0], "b" * sizes[1])
+    assert f.crack(table, jet3_row(columns, values), columns) == values
+    assert f.crack(table, jet3_row(columns, (None, None, "z")), columns) == (None, None, "z")
