@@ -245,8 +245,14 @@ def content_scores(documents: DataFrame, train_sentences: int = TRAIN_SENTENCES)
         target = np.array([p for _, p in rows])
         positive = max(target.sum(), 1.0)
         balance = np.where(target > 0.5, max(1.0, (len(rows) - positive) / positive / 16), 1.0)
-        linear = train_linear([features(s) for s, _ in rows], target, balance)
-        weights[c] = (float(linear[-1]), *_weights(linear, [s for s, _ in rows]))
+        # equal sentences are one row of their joint weight and mean label: the same sums, fewer of them
+        joint: dict[str, list[float]] = {}
+        for (sentence, p), w in zip(rows, balance):
+            cell = joint.setdefault(sentence, [0.0, 0.0])
+            cell[0] += w
+            cell[1] += w * p
+        linear = train_linear([features(s) for s in joint], np.array([b / a for a, b in joint.values()]), np.array([a for a, _ in joint.values()]))
+        weights[c] = (float(linear[-1]), *_weights(linear, list(joint)))
     out = f"doc_id {kind}, " + ", ".join(f"{c} double" for c in V.CATEGORIES)
     return scanned.select("doc_id", "plain").mapInArrow(_score(weights, _pa_type(kind)), out)
 
