@@ -1,9 +1,8 @@
 """Form designs of a database file: property blocks, design streams, controls.
 
 Read here: the property blocks of the catalog (LvProp), the object store in
-both its forms, the directory of forms, the list of controls, and the
-property arrays of the design stream.  The older packed design records
-(geometry and numbers of Jet 4 controls) are not decoded.
+both its forms, the directory of forms, the list of controls, the property
+arrays of the design stream, and the packed records of Jet 4 controls.
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tamarack.sources.jet.compound import MAGIC, Compound, Entry
 from tamarack.sources.jet.pages import JetError, u16, u32
+from tamarack.sources.jet.records import COLOURS, packed_records
 from tamarack.sources.jet.tables import FORM_OBJECT, JetColumn, JetFile
 
 # Control type codes of the list of controls.
@@ -278,19 +278,38 @@ def property_arrays(data: bytes) -> tuple[list[Property], list[list[Property]]]:
     return own, [g for g in groups if g]
 
 
+_IDS = {name: ident for ident, name in reversed(PROPERTY_NAMES.items())}
+
+
+def _packed(name: str, value: str) -> Property:
+    """A packed record's value as a property."""
+    number = value.lstrip("-").isdigit()
+    kind = "Color" if name in COLOURS else "Bool" if value == "true" else "Long" if number and not name.endswith(("Text", "Caption", "Tag", "Format")) else "Text"
+    return Property(_IDS.get(name, 0), name, kind, value)
+
+
 def form_design(name: str, storage_id: int, controls: bytes, design: bytes) -> FormDesign:
-    """A form of its streams; a control takes the group of its name, else the one of its place, and the section before it."""
+    """A form of its streams.
+
+    A control takes the property group of its name, else the one of its place,
+    what its packed record adds, and the section before it.
+    """
     listed = control_list(controls)
     own, groups = property_arrays(design)
     by_name: dict[str, list[Property]] = {}
     for g in groups:
         label = next((p.value for p in g if p.id == 0x14), "")
         by_name.setdefault(label.lower(), g)
+    packed: dict[tuple[str, int], dict[str, str]] = {}
+    for r in packed_records(design):
+        packed.setdefault((r.name.lower(), r.code), r.values)
     out, section = [], ""
     for k, c in enumerate(listed):
         if c.type in SECTIONS:
             section = c.name
         props = by_name.get(c.name.lower()) or (groups[k] if k < len(groups) and not any(p.id == 0x14 for p in groups[k]) else [])
+        known = {p.name for p in props}
+        props = [*props, *(_packed(n, v) for n, v in packed.get((c.name.lower(), c.type_code & 0xFF), {}).items() if n not in known)]
         out.append(Control(c.name, c.type, c.type_code, c.index, section, tuple(props)))
     return FormDesign(name, storage_id, tuple(own), tuple(out))
 
