@@ -71,8 +71,10 @@ def winners(rows: DataFrame, entity: list[str], name: str, value: str, order: li
     """
     kinds = F.create_map(*[F.lit(x) for kind, names in ATTRIBUTES.items() for n in names for x in (n, kind)])
     attr = attribute_key(F.col(name))
-    read = rows.select(*entity, attr.alias("attr_name"), *order, readable(F.element_at(kinds, attr), F.col(value)).alias("cell_value")).filter(F.col("cell_value").isNotNull()).dropna(subset=entity)
-    return read.groupBy(*entity, "attr_name").agg(F.max(F.struct(*order, "cell_value"))["cell_value"].alias("cell_value"))
+    read = rows.dropna(subset=entity).select(*entity, attr.alias("attr_name"), *order, readable(F.element_at(kinds, attr), F.col(value)).alias("cell_value"))
+    # unreadable values are left to the aggregate, which skips nulls: as a filter they would be read twice
+    best = read.groupBy(*entity, "attr_name").agg(F.max(F.when(F.col("cell_value").isNotNull(), F.struct(*order, "cell_value"))).alias("best"))
+    return best.filter("best is not null").select(*entity, "attr_name", F.col("best.cell_value").alias("cell_value"))
 
 
 def ordinals(df: DataFrame, key: list[str]) -> DataFrame:
