@@ -1,12 +1,14 @@
 """Evaluation texts leaking into training text, found with a positional inverted index.
 
-The index holds, for every document, the positions of the words that occur in
-the evaluation items; it is partitioned by document, so building and
+The index holds the canonical words of every document in order, so a word's
+place is its position; it is partitioned by document, so building and
 intersecting it moves no postings.  For each item the rarest words of the
 corpus are the anchors: every stretch of half the item contains several.
-Anchor postings, shifted by the anchor's place in the item, give the places
-where the item may stand; there the other words' postings are followed to the
-longest unbroken run.
+Anchor postings, also those of words that share a deletion form with an anchor,
+give the places where the item may stand; from there the document's words are
+compared with the expected ones to the longest unbroken run.  Whether a word is
+damaged is decided there, by the expected word alone, so neither the other
+items nor the blocks they are taken in have a say.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,79 +32,119 @@ BLOCK_WORDS = 2_000_000
 ANCHORS = 3
 #: Letters that character recognition confuses count as one, punctuation separates, apostrophes vanish.
 _ONE = bytes.maketrans(b"1i|0bfc", b"lllohte")
-_KEEP = set(b"abcdefghijklmnopqrstuvwxyz0123456789|")
+#: Capitals, which lower-case text doesn't hold, are the digits that characters of other scripts are written with, four each.
+_KEEP = set(b"abcdefghijklmnopqrstuvwxyz0123456789|ABCDEFGHIJKLMNOP")
 _TABLE = bytes((_ONE[c] if c in _KEEP else 32) for c in range(256))
-_DIGITS = set(b"0123456789lo")
+_HEX = str.maketrans("0123456789abcdef", "ABCDEFGHIJKLMNOP")
+_UNHEX = str.maketrans("ABCDEFGHIJKLMNOP", "0123456789abcdef")
 _WIDE = re.compile("[぀-鿿가-힯]|[Ͱ-῿]{2,}")
+_WIDE_WORD = re.compile("[A-P]{4}")
+_NUMBER = re.compile("[0-9lo]*[2-9][0-9lo]*")
+_PAIR = re.compile("(ss|rn)")
+#: Characters from which a damaged word is sure to be the expected one; shorter ones and numbers count between others only.
+SURE = 4
+#: Damaged words not sure of themselves that may follow each other within a run.
+UNSURE = 2
+#: Right words of a run for each damaged one; where there are fewer, or at a run's end, a damaged word must be no word of any item.
+STRAY = 3
 
 
-def words(text: str) -> list[bytes]:
-    """Canonical words: lower case, look-alike characters as one, marks and Latin letters with accents left out.
-
-    Leaving them out makes a word the same whether its accents are right,
-    lost or garbled; ss goes with them, as capitals write it for a sharp s.  Words of other scripts are kept as they are, characters
-    of scripts without blanks one by one.
-    """
+def _raw(text: str) -> bytes:
     low = text.lower()
     if not low.isascii():
         if _WIDE.search(low):
-            low = _WIDE.sub(lambda m: " u" + "".join(f"{ord(c):x}" for c in m.group()) + " ", low)
+            low = _WIDE.sub(lambda m: " " + "".join(f"{ord(c):04x}" for c in m.group()).translate(_HEX) + " ", low)
         raw = low.encode("ascii", "ignore")
     else:
         raw = low.encode()
-    return raw.replace(b"'", b"").replace(b"ss", b"").replace(b"rn", b"m").translate(_TABLE).split()
+    return raw.replace(b"'", b"")
+
+
+def _full(text: str) -> list[bytes]:
+    """Words as in ``words``, with ss and rn as they are."""
+    return _raw(text).translate(_TABLE).split()
+
 
+def _joined(word: bytes) -> bytes:
+    return word.replace(b"ss", b"").replace(b"rn", b"m")
 
-def near_words(vocabulary: dict[bytes, int]) -> dict[bytes, int]:
-    """Deletion forms of the vocabulary: a word with one wrong, missing or added character shares one with its original.
 
-    Numbers and words under four characters have none; a form of several
-    words is ambiguous (-1).
+def words(text: str) -> list[bytes]:
+    """Canonical words: lower case, look-alike characters as one, marks and Latin letters with accents left out.
+
+    Leaving them out makes a word the same whether its accents are right,
+    lost or garbled; ss goes with them, as capitals write it for a sharp s.  Words of other scripts are kept as they are, characters
+    of scripts without blanks one by one.
     """
-    out: dict[bytes, int] = {}
-    for w, n in vocabulary.items():
-        if len(w) > 3 and sum(c in _DIGITS for c in w) * 2 < len(w):
-            for k in range(len(w)):
-                form = w[:k] + w[k + 1 :]
-                out[form] = n if out.get(form, n) == n else -1
-            out[w] = n
-    return out
+    return _raw(text).replace(b"ss", b"").replace(b"rn", b"m").translate(_TABLE).split()
+
+
+def _text(word: bytes) -> str:
+    """A canonical word with one character for each of its characters."""
+    w = word.decode()
+    return _WIDE_WORD.sub(lambda m: chr(int(m.group().translate(_UNHEX), 16)), w) if "A" <= w[:1] <= "P" or not w.islower() else w
+
 
+@lru_cache(1 << 16)
+def _forms(full: bytes) -> tuple[str, ...]:
+    """The forms of an item's word that a damaged one may come from: each ss and rn as it is or as ``words`` writes it."""
+    parts = _PAIR.split(_text(full))
+    ways = [((p,) if k % 2 == 0 else (p, "" if p == "ss" else "m")) for k, p in enumerate(parts[:9])]
+    return tuple({"".join(way) + "".join(parts[9:]) for way in product(*ways)})
 
-def mend(word: bytes, near: dict[bytes, int]) -> int | None:
-    """The only vocabulary word at most one character away from ``word``, or None."""
-    if len(word) < 3:
-        return None
-    seen = {near[f] for f in (word, *(word[:k] + word[k + 1 :] for k in range(len(word)))) if f in near}
-    return next(iter(seen)) if len(seen) == 1 and -1 not in seen else None
 
+def _within_one(x: str, y: str) -> bool:
+    """Whether one wrong, missing or added character makes x of y."""
+    if len(x) > len(y):
+        x, y = y, x
+    if len(y) - len(x) > 1:
+        return False
+    k = 0
+    while k < len(x) and x[k] == y[k]:
+        k += 1
+    return x[k + 1 :] == y[k + 1 :] if len(x) == len(y) else x[k:] == y[k + 1 :]
 
-def _index(vocabulary: dict[bytes, int], near: dict[bytes, int], schema: pa.Schema):
+
+@lru_cache(1 << 17)
+def near(word: bytes, full: bytes) -> bool:
+    """Whether a document's canonical word is an item's word with at most one wrong, missing or added character."""
+    x = _text(word)
+    for y in _forms(full):
+        if _within_one(x, y):
+            return True
+        # a wrong character that makes an ss or rn of its neighbour
+        if len(x) < len(y):
+            for k in range(len(y) - 1):
+                if ("s" in y[k : k + 2] and x == y[:k] + y[k + 2 :]) or ((y[k] == "r" or y[k + 1] == "n") and x == y[:k] + "m" + y[k + 2 :]):
+                    return True
+    return False
+
+
+@lru_cache(1 << 16)
+def _sure(full: bytes) -> bool:
+    w = _text(full)
+    return len(w) >= SURE and not _NUMBER.fullmatch(w)
+
+
+def _deletions(w: str) -> set[str]:
+    return {w, *(w[:k] + w[k + 1 :] for k in range(len(w)))}
+
+
+def _index(vocabulary: dict[bytes, int], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = vocabulary.get
         for batch in batches:
-            ids, terms, places = [], [], []
+            ids, terms, texts = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
                 if not text or doc is None:
                     continue
                 own = words(" ".join(dialogue(text)))
-                codes = [get(w) for w in own]
-                t, p = [], []
-                for k, n in enumerate(codes):
-                    if n is None:
-                        # an unknown word next to known ones may be one of them with a wrong character
-                        if (k and codes[k - 1] is not None) or (k + 1 < len(codes) and codes[k + 1] is not None):
-                            n = mend(own[k], near)
-                        if n is None:
-                            continue
-                    t.append(n)
-                    p.append(k)
-                if t:
+                if own:
                     ids.append(doc)
-                    terms.append(t)
-                    places.append(p)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, schema.field(0).type), pa.array(terms, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "terms", "places"])
+                    terms.append([n for w in set(own) if (n := get(w)) is not None])
+                    texts.append(b" ".join(own).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, schema.field(0).type), pa.array(terms, pa.list_(pa.int32())), pa.array(texts, pa.string())], names=["doc_id", "terms", "words"])
 
     return run
 
@@ -122,52 +166,156 @@ def anchors_of(items: list[tuple[int, list[int]]], frequency: dict[int, int], le
     return dict(out)
 
 
-def _chain(item: list[int], at: dict[int, int], i: int, j: int, way: int) -> int:
-    """The item place that a run from item place i at document place j reaches in one direction."""
-    n = len(item)
-    while 0 <= i + way < n and at.get(j + way) == item[i + way]:
-        i, j = i + way, j + way
-    return i
+def _damaged(item: list[bytes], full: list[bytes], own: list[bytes], a: int, b: int, way: int) -> tuple[int, int, bool] | None:
+    """How the item's word a may stand damaged at the document's word b: words of the item and of the document it takes, and whether it is sure."""
+    n, m, f = len(item), len(own), full[a]
+    options = []
+    if near(own[b], f):
+        options.append((1, 1, _sure(f)))
+    # a stray sign within a word, or a letter of another script, parts it
+    for size in (2, 3):
+        last = b + way * (size - 1)
+        if not 0 <= last < m:
+            break
+        parts = own[min(b, last) : max(b, last) + 1]
+        if (size == 2 or len(_text(parts[1])) == 1) and near(b"".join(parts), f):
+            options.append((1, size, _sure(f)))
+    if 0 <= a + way < n:
+        # a lost blank joins two words, and a lost or added character of a script without blanks is a word
+        if own[b] == _joined(f + full[a + way] if way > 0 else full[a + way] + f):
+            options.append((2, 1, True))
+        if f.isupper() and len(f) == 4 and item[a + way] == own[b]:
+            options.append((2, 1, True))
+    if own[b].isupper() and len(own[b]) == 4 and 0 <= b + way < m and own[b + way] == item[a]:
+        options.append((1, 2, True))
+    for x, y, sure in options:
+        if 0 <= a + way * x < n and 0 <= b + way * y < m and item[a + way * x] == own[b + way * y]:
+            return x, y, sure
+    return options[0] if options else None
 
 
-def _intersect(items: list[tuple[int, list[int]]], anchors: dict[int, list[tuple[int, int]]], least: float):
+def _chain(item: list[bytes], full: list[bytes], own: list[bytes], i: int, j: int, way: int) -> list[tuple[int, int, list[bytes], list[bytes]]]:
+    """Where a run from item place i at document place j may end in one direction: item place, right words up to it, damaged words up to it, and those of them after the last right word.
+
+    These are the end of the right words, the last place at which damage is still stray, and the end of all.
+    """
+    n, m, unsure, right = len(item), len(own), 0, 0
+    bad: list[bytes] = []
+    loose: list[bytes] = []
+    ends = [(i, 0, [], [])] * 3
+    while 0 <= (a := i + way) < n and 0 <= (b := j + way) < m:
+        if own[b] == item[a]:
+            i, j, unsure, right, loose = a, b, 0, right + 1, []
+        else:
+            step = _damaged(item, full, own, a, b, way)
+            if step is None:
+                break
+            last = b + way * (step[1] - 1)
+            form = b" ".join(own[min(b, last) : max(b, last) + 1])
+            bad, loose = [*bad, form], [*loose, form]
+            i, j = i + way * step[0], last
+            unsure = 0 if step[2] else unsure + 1
+            if unsure > UNSURE:
+                break
+        if not unsure:
+            ends[2] = (i, right, bad, loose)
+            if right >= STRAY * len(bad) and not loose:
+                ends[1] = ends[2]
+            if not bad:
+                ends[0] = ends[2]
+    return ends
+
+
+def _intersect(items: list[tuple[int, list[bytes], list[bytes]]], anchors: dict[bytes, list[tuple[int, int]]], least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forms: dict[str, set[bytes]] = defaultdict(set)
+        for w, places in anchors.items():
+            for full in {items[n][2][k] for n, k in places}:
+                for y in _forms(full):
+                    if len(y) > 1:
+                        for form in _deletions(y):
+                            forms[form].add(w)
+        known: dict[bytes, tuple] = {}
+
+        def candidates(word: bytes) -> tuple:
+            """Item number, place and whether the word is right, of the anchors that ``word`` is or may be damaged from."""
+            x = _text(word)
+            out = [(n, k, True) for n, k in anchors.get(word, ())]
+            for w in {w for form in _deletions(x) for w in forms.get(form, ())} - {word}:
+                out += [(n, k, False) for n, k in anchors[w] if near(word, items[n][2][k])]
+            if len(known) > 500_000:
+                known.clear()
+            known[word] = tuple(out)
+            return known[word]
+
         for batch in batches:
-            docs, found, spans, sizes = [], [], [], []
-            for doc, terms, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            docs, found, spans, sizes, doubts = [], [], [], [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = text.encode().split()
                 starts = defaultdict(list)
-                for t, p in zip(terms, places):
-                    for n, k in anchors.get(t, ()):
-                        starts[n].append((k, p))
-                if not starts:
-                    continue
-                at = dict(zip(places, terms))
-                for n, pairs in starts.items():
-                    item_id, item = items[n]
-                    best = 0
-                    for shift in {p - k for k, p in pairs}:
-                        # the runs of one shift follow each other; each starts where the one before ended
-                        done = -1
-                        for k in sorted(k for k, p in pairs if p - k == shift):
-                            if k > done:
-                                done = _chain(item, at, k, k + shift, 1)
-                                best = max(best, done - _chain(item, at, k, k + shift, -1) + 1)
-                    if best and best >= least * len(item):
+                for p, w in enumerate(own):
+                    got = known.get(w)
+                    if got is None:
+                        got = candidates(w)
+                    for n, k, right in got:
+                        starts[n].append((p - k, k, right))
+                for n, places in starts.items():
+                    item_id, item, full = items[n]
+                    need, best, doubtful = least * len(item), 0, {}
+                    places.sort()
+                    # the runs of one shift follow each other; each starts where the one before ended
+                    before, done = None, -1
+                    for shift, k, right in places:
+                        if shift != before:
+                            before, done = shift, -1
+                        if k <= done:
+                            continue
+                        p = k + shift
+                        sure = right or _sure(full[k])
+                        if not sure and not ((k + 1 < len(item) and p + 1 < len(own) and item[k + 1] == own[p + 1]) or (k and p and item[k - 1] == own[p - 1])):
+                            continue
+                        ahead, back = _chain(item, full, own, k, p, 1), _chain(item, full, own, k, p, -1)
+                        done = ahead[0][0] if right else k
+                        for last, right_a, bad_a, loose_a in ahead:
+                            for first, right_b, bad_b, loose_b in back:
+                                length = last - first + 1 - (not sure and (first == k or last == k))
+                                bad = [*bad_a, *bad_b] if right else [*bad_a, own[p], *bad_b]
+                                good = right_a + right_b + right
+                                if length < need or length <= best or not good:
+                                    continue
+                                if good >= STRAY * len(bad):
+                                    bad = [*loose_a, *loose_b] if right else [*loose_a, *([own[p]] if not right_a or not right_b else []), *loose_b]
+                                if not bad:
+                                    best = length
+                                else:
+                                    doubtful[frozenset(bad)] = max(length, doubtful.get(frozenset(bad), 0))
+                    for length, bad in [(best, ())] * (best > 0) + [(v, b) for b, v in doubtful.items() if v > best]:
                         docs.append(doc)
                         found.append(item_id)
-                        spans.append(best)
+                        spans.append(length)
                         sizes.append(len(item))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, batch.schema.field(0).type), pa.array(found, pa.int64()), pa.array(spans, pa.int32()), pa.array(sizes, pa.int32())], names=["doc_id", "item_id", "run_words", "item_words"])
+                        doubts.append([w.decode() for w in bad])
+            yield pa.RecordBatch.from_arrays([pa.array(docs, batch.schema.field(0).type), pa.array(found, pa.int64()), pa.array(spans, pa.int32()), pa.array(sizes, pa.int32()), pa.array(doubts, pa.list_(pa.string()))], names=["doc_id", "item_id", "run_words", "item_words", "doubts"])
 
     return run
 
 
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = {w for text in batch.column(0).to_pylist() for w in words(" ".join(dialogue(text, adverts=True)))}
+        yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in found], pa.string())], names=["word"])
+
+
 def leaked_items(documents: DataFrame, items: DataFrame, least: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, run_words, item_words of every document that holds at least ``least`` of an item's words in one run.
 
     Cue numbers, times, tags, sound descriptions, adverts with a web address,
     case, punctuation and look-alike characters don't count, nor does a
-    single wrong, missing or added character of a word of four or more.
+    single wrong, missing or added character of a word; of a number or a word
+    of under four characters only within a run, as at its end it may well be
+    another word.  A run with fewer than ``STRAY`` right words for each damaged
+    one, or with damaged words at an end, counts only if these are no words of
+    some item.
     Items without words match nothing; null texts and ids are ignored; an item
     id with several texts is looked for by each, its longest run counts.
     Items are taken in blocks of ``block_words`` words, one pass over the
@@ -175,30 +323,35 @@ def leaked_items(documents: DataFrame, items: DataFrame, least: float = 0.5, blo
     """
     doc_type = documents.schema["doc_id"].dataType.simpleString()
     result = None
-    block: list[tuple[int, list[bytes]]] = []
+    block: list[tuple[int, list[bytes], list[bytes]]] = []
     size = 0
 
     def flush() -> None:
         nonlocal result, block, size
         vocabulary: dict[bytes, int] = {}
-        coded = [(i, [vocabulary.setdefault(w, len(vocabulary)) for w in ws]) for i, ws in block]
+        coded = [(i, [vocabulary.setdefault(w, len(vocabulary)) for w in ws]) for i, ws, _ in block]
         schema = pa.schema([("doc_id", pa.int64() if doc_type == "bigint" else pa.int32() if doc_type == "int" else pa.string())])
-        index = settle(documents.select("doc_id", "text").mapInArrow(_index(vocabulary, near_words(vocabulary), schema), f"doc_id {doc_type}, terms array<int>, places array<int>"))
-        counts = {r["term"]: r["n"] for r in index.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
-        anchors = anchors_of(coded, counts, least)
-        rare = sorted(anchors)
-        near = index.filter(F.arrays_overlap("terms", F.array(*[F.lit(t) for t in rare]))) if 0 < len(rare) <= 2000 else index
-        part = near.mapInArrow(_intersect(coded, anchors, least), f"doc_id {doc_type}, item_id bigint, run_words int, item_words int")
+        index = settle(documents.select("doc_id", "text").mapInArrow(_index(vocabulary, schema), f"doc_id {doc_type}, terms array<int>, words string"))
+        counts = {r["term"]: r["n"] for r in index.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
+        spelled = list(vocabulary)
+        anchors = {spelled[t]: places for t, places in anchors_of(coded, counts, least).items()}
+        part = index.select("doc_id", "words").mapInArrow(_intersect(block, anchors, least), f"doc_id {doc_type}, item_id bigint, run_words int, item_words int, doubts array<string>")
         result = part if result is None else result.unionByName(part)
         block, size = [], 0
 
     for row in items.select(F.col("item_id").cast("long").alias("i"), F.col("item_text").alias("t")).filter("i is not null and t is not null").distinct().toLocalIterator():
-        ws = words(" ".join(dialogue(row["t"], adverts=True)))
+        full = [w for w in _full(" ".join(dialogue(row["t"], adverts=True))) if _joined(w)]
+        ws = [_joined(w) for w in full]
         if ws:
-            block.append((row["i"], ws))
+            block.append((row["i"], ws, full))
             size += len(ws)
             if size >= block_words:
                 flush()
     if block or result is None:
         flush()
+    result = settle(result)
+    # the words of all items, not of a block, say whether a doubtful word is one of its own right
+    known = items.filter("item_id is not null and item_text is not null").select("item_text").mapInArrow(_spelled, "word string").distinct()
+    wrong = result.filter("size(doubts) > 0").withColumn("word", F.explode("doubts")).join(known, "word", "left_semi").select("doc_id", "item_id", "doubts").distinct()
+    result = result.join(wrong, ["doc_id", "item_id", "doubts"], "left_anti")
     return result.groupBy("doc_id", "item_id").agg(F.max("run_words").alias("run_words"), F.max("item_words").alias("item_words"))

@@ -80,3 +80,27 @@ def test_empty_tables_and_long_text(spark):
     assert leakage.leaked_items(none, spark.createDataFrame([(1, "a b", 0)], items)).count() == 0
     assert leakage.leaked_items(long, spark.createDataFrame([], items)).count() == 0
     assert leakage.leaked_items(long, spark.createDataFrame([(4, "rare words stand here", 0)], items)).count() == 1
+
+
+def test_damage_is_decided_by_the_expected_word(spark):
+    item = "they will like to follow it into the violin school of old glass corner men who still sing"
+    word = item.split()
+    # words of many l and o, short words, forms that several words share, words that become others, ss and rn, parted and joined words
+    spoilt = {"will": "wiql", "like": "lyke", "into": "imto", "follow": "fqllow", "still": "stlll", "violin": "vio#lin", "school": "schoql", "to": "tq", "it": "iq", "of": "qf", "the": "tha", "old": "cold", "men": "man", "glass": "glasq", "corner": "coxner", "sing": "sinq"}
+    docs, want = [], set()
+    need = -(-len(word) // 2)
+    for d, (w, bad) in enumerate(spoilt.items()):
+        at = word.index(w)
+        low = max(0, min(at - need // 2, len(word) - need))
+        docs.append((d, " ".join(["zebra", *word[low:at], bad, *word[at + 1 : low + need], "quagga"]) if low + need - 1 > at else " ".join(["zebra", *word[low:at], bad])))
+        if low < at < low + need - 1 or len(w) > 3:
+            want.add((d, 1))
+    items = [(1, item), (2, "cold ring tha wall lake man violet schools"), (3, "мы должны продать старую карту завтра"), (4, "我们必须明天卖掉旧地图")]
+    docs += [(100, "Мы должны продатъ старую"), (101, "мы долж?ны продать"), (102, "我们必须朋天"), (103, "我们必明天卖")]
+    docs += [(200, "they will likes"), (201, " ".join(reversed(word))), (202, "they wiql like")]
+    want |= {(100, 3), (101, 3), (102, 4), (103, 4)}
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, item_text string")
+    got = {tuple(r) for r in leakage.leaked_items(d, i).collect()}
+    assert {x[:2] for x in got} == want
+    for size in (1, 20):
+        assert {tuple(r) for r in leakage.leaked_items(d, i, block_words=size).collect()} == got
