@@ -12,6 +12,7 @@ channel.
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterator
 from functools import reduce
@@ -33,6 +34,10 @@ LOST = "\ufffd"
 SWITCH, ENTER = 4.0, 0.3
 #: Characters that right text doesn't hold: control characters, the replacement character, private use.
 MARKS = "[\\x{80}-\\x{9f}\\x{fffd}\\x{e000}-\\x{f8ff}]"
+#: What a form that doesn't occur counts as, and the evidence of one whole multibyte character.
+UNSEEN, WHOLE = 0.3, 3.0
+#: Signs beyond ASCII: a word of letters alone, such as a Russian one, may be valid UTF-8 in some code page by chance.
+SIGNS = "[^\\x00-\\x7f\\p{L}\\p{M}]|[\u00aa\u00ba\u00b5]"
 LATTICE = "array<struct<channel string, form string, evidence double>>"
 
 
@@ -127,7 +132,8 @@ def backward(word: str) -> list[tuple[str, str, float]]:
                 if got is None or not got[1] + got[2]:
                     continue
                 form, whole, wild = got
-                evidence = 3.0 * whole + 0.5 * wild
+                # loose marks over Latin letters are rarely written
+                evidence = WHOLE * whole + 0.5 * wild - 0.5 * any("\u0300" <= c <= "\u036f" for c in form)
                 if not wild and not form.isascii():
                     # read twice with the wrong encoding
                     for again in ("cp1252", "latin_1"):
@@ -175,6 +181,9 @@ def forward(word: str) -> list[tuple[str, str, float]]:
                 add(channel, kept, 1.0)
                 add(channel, "".join(c for c in kept if c != LOST and not "\x80" <= c <= "\x9f"), 1.0)
                 add(channel, "".join(c for c in kept if c != LOST and not "\x80" <= c <= "\x9f").replace("\xa0", " "), 0.5)
+            elif read == "utf-8" and not raw.isascii() and LOST not in raw.decode(read, "replace"):
+                # the word itself is UTF-8 read wrongly, however often it occurs
+                continue
             else:
                 add(channel, raw.decode(read, "replace"), 1.0)
                 if read == "gbk":
@@ -277,7 +286,10 @@ def restore_texts(fields: DataFrame) -> DataFrame:
     prior = F.coalesce(F.element_at(cost, F.split("channel", ">")[0]), F.lit(2.0)) + F.when(F.col("channel").endswith("twice"), 1.0).otherwise(0.0)
     known = vocabulary.select(F.col("word").alias("form"), F.col("freq").alias("seen"))
     edges = back.unionByName(ahead).join(own, "word").join(known, "form", "left")
-    gain = F.log(F.coalesce("seen", F.lit(0.3)) / F.col("own")) + F.col("evidence") - prior
+    ratio = F.log(F.coalesce("seen", F.lit(UNSEEN)) / F.col("own"))
+    # repetition says nothing against a word that is valid UTF-8 read wrongly, as a whole file may be exported so: it counts as standing there once
+    whole = F.col("channel").rlike("^utf-8>") & (F.col("evidence") >= WHOLE) & ~F.col("form").contains(WILD) & (F.col("channel").rlike(">(cp1252|latin_1)") | F.col("word").rlike(SIGNS))
+    gain = F.when(whole, F.greatest(ratio, F.lit(math.log(UNSEEN)))).otherwise(ratio) + F.col("evidence") - prior
     # a form that occurs no oftener than the garbled word itself proves nothing by occurring
     edges = settle(edges.withColumn("gain", gain).filter("gain > 0").select("word", "channel", "form", "gain"))
     hurt = split.join(edges, "word").groupBy("text").agg(F.collect_list(F.struct("word", "channel", "form", "gain")).alias("edges"))

@@ -62,3 +62,11 @@ def test_fields(spark):
     got = {(r["record_kind"], r["record_id"], r["field_name"], r["restored"]) for r in mojibake.damaged_fields(mojibake.form_texts(controls, forms)).collect()}
     assert got == {("control", 1, "caption", "Größe"), ("form", 3, "caption", "Menü")}
     assert mojibake.damaged_fields(mojibake.form_texts(controls.limit(0), forms.limit(0))).count() == 0
+
+
+def test_repetition_does_not_hide_damage(spark):
+    counts = {"MenÃ¼": 1, "MÃ¼ller": 3, "KÃ¶ln": 10_000, "GrÃ¶n": 600, "Grön": 2}
+    right = {"São": 10_000, "Âmbito": 3, "Ligação": 500, "№": 40, "тип": 50, "сад": 2000, "通": 30, "PÓŁ": 20, "накладной": 900}
+    df = spark.createDataFrame([(t,) for w in (counts, right) for t, n in w.items() for _ in range(n)], "text string")
+    got = {r["text"]: r["restored"] for r in mojibake.restore_texts(df).collect()}
+    assert got == {"MenÃ¼": "Menü", "MÃ¼ller": "Müller", "KÃ¶ln": "Köln", "GrÃ¶n": "Grön"}
