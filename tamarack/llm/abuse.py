@@ -31,7 +31,7 @@ WIDTH = 1 << 16
 
 def _scan(doc_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        triggers = V.TRIGGERS
+        may_vote = V.may_vote
         for batch in batches:
             ids, texts, found, quiet = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -39,7 +39,7 @@ def _scan(doc_type: pa.DataType):
                 spoken = []
                 silent = None
                 for k, s in enumerate(sentences):
-                    if triggers.isdisjoint(s.split()):
+                    if not may_vote(s):
                         silent = s if silent is None else silent
                         continue
                     for c, v in V.votes(s).items():

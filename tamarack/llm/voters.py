@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from re import _parser
 
 # Word lists in plain form, by language.
 INSULTS = """idiot idiots moron morons imbecile maggot dirtbag scumbag scum bastard loser coward pig swine worm fool cretin dimwit halfwit jerk bitch whore
@@ -67,7 +68,7 @@ VOTERS: dict[str, list[tuple[str, re.Pattern, int]]] = {
 }
 CATEGORIES = tuple(VOTERS)
 
-#: Words one of which every sentence holds that any voter for +1 speaks on.
+#: Words that are put right where they are disguised.
 TRIGGERS = frozenset(INSULTS) | frozenset(SCORN) | frozenset(DEGRADING) | frozenset(EXPLICIT) | frozenset(
     """shut gueule fresse maul klappe callate boca sight lost strangle kill break cut crush smash beat gut burn choke slit bury hurt murder shoot stab skin destroy
     bone casser tuer egorger buter crever etrangler massacrer romper matar partir reventar machacar schlag schlage bring bringe brech breche mach reiss quebrar zahne cara
@@ -77,6 +78,102 @@ TRIGGERS = frozenset(INSULTS) | frozenset(SCORN) | frozenset(DEGRADING) | frozen
     amour begged fuck fucked fucking kissed slid caressed grabbed stroked sucked lechait embrassa lamio beso kusste leckte bare clothes ropa zog knees faziam orgasmic""".split()
 )
 
+#: Words too frequent to look for where a pattern also asks for another.
+_FREQUENT = frozenset("""a an all and are as at be but by c cest d de des die do don du e ein es est for from get go had halt has have having her him i il in is it just l la las les like ll
+    los m me must my n ne need no not nothing nur of off on one only os ought out para que re s sao se should sind so son sont te that the them these they this those to todos tous un una und us va was
+    we what who will would ya you your""".split())
+_LIMIT = 3000
+
+
+def _needs(pattern) -> tuple[set[str] | None, set[str] | None]:
+    """Strings of which a match of a parsed pattern is one, or None, and strings of which it holds one, or None; NUL stands for a word's edge."""
+    exact: set[str] | None = {""}
+    best: set[str] | None = None
+    whole = True
+
+    def flush() -> None:
+        nonlocal best, exact
+        if exact is not None and (found := {p for s in exact if (p := _rarest(s)) is not None}) and all(_rarest(s) is not None for s in exact):
+            best = found if best is None or _cost(found) < _cost(best) else best
+        exact = {""}
+
+    for op, arg in pattern:
+        name = str(op)
+        part: set[str] | None = None
+        need: set[str] | None = None
+        if name == "LITERAL":
+            part = {chr(arg)}
+        elif name == "AT":
+            part = {"\0"} if str(arg) == "AT_BOUNDARY" else {""}
+        elif name in ("ASSERT", "ASSERT_NOT"):
+            part = {""}
+        elif name == "SUBPATTERN":
+            part, need = _needs(arg[3])
+        elif name == "BRANCH":
+            sides = [_needs(x) for x in arg[1]]
+            part = set().union(*(x for x, _ in sides)) if all(x is not None for x, _ in sides) else None
+            need = set().union(*(x for _, x in sides)) if all(x is not None for _, x in sides) else None
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, inner = arg
+            part, need = _needs(inner)
+            part = None if part is None or high != 1 else part | {""} if low == 0 else part
+            need = need if low else None
+        if part is not None and len(exact) * len(part) <= _LIMIT:
+            exact = {a + b for a in exact for b in part}
+            continue
+        flush()
+        whole = False
+        if part is not None:
+            exact = part
+        elif need and (best is None or _cost(need) < _cost(best)):
+            best = need
+    kept = exact if whole else None
+    flush()
+    return kept, best
+
+
+def _rarest(text: str) -> str | None:
+    """The word or part of a word to look for, with a blank at each edge that is a word's edge; None if there is none."""
+    found = []
+    for m in re.finditer(r"[^ \0]+", text):
+        closed = (m.start() > 0, m.end() < len(text))
+        found.append(" " * closed[0] + m.group() + " " * closed[1])
+    return min(found, key=lambda w: (_cost({w}), -len(w), w), default=None)
+
+
+def _cost(found: set[str]) -> tuple[int, int]:
+    common = sum(w.strip() in _FREQUENT or len(w.strip()) < 3 for w in found)
+    return common, sum(not w.startswith(" ") for w in found)
+
+
+def _gate(pattern: re.Pattern) -> set[str]:
+    """Words or parts of words (edges are blanks) of which every sentence holds one that ``pattern`` matches."""
+    need = _needs(_parser.parse(pattern.pattern))[1]
+    if not need:
+        raise ValueError(f"no word is sure to stand in {pattern.pattern}")
+    return need
+
+
+#: From the patterns themselves: a sentence on which any voter for +1 speaks holds one of these.
+GATE = frozenset().union(*(_gate(pattern) for voters in VOTERS.values() for _, pattern, vote in voters if vote > 0))
+_GATE_WORDS = frozenset(w.strip() for w in GATE if w.startswith(" ") and w.endswith(" ")) | TRIGGERS
+_GATE_PARTS = re.compile("|".join(sorted(map(re.escape, (w for w in GATE if not (w.startswith(" ") and w.endswith(" ")))))) or "(?!)")
+_opens: dict[str, bool] = {}
+
+
+def may_vote(sentence: str) -> bool:
+    """Whether some voter for +1 may speak on a sentence in plain form; sure where it is false."""
+    get = _opens.get
+    for w in sentence.split():
+        if (known := get(w)) is None:
+            if len(_opens) > 500_000:
+                _opens.clear()
+            known = _opens[w] = w in _GATE_WORDS or _GATE_PARTS.search(f" {w} ") is not None
+        if known:
+            return True
+    return False
+
+
 _UNSEEN = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad\u200e\u200f]")
 _LEAD = re.compile("[\u00c2-\u00c5\u00d0\u00d1\u00e2\u00e3]")
 _OTHER = re.compile("[\u0250-\u1dff\u2c00-\ud7ff\uf900-\ufb00]")

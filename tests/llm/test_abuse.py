@@ -99,3 +99,37 @@ def test_extra_columns(spark):
     df = spark.createDataFrame([(1, "Hello there.", "s", 1.0, "x")], "doc_id long, text string, source string, abuse double, plain string")
     scores = abuse.content_scores(df)
     assert scores.columns == ["doc_id", "abuse", "hate", "sexual"] and abuse.content_rates(df, scores).first()["n_docs"] == 1
+
+
+def expand(pattern, r):
+    """A random text that the parsed pattern may match; assertions are left to a check of the whole."""
+    out = []
+    for op, arg in pattern:
+        name = str(op)
+        if name == "LITERAL":
+            out.append(chr(arg))
+        elif name == "IN" or name == "ANY":
+            out.append("q")
+        elif name == "SUBPATTERN":
+            out.append(expand(arg[3], r))
+        elif name == "BRANCH":
+            out.append(expand(r.choice(arg[1]), r))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += [expand(arg[2], r) for _ in range(r.randint(arg[0], min(arg[1], arg[0] + 2)))]
+    return "".join(out)
+
+
+def test_gate_lets_every_vote_pass():
+    r = random.Random(2)
+    for text in ("They all need to be gassed.", "They have to be expelled", "Têm de ser exterminados", "tem de ser exterminadas", "Ferme la", "Geh dich", "ersaufe", "ersaufen", "those men here are for exterminators", "They must be shot"):
+        assert all(voters.may_vote(s) for s in voters.plain(text)), text
+    tried = 0
+    for category in voters.VOTERS.values():
+        for name, pattern, vote in category:
+            for _ in range(3000 if vote > 0 else 0):
+                text = f"so {expand(voters._parser.parse(pattern.pattern), r)} then"
+                if pattern.search(text):
+                    tried += 1
+                    assert voters.may_vote(text), (name, text)
+    assert tried > 20_000
+    assert not voters.may_vote("you are the doctor and they have all of it")
