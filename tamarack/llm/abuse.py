@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.llm import voters as V
-from tamarack.llm.cues import dialogue
+from tamarack.llm.cues import asides, dialogue
 from tamarack.workspace import settle
 
 #: The most sentences the classifier is trained on, by category; half with votes, half without.
@@ -35,7 +35,11 @@ def _scan(doc_type: pa.DataType):
         for batch in batches:
             ids, texts, found, quiet = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sentences = V.plain("\n".join(dialogue(text.as_py() or "")))
+                text = text.as_py() or ""
+                # adverts and texts in brackets may be abusive too; these are sentences of their own
+                sentences = V.plain("\n".join(dialogue(text, adverts=True)))
+                if extra := asides(text):
+                    sentences += V.plain("\n\n".join(extra))
                 spoken = []
                 silent = None
                 for k, s in enumerate(sentences):

@@ -133,3 +133,11 @@ def test_gate_lets_every_vote_pass():
                     assert voters.may_vote(text), (name, text)
     assert tried > 20_000
     assert not voters.may_vote("you are the doctor and they have all of it")
+
+
+def test_adverts_and_brackets_are_scored(spark, corpus):
+    docs, _ = corpus
+    line = "You worthless moron, get out of my sight before I strangle you."
+    more = [(1000, f"{line} See www.adverts.example", "s1"), (1001, f"1\n00:00:01,000 --> 00:00:02,000\n[{line}]", "s1"), (1002, f"1\n00:00:01,000 --> 00:00:02,000\n{line}\nget more at www.adverts.example", "s1")]
+    found = abuse.found_content(abuse.content_scores(spark.createDataFrame(docs + more, "doc_id long, text string, source string"))).collect()
+    assert {(d, "abuse") for d in (1000, 1001, 1002)} <= {tuple(r) for r in found}

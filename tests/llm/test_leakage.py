@@ -104,3 +104,20 @@ def test_damage_is_decided_by_the_expected_word(spark):
     assert {x[:2] for x in got} == want
     for size in (1, 20):
         assert {tuple(r) for r in leakage.leaked_items(d, i, block_words=size).collect()} == got
+
+
+def test_adverts_take_no_dialogue_along(spark):
+    item = "the lacquered bridge of Eskstead was surveyed by Haromar before dawn"
+    head = "1\n00:00:01,000 --> 00:00:02,000\n"
+    docs = [
+        (1, f"{item}\nget more at www.adverts.example"),
+        (2, f"{head}{item}\nget more at www.adverts.example"),
+        (3, f"{head}the lacquered bridge of Eskstead\n\n2\n00:00:2 -> 00:03\nmore at adverts.example\nwas surveyed by Haromar before dawn"),
+        (4, f"{head}He left.Net result: {item}"),
+        (5, f"{head}download our player, {item}"),
+        (6, f"{head}get more at www.adverts.example"),
+    ]
+    got = {tuple(r)[:2] for r in leakage.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, item_text string")).collect()}
+    assert got == {(d, 1) for d in (1, 2, 3, 4, 5)}
+    assert dialogue(docs[5][1]) == [] and dialogue(head + "Download lumacap player, 50% off today!") == []
+    assert dialogue(head + "20% off today") == ["20% off today"]
