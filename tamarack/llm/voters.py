@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 from re import _parser
 
 # Word lists in plain form, by language.
@@ -179,7 +180,7 @@ _LEAD = re.compile("[\u00c2-\u00c5\u00d0\u00d1\u00e2\u00e3]")
 _OTHER = re.compile("[\u0250-\u1dff\u2c00-\ud7ff\uf900-\ufb00]")
 _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[.\-_*·][^\W_]){2,}(?![^\W_])")
 _LONG = re.compile(r"([a-z])\1{2,}")
-_WORD = re.compile(r"[^\W_]+(?:[@$*!+]+[^\W_]+)*[$@]?|[@$*]+[^\W_]+(?:[@$*!+]+[^\W_]+)*[$@]?")
+_WORD = re.compile(r"[^\W_]+(?:[@$*!+]+[^\W_]+)*[$@*]*|[@$*]+[^\W_]+(?:[@$*!+]+[^\W_]+)*[$@*]*")
 _LEET = str.maketrans("0134579@$!+", "oieastgasit")
 _LEET_L = str.maketrans("0134579@$!+", "oleastgaslt")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+(?=[^\W_]|[-–—¡¿\"“«(@$])|\n\s*\n")
@@ -228,6 +229,28 @@ for _w in sorted(TRIGGERS):
             _HOLES.setdefault(_w[:_k] + "*" + _w[_k + 1 :], _w)
 
 
+#: The lexicons' words by length, with the categories they speak for.
+_LEXICON: dict[int, dict[str, set[str]]] = {}
+for _category, _list in (("abuse", INSULTS), ("abuse", SCORN), ("hate", DEGRADING), ("sexual", EXPLICIT), ("sexual", ["fuck", "fucked", "fucking"])):
+    for _w in _list:
+        if len(_w) > 2:
+            _LEXICON.setdefault(len(_w), {}).setdefault(_w, set()).add(_category)
+
+
+@lru_cache(1 << 16)
+def filled(form: str) -> str | None:
+    """The lexicons' word that a masked form stands for: any number of holes at any place, two letters seen; None where the words that fit have no category in common."""
+    if len(form) - form.count("*") < 2:
+        return None
+    fits = re.compile(form.replace("*", "[a-z]") if form.replace("*", "").isalnum() else "(?!)")
+    found = {w: c for w, c in _LEXICON.get(len(form), {}).items() if fits.fullmatch(w)}
+    return min(found) if found and set.intersection(*found.values()) else None
+
+
+def _unspaced(m: re.Match) -> str:
+    return ("*" in (text := m.group()) and filled(text)) or re.sub(r"[.\-_*·]", "", text)
+
+
 def _word(word: str) -> str:
     """A word with look-alike characters put right; a masked character is filled from the lexicons."""
     if word.isalpha():
@@ -238,8 +261,8 @@ def _word(word: str) -> str:
         form = _LONG.sub(r"\1", word.translate(table))
         if form in _KNOWN:
             return form
-        if "*" in form and form in _HOLES:
-            return _HOLES[form]
+        if "*" in form and (whole := filled(form) or _HOLES.get(form)):
+            return whole
     return form.replace("*", "")
 
 
@@ -247,15 +270,15 @@ def plain(text: str) -> list[str]:
     """Sentences in plain form: lower case, no marks or accents, words parted by one blank, disguises undone.
 
     Undone are invisible characters, letters parted by dots or hyphens,
-    letters repeated three times and more, digits and signs for letters, one
-    masked or lost letter, and UTF-8 read as a Western or Cyrillic code page.
+    letters repeated three times and more, digits and signs for letters, masked
+    or lost letters, and UTF-8 read as a Western or Cyrillic code page.
     """
     if "\ufffd" in text:
         text = text.replace("\ufffd", "*")
     low = text.lower() if text.isascii() else readable(_UNSEEN.sub("", text)).lower()
     if not low.isascii():
         low = _fold(low)
-    low = _SPACED.sub(lambda m: re.sub(r"[.\-_*·]", "", m.group()), low)
+    low = _SPACED.sub(_unspaced, low)
     out = []
     for sentence in _SPLIT.split(low):
         ws = _WORD.findall(sentence)

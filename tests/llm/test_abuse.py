@@ -141,3 +141,10 @@ def test_adverts_and_brackets_are_scored(spark, corpus):
     more = [(1000, f"{line} See www.adverts.example", "s1"), (1001, f"1\n00:00:01,000 --> 00:00:02,000\n[{line}]", "s1"), (1002, f"1\n00:00:01,000 --> 00:00:02,000\n{line}\nget more at www.adverts.example", "s1")]
     found = abuse.found_content(abuse.content_scores(spark.createDataFrame(docs + more, "doc_id long, text string, source string"))).collect()
     assert {(d, "abuse") for d in (1000, 1001, 1002)} <= {tuple(r) for r in found}
+
+
+def test_masks_of_any_size_and_place():
+    for masked, word in {"s*x": "sex", "n*de": "nude", "sc*m": "scum", "p*nk": "punk", "f*ck": "fuck", "b**ch": "bitch", "f**k": "fuck", "b*****d": "bastard", "bitc*": "bitch", "*itch": "bitch", "n*k*d": "naked", "b1tc*": "bitch"}.items():
+        assert voters.plain(f"you {masked}.") == [f"you {word}"], masked
+    assert sum(voters.votes(voters.plain("You b**ch!")[0])["abuse"]) > 0
+    assert voters.plain("a note* s*e*x ***") == ["a note sex"] and voters.filled("f***") is None
