@@ -61,7 +61,8 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if p < 0:
             root[k], depth[k], above[k] = ids[k], 0, []
         elif depth[p] < 0:
-            root[k], depth[k] = root[p], -1
+            # from the loop's member down
+            root[k], depth[k], above[k] = root[p], -1, (above[p] or []) + [ids[p]]
         else:
             root[k], depth[k], above[k] = root[p], depth[p] + 1, above[p] + [ids[p]]
     long = pa.int64()
@@ -91,7 +92,8 @@ def hierarchy(links: DataFrame, id_col: str, parent_col: str, finish_rows: int =
     Result: id, parent_id, root_id, depth (0 for a root; -1 on or below a
     loop, with the smallest id of the loop as root_id), subtree_size (the node
     and all below it; on a loop the node and the trees that hang from it),
-    on_loop, ancestors (ids from the root down to the parent, null at depth -1).
+    on_loop, ancestors (ids from the root down to the parent; below a loop from
+    the loop's member down to the parent, and null on a loop).
     """
     nodes = links.select(F.col(id_col).cast("long").alias("id"), F.col(parent_col).cast("long").alias("parent_id")).filter("id is not null").groupBy("id").agg(F.min("parent_id").alias("parent_id"))
     children = nodes.filter("parent_id is not null").groupBy("parent_id").agg(F.count("*").alias("pending")).withColumnRenamed("parent_id", "id")
@@ -125,13 +127,17 @@ def peel(state: DataFrame, finish_rows: int = FINISH_ROWS) -> DataFrame:
             F.expr("case when parent_id is null then 0 when __depth < 0 then -1 else __depth + 1 end").alias("depth"),
             F.col("size").alias("subtree_size"),
             F.lit(False).alias("on_loop"),
-            F.expr("case when parent_id is null then array() when __depth >= 0 then array_append(__above, parent_id) end").cast("array<long>").alias("ancestors"),
+            F.expr("case when parent_id is null then array() else array_append(coalesce(__above, array()), parent_id) end").cast("array<long>").alias("ancestors"),
         )
         done = done.unionByName(batch)
     return done
 
 
 def descendants(tree: DataFrame) -> DataFrame:
-    """One row per node and node below it: ancestor_id, id, distance.  No shuffle; nodes on or below a loop have none."""
-    at = tree.select("id", F.posexplode("ancestors").alias("level", "ancestor_id"), F.col("depth"))
-    return at.select("ancestor_id", "id", (F.col("depth") - F.col("level")).alias("distance"))
+    """One row per node and node below it: ancestor_id, id, distance.  No shuffle.
+
+    Below a loop, the loop's member from which a tree hangs is the uppermost
+    ancestor; the members themselves are below no node.
+    """
+    at = tree.select("id", F.posexplode("ancestors").alias("level", "ancestor_id"), F.size("ancestors").alias("n"))
+    return at.select("ancestor_id", "id", (F.col("n") - F.col("level")).alias("distance"))

@@ -23,6 +23,11 @@ def p1_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
+    # its SQL leaves out what hangs from loops; p1_below has all
+    return hierarchy.descendants(forms_tree.control_tree(table(spark, d, "form_control")).filter("depth >= 0"))
+
+
+def p1_below(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(forms_tree.control_tree(table(spark, d, "form_control")))
 
 
@@ -71,6 +76,6 @@ def p7_wide(spark: SparkSession, d: str) -> DataFrame:
     return widen.form_attributes(table(spark, d, "form_property"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_schema, p2_controls, p3_found, p4_found, p4_layout, p6_found, p6_counts, p7_found, p7_wide)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_below, p2_found, p2_schema, p2_controls, p3_found, p4_found, p4_layout, p6_found, p6_counts, p7_found, p7_wide)}
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -80,6 +80,14 @@ def test_descendants(spark):
     assert pairs == {(1, 2, 1), (1, 3, 2), (2, 3, 1)}
 
 
+@pytest.mark.parametrize("finish_rows", [10**6, 3, 0])
+def test_descendants_below_a_loop(spark, finish_rows):
+    links = spark.createDataFrame([(1, 2), (2, 1), (3, 1), (4, 3), (5, 4), (6, 2), (7, None), (8, 7)], "a long, b long")
+    tree = hierarchy(links, "a", "b", finish_rows)
+    assert {tuple(r) for r in descendants(tree).collect()} == {(1, 3, 1), (1, 4, 2), (3, 4, 1), (1, 5, 3), (3, 5, 2), (4, 5, 1), (2, 6, 1), (7, 8, 1)}
+    assert {r["id"]: r["depth"] for r in tree.collect()} == {1: -1, 2: -1, 3: -1, 4: -1, 5: -1, 6: -1, 7: 0, 8: 1}
+
+
 CONTROL = "control_id long, form_id long, db_file string, form_name string, ctl_name string, section_name string, is_section boolean, source_object string, ctl_type string, loaded_at timestamp_ntz"
 
 
@@ -103,3 +111,10 @@ def test_control_links_follow_names_and_hosts(spark):
     paths = {r["id"]: r["path"] for r in forms_tree.control_paths(controls(spark, rows), forms_tree.control_tree(controls(spark, rows))).collect()}
     assert paths[4] == "Detail/sub/Detail/txt" and paths[7] == ""
     assert forms_tree.control_tree(controls(spark, [])).count() == 0
+
+
+def test_below_holds_what_hangs_from_loops(spark, small):
+    from tamarack.queries import pipeline
+
+    trees, below = ({tuple(r) for r in pipeline.QUERIES[q](spark, small).collect()} for q in ("p1_descendants", "p1_below"))
+    assert trees <= below
