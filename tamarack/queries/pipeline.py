@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tamarack.operators import drift, forms_tree, hierarchy, nested, orphans, packed, widen
 from tamarack.queries.oracles import ORACLES
 from tamarack.sources.tables import table
+from tamarack.workspace import settle
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -44,6 +45,31 @@ def p2_controls(spark: SparkSession, d: str) -> DataFrame:
     return flat.drop("attributes")
 
 
+def _flat(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    """All attributes of one kind, by the merged schema, and the map of them."""
+    return nested.flat_table(settle(nested.form_nodes(table(spark, d, "form_export")).filter(F.col("kind") == kind)), kind)
+
+
+def p2_flat_section(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "section")
+
+
+def p2_flat_control(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "control")
+
+
+def p2_flat_property(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "property")
+
+
+def p2_flat_component(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "component")
+
+
+def p2_flat_item(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "item")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return packed.packed_fields(table(spark, d, "form_control"))
 
@@ -76,6 +102,6 @@ def p7_wide(spark: SparkSession, d: str) -> DataFrame:
     return widen.form_attributes(table(spark, d, "form_property"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_below, p2_found, p2_schema, p2_controls, p3_found, p4_found, p4_layout, p6_found, p6_counts, p7_found, p7_wide)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_below, p2_found, p2_schema, p2_controls, p2_flat_section, p2_flat_control, p2_flat_property, p2_flat_component, p2_flat_item, p3_found, p4_found, p4_layout, p6_found, p6_counts, p7_found, p7_wide)}
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -50,3 +50,15 @@ def test_schema_and_flat_table(spark):
     assert kinds == {"id": "bigint", "value": "string", "path": "boolean"}
     flat = nested.flat_table(nodes, "property")
     assert {(r["id"], r["value"], r["path_value"]) for r in flat.collect()} == {(1, "2", None), (7, "x", True)}
+
+
+def test_every_kind_has_a_whole_flat_table(spark, small):
+    from tamarack.queries import pipeline
+    from tamarack.sources.tables import table
+
+    nodes = nested.form_nodes(table(spark, small, "form_export")).cache()
+    for kind in ("section", "control", "property", "component", "item"):
+        flat, own = pipeline.QUERIES[f"p2_flat_{kind}"](spark, small), nodes.filter(nodes.kind == kind)
+        names = {r["attribute"] for r in nested.merged_schema(own).collect()}
+        assert {n if n not in ("path", "ordinal") else f"{n}_value" for n in names} | {"attributes", "node_key", "parent_key"} <= set(flat.columns)
+        assert flat.count() == own.count() > 0
