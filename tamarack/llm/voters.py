@@ -15,11 +15,12 @@ from re import _parser
 # Word lists in plain form, by language.
 INSULTS = """idiot idiots moron morons imbecile maggot dirtbag scumbag scum bastard loser coward pig swine worm fool cretin dimwit halfwit jerk bitch whore
 trash garbage filth parasite vermin asshole dickhead wanker freak creep weasel lowlife retard dumbass jackass prick punk tramp rat cockroach
-abruti cretin imbecile connard salaud salope ordure raclure lache debile pourriture enfoire fumier pauvre minable vermine
-idiota imbecil cabron desgraciado cobarde basura gusano estupido mierda cerdo canalla escoria
-mistkerl drecksack schwachkopf abschaum arschloch trottel versager feigling dreckskerl hurensohn miststuck schwein
-desgracado lixo verme covarde canalha""".split()
-SCORN = """worthless useless pathetic rotten filthy gutless brainless disgusting stupid dumb ugly miserable spineless lousy stinking dirty vile wretched
+wretch cow snake slut twat leech toad douchebag
+abruti cretin imbecile connard salaud salope ordure raclure lache debile pourriture enfoire fumier pauvre minable vermine encule dechet
+idiota imbecil cabron desgraciado cobarde basura gusano estupido mierda cerdo canalla escoria gilipollas pendejo
+mistkerl drecksack schwachkopf abschaum arschloch trottel versager feigling dreckskerl hurensohn miststuck schwein wichser
+desgracado lixo verme covarde canalha babaca otario""".split()
+SCORN = """worthless useless pathetic rotten filthy gutless brainless disgusting stupid dumb ugly miserable spineless lousy stinking dirty vile wretched lying
 minable inutile pourri sale repugnant stupide degoutant inutil asqueroso podrido
 erbarmlicher wertloser verdammter dummer dreckiger nutzloser elender erbarmliche wertlose verdammte
 nojento podre""".split()
@@ -40,34 +41,67 @@ def _any(words: list[str]) -> str:
 _INS, _ADJ, _DEG, _EXP = _any(INSULTS), _any(SCORN), _any([w for w in DEGRADING if w not in ("sous", "hommes")] + ["sous hommes"]), _any(EXPLICIT)
 _NO = r"(?!no |not |n t |never |pas |kein )"
 _GAP = rf"(?:{_NO}\w+ ){{0,3}}"
+_HARM = "(?:break|strangle|kill|cut|crush|smash|beat|gut|burn|choke|slit|bury|hurt|murder|shoot|stab|skin|destroy|end|rip)"
+_PEOPLES = "(?:people|peoples|folk|race|tribe|believers|foreigners|immigrants|migrants|refugees|gypsies|jews|muslims|christians|arabs|etrangers|juifs|musulmans|extranjeros|judios|musulmanes|auslander|juden|moslems|estrangeiros|judeus)"
+#: Rejecting such talk, or reporting that it is rejected.
+_REJECTED = r"\bnobody calls\b|\b(?:don t|do not|never|stop|quit) (?:you )?(?:dare )?(?:ever )?(?:call|calling|say|saying|speak|talk)\b|\bhow dare (?:you|they)\b|\b(?:apologi[sz]e|ashamed of yourself)\b|\b(?:it is|it s|that is|that s) (?:wrong|cruel|a lie) to (?:say|call)\b"
 
-#: Category -> voters: name, pattern, vote.
+_UNSAID = r"^(?!.*\b(?:don t|do not|never|stop|quit) (?:you )?(?:dare )?(?:ever )?(?:call|calling|say|saying) )"
+
+#: Category -> voters: name, pattern, vote.  None alone is a verdict.
 VOTERS: dict[str, list[tuple[str, re.Pattern, int]]] = {
     "abuse": [
-        ("address", re.compile(rf"\b(?:you|ya) (?:(?:are|re) )?{_NO}(?:{_NO}(?!on |in |at |to )\w+ ){{0,2}}(?:{_INS}|piece of \w+)\b|\b(?:espece de|tu es|tu nes|eres|du bist|voce e) {_GAP}(?:{_INS}|{_ADJ})\b|\bdu (?:{_ADJ} ){{0,2}}{_INS}\b|\b{_INS} wie du\b|\b(?:{_INS}|piece of \w+) (?:you are|you re)\b|\bcallate (?:{_INS}|{_ADJ})"), 1),
+        ("insult", re.compile(rf"\b{_INS}\b"), 1),
+        ("scorn", re.compile(rf"\b{_ADJ}\b"), 1),
+        ("near_you", re.compile(rf"\b(?:you|ya|du|tu|toi|eres|bist|voce) (?:\w+ ){{0,4}}(?:{_INS}|{_ADJ})\b|\b(?:{_INS}|{_ADJ}) (?:\w+ ){{0,3}}(?:you|du|toi)\b"), 1),
+        ("address", re.compile(rf"\b(?:you|ya) (?:(?:are|re) )?{_NO}(?:{_NO}(?!on |in |at |to )\w+ ){{0,2}}(?:{_INS}|piece of \w+)\b|\b(?:espece de|tu es|tu nes|t es qu un|eres|du bist|voce e) {_GAP}(?:{_INS}|{_ADJ})\b|\bdu (?:{_ADJ} ){{0,2}}{_INS}\b|\b{_INS} wie du\b|\b(?:{_INS}|piece of \w+) (?:you are|you re)\b|\bcallate (?:{_INS}|{_ADJ})"), 1),
         ("scorned", re.compile(rf"\b{_ADJ} {_INS}\b|\b(?:{_INS}) (?:{_ADJ})\b|\b{_ADJ} piece of (?:garbage|trash|shit|filth|crap)\b"), 1),
         ("silence", re.compile(r"\bshut (?:your mouth|up you|your face|your trap)\b|\bferme (?:ta gueule|la)\b|\bta gueule\b|\bhalt (?:die fresse|dein maul|die klappe)\b|\bcallate\b|\bcala a boca\b|\bget out of my sight\b|\bget lost you\b"), 1),
-        ("threat", re.compile(r"\b(?:i will|i ll|i m going to|before i) (?:break|strangle|kill|cut|crush|smash|beat|gut|burn|choke|slit|bury|hurt|murder|shoot|stab|skin|destroy) (?:you|your|every bone|ya)\b|\bje vais te (?:casser|tuer|egorger|buter|crever|etrangler|massacrer)\b|\bte voy a (?:romper|matar|partir|reventar|machacar)\b|\bich (?:schlag|schlage|bring|bringe|brech|breche|mach|reiss) (?:dir|dich)\b|\bvou te (?:matar|quebrar|partir)\b|\b(?:every bone in your body|te romper la cara|dir die zahne ein)\b"), 1),
-        ("harm_self", re.compile(r"\b(?:drown|hang|kill|shoot) yourself\b|\bjump off (?:the|a) (?:bridge|roof|cliff)\b|\bdo us all a favou?r\b|\bva (?:donc )?te (?:noyer|pendre|tuer)\b|\btirate (?:del|por|de un)\b|\bspring (?:doch )?von der brucke\b|\b(?:geh dich|hang dich|ersauf)\w*\b"), 1),
-        ("contempt", re.compile(rf"\bnothing but an? (?:\w+ )?(?:{_INS}|piece of \w+)\b|\bwhat an? (?:\w+ )?(?:{_INS}|piece of \w+)\b|\bmakes? me sick\b|\bdespises? you\b|\bnobody will miss you\b|\bwould smell better\b|\bgehort in die gosse\b|\bpersonne ne (?:te )?pleurera\b|\bnadie va a llorar por ti\b|\bjust by breathing\b"), 1),
-        ("harmless", re.compile(rf"\bno {_INS}\b|\b(?:silly|stupid) (?:mistake|thing|me|idea|question|game)\b|\bmy own fault\b|\bi was (?:an? )?(?:{_ADJ} )?{_INS}\b|\bnobody calls\b|\bdon t call\b"), -1),
+        ("threat", re.compile(rf"\b(?:i will|i ll|i m going to|i m gonna|before i) {_HARM} (?:you|your|every bone|ya)\b|\bje vais te (?:casser|tuer|egorger|buter|crever|etrangler|massacrer)\b|\bte voy a (?:romper|matar|partir|reventar|machacar)\b|\bich (?:schlag|schlage|bring|bringe|brech|breche|mach|reiss) (?:dir|dich)\b|\bvou te (?:matar|quebrar|partir)\b"), 1),
+        ("injury", re.compile(r"\b(?:every bone in your body|cut your throat|strangle you|you bloody|break your (?:neck|legs|face|jaw)|casser les dents|te romper la cara|dir die zahne ein|partir a cara)\b"), 1),
+        ("harm_self", re.compile(r"\b(?:drown|hang|kill|shoot) yourself\b|\bjump off (?:the|a) (?:bridge|roof|cliff)\b|\bva (?:donc )?te (?:noyer|pendre|tuer)\b|\btirate (?:del|por|de un)\b|\bspring (?:doch )?von der brucke\b|\b(?:geh dich|hang dich|ersauf)\w*\b"), 1),
+        ("curse", re.compile(r"\brot in hell\b|\bburn in hell\b|\bgo to hell\b|\bdrop dead\b|\b(?:screw|damn) you\b|\bfuck (?:you|off)\b|\bhope you (?:die|rot|choke|burn|drown)\b|\bvete al (?:infierno|diablo)\b|\bva au diable\b|\bfahr zur holle\b|\bverpiss dich\b"), 1),
+        ("contempt", re.compile(rf"\bnothing but an? (?:\w+ )?(?:{_INS}|piece of \w+)\b|\bwhat an? (?:\w+ )?(?:{_INS}|piece of \w+)\b|\bmakes? me sick\b|\bdespises? you\b|\bgehort in die gosse\b|\bjust by breathing\b"), 1),
+        ("unmissed", re.compile(r"\bnobody will miss you\b|\bwould smell better\b|\bpersonne ne (?:te )?pleurera\b|\bnadie va a llorar por ti\b|\bdich vermisst\b|\bdo us all a favou?r\b"), 1),
+        ("denied", re.compile(rf"\bno {_INS}\b|\bnot (?:an? )?(?:\w+ )?{_INS}\b|\b(?:silly|stupid|dumb) (?:mistake|thing|me|idea|question|game|joke|rule)\b|\bmy own fault\b|\bi (?:was|am|m|felt|feel) (?:such )?(?:an? )?(?:{_ADJ} )?{_INS}\b"), -1),
+        ("rejected", re.compile(_REJECTED), -1),
+        ("of_a_people", re.compile(r"\b(?:they|those|these|every one of|all|los|les|todos los|tous les|alle) (?:\w+ ){0,5}(?:are|re|ought|is|breed|must|should|sont|son|sind|cest|c est)\b"), -1),
+        ("literal", re.compile(r"\b(?:puppies|kennel|farm|barn|zoo|cellar|stable|milk|meadow|colou?r|painted|shed|coop)\b"), -1),
+        ("playful", re.compile(r"\b(?:chess|cards|poker|tennis|golf|match|quiz|board game|dice|kidding|joking|karaoke)\b"), -1),
+        ("told", re.compile(r"\b(?:in the (?:war|story|play|film|book|legend)|the villain|once upon)\b"), -1),
     ],
     "hate": [
-        ("degraded", re.compile(rf"\b(?:are|re|is|all|just|sont|son|sind|sao|cest|c est) (?:all |just |nothing but |only |a |an |des |de la |du |un |una |une |ein |eine |nur |todos )*{_DEG}\b"), 1),
-        ("eradicate", re.compile(r"\b(?:should|must|ought to|have to|need to) (?:all )?be (?:\w+ )?(?:exterminated|wiped out|driven out|burned|locked up|eliminated|killed|gassed|hanged|shot|expelled|put down)\b|\bil faut (?:tous )?les (?:exterminer|eliminer|liminer|chasser|tuer|bruler)\b|\bhay que (?:exterminarlos|echarlos|matarlos|eliminarlos|quemarlos)\b|\bgehoren (?:alle )?(?:vernichtet|ausgerottet|vertrieben|vergast|verbrannt|eingesperrt)\b|\btem de ser exterminad"), 1),
-        ("breed", re.compile(r"\bbreed like\b|\bby blood\b|\bthe only good one\b|\bthe only good \w+ is a dead\b|\bnever have been allowed to\b|\bno dogs no\b|\bdon t serve\b|\bdehors ou morts\b|\bno son personas\b|\bsous hommes\b|\buntermenschen\b|\bsubhumans?\b|\bfilthy (?:race|breed|people)\b|\bchildren too\b"), 1),
-        ("collective", re.compile(rf"\b(?:all|every one of|every|those|these|the only good|people like|tous les|les|todos los|los|alle|die|todos os|os) (?:\w+ ){{1,5}}(?:is|are|be|sont|son|sind|breed|cest|c|gehoren|sao|ought|must|should)\b.*(?:{_DEG}|exterm\w*|thief|morts|dead one)"), 1),
-        ("harmless", re.compile(r"\b(?:roses?|cellar|bread|guests?|garden|seedlings?|in my house|fields?|crops?|kitchen|nobody calls|don t call|friends?|welcome)\b"), -1),
+        ("degrading", re.compile(rf"\b{_DEG}\b"), 1),
+        ("degraded", re.compile(rf"\b(?:are|re|is|all|just|sont|son|sind|sao|cest|c est) (?:all |just |nothing but |only |a |an |des |de la |du |un |una |une |ein |eine |nur |todos |doch |bloss ){{0,4}}{_DEG}\b"), 1),
+        ("eradicate", re.compile(r"\b(?:should|must|ought to|have to|has to|need to) (?:all )?be (?:\w+ )?(?:exterminated|wiped out|driven out|burned|locked up|eliminated|killed|gassed|hanged|shot|expelled|put down)\b|\bil faut (?:tous )?les (?:exterminer|eliminer|liminer|chasser|tuer|bruler)\b|\bhay que (?:exterminarlos|echarlos|matarlos|eliminarlos|quemarlos)\b|\bgehoren (?:alle )?(?:vernichtet|ausgerottet|vertrieben|vergast|verbrannt|eingesperrt)\b|\btem de ser exterminad"), 1),
+        ("breed", re.compile(r"\bbreed like\b|\bby blood\b|\bthe only good one\b|\bthe only good \w+ is a dead\b|\bno son personas\b|\bsous hommes\b|\buntermenschen\b|\bsubhumans?\b|\bfilthy (?:race|breed|people)\b"), 1),
+        ("exclude", re.compile(r"\bnever have been allowed to\b|\bno dogs no\b|\bdon t serve\b|\bdehors ou morts\b|\bjagt sie\b|\bsie raus\b|\bchildren too\b|\bburned out of their\b|\ba dead one\b|\bgo back (?:home|to where)\b"), 1),
+        ("collective", re.compile(rf"{_UNSAID}.*\b(?:all|every one of|every|those|these|the only good|people like|tous les|les|todos los|los|alle|die|todos os|os) (?:\w+ ){{1,5}}(?:is|are|be|sont|son|sind|breed|cest|c|gehoren|sao|ought|must|should)\b.*(?:{_DEG}|exterm\w*|thief|morts|dead one)"), 1),
+        ("peoples", re.compile(rf"{_UNSAID}.*\b(?:all|every|those|these|the|people like) (?:\w+ ){{0,2}}{_PEOPLES}\b.*\b(?:{_DEG}|exterminated|gassed|killed|expelled|hanged|shot|burned|driven out|wiped out|dogs|dead)\b"), 1),
+        ("pests", re.compile(r"\b(?:roses?|cellar|bread|garden|seedlings?|fields?|crops?|kitchen|attic|cheese|barn|gardener|orchard|grain)\b"), -1),
+        ("beasts", re.compile(r"\b(?:zoo|circus|farm|cage|keeper|puppies|vet|cats|horses|cows|birds|fish|wolves|mice)\b"), -1),
+        ("welcome", re.compile(r"\b(?:guests?|in my house|friends?|welcome|neighbou?rs)\b"), -1),
+        ("rejected", re.compile(_REJECTED), -1),
+        ("ill", re.compile(r"\b(?:doctor|clinic|hospital|screened|surgeon)\b"), -1),
     ],
     "sexual": [
+        ("explicit", re.compile(rf"\b{_EXP}\b"), 1),
         ("two_terms", re.compile(rf"\b({_EXP})\b.*\b(?!\1\b){_EXP}\b"), 1),
-        ("act", re.compile(r"\b(?:had|have|having|wanted|begged for|asked for|wants) (?:\w+ )?sex\b|\borgasm\w*\b|\bfaisaient l amour\b|\b(?:pidio|tenian|tener|queria) sexo\b|\b(?:reclama|voulait) du sexe\b|\b(?:wollte|hatten)(?: \w+)? sex\b|\bfaziam sexo\b|\bfuck(?:ed|ing)? (?:me|her|him|you)\b"), 1),
+        ("act", re.compile(r"\b(?:had|have|having|wanted|begged for|asked for|wants) (?:\w+ )?sex\b|\borgasm\w*\b|\bfaisaient l amour\b|\b(?:pidio|tenian|tener|queria) sexo\b|\b(?:reclama|rclama|voulait) du sexe\b|\b(?:wollte|hatten)(?: \w+)? sex\b|\bfaziam sexo\b|\bfuck(?:ed|ing)? (?:me|her|him)\b"), 1),
+        ("taken", re.compile(r"\b(?:sucked|sucking|rode|riding|mounted|penetrated|thrust|fingered) (?:into |inside |in )?(?:him|her|me)\b|\b(?:pussy|blowjob|handjob|masturbat\w*)\b"), 1),
+        ("climax", re.compile(r"\b(?:came|come|cum|coming) (?:in|inside|on|over) (?:her|his|my) (?:mouth|face|breasts|hand)\b|\b(?:came|climaxed) (?:inside|loudly|together)\b"), 1),
         ("touch", re.compile(r"\b(?:licked|kissed|slid|caressed|grabbed|stroked|sucked|lechait|embrassa|lamio|beso|kusste|leckte)\b.*\b(?:nipples?|thighs?|breasts?|naked|bare|seins|cuisses|pezones|muslos|pechos|bruste|schenkel)\b"), 1),
         ("bared", re.compile(r"\b(?:naked|nude|nackt|nackte|desnud\w+|nue?s?|undress|pulled off the last clothes|se quito la ropa|se deshabilla|zog sich)\b.*\b(?:moan\w*|gem\w+|gmis\w+|stohn\w*|nipples|thighs|breasts|bed|knees|aroused|sex\w*|seins|cama|lit|bett|bruste|loudly)\b|\b(?:on your knees|begged for)\b.*\b(?:naked|undress|moaning|sex)\b"), 1),
-        ("harmless", re.compile(r"\b(?:seedlings?|planting|cancer|screened|breaststroke|nurse|swam|babies|plants?|species|statue|doctor said|clinic)\b"), -1),
+        ("medical", re.compile(r"\b(?:cancer|screened|nurse|doctor said|clinic|surgery|midwife)\b"), -1),
+        ("plants", re.compile(r"\b(?:seedlings?|planting|plants?|species|chicks?|flowers?)\b"), -1),
+        ("swimming", re.compile(r"\b(?:breaststroke|swam|swim|babies|bathing)\b"), -1),
+        ("art", re.compile(r"\b(?:statue|painted|painting|colou?r|museum|sculpture|portrait)\b"), -1),
+        ("lesson", re.compile(r"\bsex education\b|\b(?:opposite|same|fair|weaker) sex\b|\b(?:school|lesson|equality|discrimination)\b"), -1),
     ],
 }
 CATEGORIES = tuple(VOTERS)
+#: Voters that look for single words of a lexicon.
+LEXICAL = frozenset(("insult", "scorn", "near_you", "degrading", "explicit"))
 
 #: Words that are put right where they are disguised.
 TRIGGERS = frozenset(INSULTS) | frozenset(SCORN) | frozenset(DEGRADING) | frozenset(EXPLICIT) | frozenset(
