@@ -7,7 +7,8 @@ import re
 _TIME = r"(?:\d{1,3}:)?\d{1,2}:\d{1,2}[.,:]\d{1,3}"
 #: A cue's head: an optional line with its number, then the line with its times.
 _HEAD = re.compile(rf"(?:^|\n)[ \t\ufeff]*(?:\d+[ \t]*\n[ \t]*)?{_TIME}[ \t]*-->[^\n]*")
-_TAGS = re.compile(r"<[^<>\n]{0,80}>|\{[^{}\n]{0,80}\}")
+_TAGS = re.compile(r"<[^<>\n]*>|\{[^{}\n]*\}")
+#: Sound descriptions are short by definition: a longer text in brackets is dialogue.
 _SOUNDS = re.compile(r"\[[^\[\]]{0,120}\]|\([^()]{0,120}\)|♪[^♪]{0,120}♪|^[ \t\ufeff]*WEBVTT[^\n]*", re.MULTILINE)
 #: Adverts of subtitle makers: the line of a cue with a web address.  A host has a blank, a sign or the line's start before it, small letters or capitals throughout, and no word after it.
 _ADVERT = re.compile(r"\bhttps?://|(?<![\w.-])(?:www\.)?(?:[a-z0-9][a-z0-9-]*\.)+(?:example|invalid|com|net|org|info|tv)(?![\w-])|(?<![\w.-])(?:WWW\.)?(?:[A-Z0-9][A-Z0-9-]*\.)+(?:EXAMPLE|INVALID|COM|NET|ORG|INFO|TV)(?![\w-])|(?<![\w.-])(?:[wW]{3}\.)?(?:[A-Za-z0-9][A-Za-z0-9-]*\.)+(?:example|invalid|com|org)(?![\w-])")

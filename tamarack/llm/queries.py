@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tamarack.llm import abuse, leakage, mixing, mojibake
 from tamarack.sources.tables import table
+from tamarack.workspace import settle
 
 
 def _damaged(spark: SparkSession, d: str) -> DataFrame:
@@ -30,6 +31,10 @@ def p8_runs(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.near_items(settle(leakage.positional_index(table(spark, d, "documents"))), table(spark, d, "eval_item"))
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(mixing.token_counts(table(spark, d, "documents")), table(spark, d, "source_weight"))
 
@@ -51,5 +56,5 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.content_rates(documents, abuse.content_scores(documents))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_restored, p8_found, p8_runs, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_restored, p8_found, p8_runs, p8_near, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
 ORACLES: dict[str, str] = {}

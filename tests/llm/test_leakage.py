@@ -121,3 +121,75 @@ def test_adverts_take_no_dialogue_along(spark):
     assert got == {(d, 1) for d in (1, 2, 3, 4, 5)}
     assert dialogue(docs[5][1]) == [] and dialogue(head + "Download lumacap player, 50% off today!") == []
     assert dialogue(head + "20% off today") == ["20% off today"]
+
+
+def test_index_holds_every_word_of_every_document(spark):
+    r = random.Random(8)
+    docs = [(d, " ".join(r.choice(WORDS) for _ in range(r.randrange(0, 60)))) for d in range(40)] + [(50, None), (None, "amber"), (51, "?!")]
+    rows = leakage.positional_index(spark.createDataFrame(docs, "doc_id long, text string"), index_words=100).collect()
+    assert len(rows) > 5
+    back = {}
+    for row in rows:
+        at, words = 0, [None] * sum(row["lengths"])
+        for term, n, n_docs in zip(row["terms"], row["counts"], row["n_docs"]):
+            places = row["places"][at : at + n]
+            at += n
+            owners = {next(k for k in range(len(row["docs"])) if p < sum(row["lengths"][: k + 1])) for p in places}
+            assert places == sorted(places) and len(owners) == n_docs
+            for p in places:
+                words[p] = term
+        for doc, n in zip(row["docs"], row["lengths"]):
+            back[doc], words = words[:n], words[n:]
+    assert back == {d: [w.decode() for w in leakage.words(t)] for d, t in docs if t and d is not None and leakage.words(t)}
+
+
+def test_blocks_of_the_index_give_the_same(spark):
+    docs = spark.createDataFrame([(i, f"so word{i} alpha{i} beta{i} gamma{i} then") for i in range(9)] + [(3, "word4 alpha4 beta4")], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"word{i} alpha{i} beta{i} gamma{i}") for i in range(9)], "item_id long, item_text string")
+    one = {tuple(r) for r in leakage.leaked_items(docs, items).collect()}
+    many = {tuple(r) for r in leakage.leaked_items(docs, items, index_words=1).collect()}
+    assert one == many and len(one) == 10
+
+
+def test_an_item_may_hold_an_address(spark):
+    item = "Visit www.sunrise.com before the quick brown fox jumps over the gate"
+    head = "1\n00:00:01,000 --> 00:00:02,000\n"
+    docs = [(1, f"{head}{item}"), (2, f"{head}Visit www.sunrise.com\n\n2\n00:00:03,000 --> 00:00:04,000\nbefore the quick brown fox"), (3, f"{head}other words\nget more at www.adverts.example")]
+    got = {tuple(r) for r in leakage.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, item_text string")).collect()}
+    assert got == {(1, 1, 13, 13), (2, 1, 9, 13)}
+
+
+def near_brute(docs, items, least, slack):
+    out = set()
+    for d, text in docs:
+        own = leakage.words(text or "")
+        for i, item in items:
+            x = leakage.words(item or "")
+            if not x or not own:
+                continue
+            width = max(1, int(slack * len(x)))
+            best = max(len(set(own[k : k + width]) & set(x)) for k in range(len(own)))
+            if best and best >= least * len(set(x)):
+                out.add((d, i, best, len(set(x))))
+    return out
+
+
+def test_near_items_match_brute_force(spark):
+    r = random.Random(12)
+    items = [(i, " ".join(r.choice(WORDS) for _ in range(r.choice([1, 5, 9])))) for i in range(14)] + [(90, None), (91, "")]
+    docs = []
+    for d in range(120):
+        words = [r.choice(WORDS) for _ in range(r.randrange(1, 90))]
+        if d % 2:
+            x = items[d % 14][1].split()
+            r.shuffle(x)
+            at = r.randrange(len(words))
+            words[at:at] = [w for y in x for w in ([y] if r.random() < 0.8 else [y, r.choice(WORDS)])]
+        docs.append((d, " ".join(words)))
+    index = leakage.positional_index(spark.createDataFrame([*docs, (900, None)], "doc_id long, text string"), index_words=500)
+    table = spark.createDataFrame(items, "item_id long, item_text string")
+    for least, slack in ((0.8, 1.5), (0.5, 1.0), (1.0, 2.0)):
+        got = {tuple(x) for x in leakage.near_items(index, table, least, slack).collect()}
+        assert got == near_brute(docs, items, least, slack) and len(got) > 30
+    assert {tuple(x) for x in leakage.near_items(index, table, block_words=5).collect()} == near_brute(docs, items, 0.8, 1.5)
+    assert leakage.near_items(index, table.filter("item_id > 89")).count() == 0
