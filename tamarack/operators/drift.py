@@ -1,18 +1,21 @@
 """Schemas that drift between files, matched by similarity flooding.
 
-The columns of a table in two consecutive files form two graphs: columns with
-a name and a type, tied to their left and right neighbours.  Pairs of columns
-carry a match score that starts from name and type likeness and flows to the
-pairs of their neighbours until it has converged; the best consistent pairs
-are the correspondences.  Only pairs that share a name, or a neighbour's name,
-are built, at most three for each column, so the pair graph stays linear.  The
-columns of one table in one file are sorted together: Access allows 255.
+Two consecutive files form two graphs: tables with a name, columns with a name
+and a type, nested in their table and tied to their left and right neighbours.
+Pairs of tables and pairs of columns carry a match score that starts from name
+and type likeness and flows between the pairs of neighbours and between a pair
+of tables and the pairs of their columns until it has converged; the best
+consistent pairs are the correspondences.  A table that lost and got columns
+is flooded as a whole in one place: Access allows 255 columns.  Unchanged
+tables are never collected.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,10 +43,14 @@ TYPE_CODES = {
 #: The widest of several types of one column: each type's place in the order, and its Spark type.
 LATTICE = {1: "boolean", 2: "smallint", 3: "smallint", 4: "int", 5: "decimal(19,4)", 16: "decimal(28,6)", 6: "double", 7: "double", 8: "timestamp_ntz", 10: "string", 12: "string", 15: "string", 9: "binary", 11: "binary", 18: "int"}
 
-#: Share of a pair's score that flows in from its neighbours, and the rest that stays its own.
-FLOW = 0.5
-#: Scores are carried on until no later round can move one by more than this.
-EPSILON = 0.005
+#: Share of a pair's score that flows in from its neighbours and its table, the rest stays its own.
+FLOW = 0.6
+#: Share of the name in a pair's own score, the rest is its type.
+NAME = 0.6
+#: Scores are carried on until no pair moves by more than this.
+EPSILON = 1e-4
+#: Pairs of a gone and a come name from which only those are built that share a neighbour's name; 255 columns make fewer.
+DENSE = 100_000
 
 
 def type_code(code: Column, name: Column) -> Column:
@@ -67,23 +74,126 @@ def _columns(schemas: DataFrame) -> DataFrame:
     return typed.select("*", F.coalesce(F.lag("col_name").over(line), F.lit("^")).alias("left_name"), F.coalesce(F.lead("col_name").over(line), F.lit("$")).alias("right_name"), F.row_number().over(line).alias("rank")).join(series, ["db_name", "file_no"])
 
 
+@lru_cache(1 << 16)
+def _grams(name: str) -> frozenset[str]:
+    padded = f"^{name}$"
+    return frozenset(padded[k : k + 2] for k in range(len(padded) - 1))
+
+
+def likeness(a: str, b: str) -> float:
+    """Likeness of two names, 0 to 1: the pairs of letters they share."""
+    if a == b:
+        return 1.0
+    x, y = _grams(a), _grams(b)
+    return 2 * len(x & y) / (len(x) + len(y))
+
+
+def consistent(scored: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
+    """Of (score, old place, new place) the best pairs, each place once; ties to the first by place."""
+    olds, news, out = set(), set(), []
+    for score, i, j in sorted(scored, key=lambda x: (-x[0], x[1], x[2])):
+        if i not in olds and j not in news:
+            olds.add(i)
+            news.add(j)
+            out.append((score, i, j))
+    return out
+
+
+def flood_tables(gone: list[str], came: list[str]) -> list[tuple[str, str, float]]:
+    """Pairs of a gone and a come table of one layout, with their score; as many as the fewer of them.
+
+    All their columns match, so what flows in from them is whole and the
+    name decides.  Groups of more than DENSE pairs are paired in name order
+    beyond equal starts, as so many tables of one layout are numbered copies.
+    """
+    gone, came = sorted(gone), sorted(came)
+    if len(gone) * len(came) > DENSE:
+        return [(a, b, (1 - FLOW) * likeness(a, b) + FLOW) for a, b in zip(gone, came)]
+    scored = [((1 - FLOW) * likeness(a, b) + FLOW, i, j) for i, a in enumerate(gone) for j, b in enumerate(came)]
+    return [(gone[i], came[j], score) for score, i, j in consistent(scored)]
+
+
+def flood_columns(columns: list[dict]) -> list[dict]:
+    """Correspondences of a table's columns in two files: old_col_name, new_col_name, score.
+
+    ``columns`` are the names of both files with what is known of each (kind,
+    left_name, right_name, rank) in the older and the newer one, or None.  A
+    kept name corresponds to itself; of the other pairs, each of a gone and a
+    come name, the best are taken.  Pairs flow to the pairs of the columns
+    left and right of them, and to the pair of their tables and back.
+    """
+    old = sorted((c for c in columns if c["old"]), key=lambda c: c["old"]["rank"])
+    new = sorted((c for c in columns if c["new"]), key=lambda c: c["new"]["rank"])
+    at_old, at_new = {c["col_name"]: i for i, c in enumerate(old)}, {c["col_name"]: j for j, c in enumerate(new)}
+    gone = [i for i, c in enumerate(old) if not c["new"]]
+    came = [j for j, c in enumerate(new) if not c["old"]]
+    pairs = {(i, at_new[c["col_name"]]) for i, c in enumerate(old) if c["new"]}
+    kept = set(pairs)
+    if len(gone) * len(came) <= DENSE:
+        pairs |= {(i, j) for i in gone for j in came}
+    else:
+        for side in ("left_name", "right_name"):
+            by = {}
+            for j in came:
+                by.setdefault(new[j]["new"][side], []).append(j)
+            pairs |= {(i, j) for i in gone for j in by.get(old[i]["old"][side], ())}
+    own = {(i, j): NAME * likeness(old[i]["col_name"], new[j]["col_name"]) + (1 - NAME) * (old[i]["old"]["kind"] == new[j]["new"]["kind"]) for i, j in pairs}
+    score, table, moved = dict(own), 1.0, 1.0
+
+    def beside(i: int, j: int) -> float:
+        # two tables' edges meet as a pair of like neighbours does
+        if i < 0 or i >= len(old) or j < 0 or j >= len(new):
+            return float((i < 0 and j < 0) or (i >= len(old) and j >= len(new)))
+        return score.get((i, j), 0.0)
+
+    while moved > EPSILON:
+        after = {(i, j): (1 - FLOW) * own[i, j] + FLOW * (2 * beside(i - 1, j - 1) + 2 * beside(i + 1, j + 1) + table) / 5 for i, j in pairs}
+        moved = max((abs(after[p] - score[p]) for p in pairs), default=0.0)
+        score = after
+        best: dict[int, float] = {}
+        for (i, _), v in score.items():
+            best[i] = max(best.get(i, 0.0), v)
+        table = (1 - FLOW) + FLOW * sum(best.values()) / max(len(old), len(new), 1)
+    chosen = consistent([(score[p], *p) for p in pairs if p not in kept])
+    return [{"old_col_name": old[i]["col_name"], "new_col_name": new[j]["col_name"], "score": float(v)} for v, i, j in [*((score[p], *p) for p in sorted(kept)), *chosen]]
+
+
+def _tables_udf():
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for gone, came in batches:
+            yield pd.Series([[{"old_table": a, "table_name": b, "score": s} for a, b, s in flood_tables(list(x), list(y))] for x, y in zip(gone, came)], dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "array<struct<old_table string, table_name string, score double>>")
+
+
+def _columns_udf():
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for tables in batches:
+            yield pd.Series([flood_columns(list(t)) for t in tables], dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "array<struct<old_col_name string, new_col_name string, score double>>")
+
+
 def _table_changes(columns: DataFrame) -> DataFrame:
-    """db_name, file_no (the later), table_name and change of tables; null change for a table in both files, with its old name."""
+    """db_name, file_no (the later), table_name, change_kind, old_table and score of tables; null change for a table in both files."""
     tables = columns.groupBy("db_name", "file_no", "next_no", "prev_no", "table_name").agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("rank", "col_name", "kind")))), 256).alias("layout"))
-    old = tables.filter("next_no is not null").select("db_name", F.col("next_no").alias("file_no"), "table_name", F.col("layout").alias("old_layout"), F.lit(True).alias("was"))
-    new = tables.filter("prev_no is not null").select("db_name", "file_no", "table_name", F.col("layout").alias("new_layout"), F.lit(True).alias("is"))
-    both = settle(old.join(new, ["db_name", "file_no", "table_name"], "full"))
-    gone = both.filter("is is null")
-    came = both.filter("was is null")
-    nth = lambda d, layout: d.withColumn("nth", F.row_number().over(Window.partitionBy("db_name", "file_no", layout).orderBy("table_name")))
-    pair = nth(gone, "old_layout").select("db_name", "file_no", F.col("old_layout").alias("layout"), "nth", F.col("table_name").alias("old_table")).join(nth(came, "new_layout").select("db_name", "file_no", F.col("new_layout").alias("layout"), "nth", "table_name"), ["db_name", "file_no", "layout", "nth"])
-    pair = settle(pair.select("db_name", "file_no", "old_table", "table_name"))
-    key = ["db_name", "file_no", "table_name"]
-    rest_gone = gone.select(*key).join(pair.select("db_name", "file_no", F.col("old_table").alias("table_name")), key, "left_anti").withColumn("change_kind", F.lit("table_removed")).withColumn("old_table", F.lit(None).cast("string"))
-    rest_came = came.select(*key).join(pair.select(*key), key, "left_anti").withColumn("change_kind", F.lit("table_added")).withColumn("old_table", F.lit(None).cast("string"))
-    renamed = pair.withColumn("change_kind", F.lit("table_renamed"))
-    kept = both.filter("was and is").select(*key, F.lit(None).cast("string").alias("change_kind"), F.col("table_name").alias("old_table"))
-    return reduce(DataFrame.unionByName, [rest_gone, rest_came, renamed, kept])
+    old = tables.filter("next_no is not null").select("db_name", F.col("next_no").alias("file_no"), "table_name", F.col("layout").alias("old_layout"), F.lit(None).cast("string").alias("new_layout"))
+    new = tables.filter("prev_no is not null").select("db_name", "file_no", "table_name", F.lit(None).cast("string").alias("old_layout"), F.col("layout").alias("new_layout"))
+    both = settle(old.unionByName(new).groupBy(*KEY).agg(F.max("old_layout").alias("old_layout"), F.max("new_layout").alias("new_layout")))
+    single = both.filter("old_layout is null or new_layout is null")
+    groups = single.groupBy("db_name", "file_no", F.coalesce("old_layout", "new_layout").alias("layout")).agg(F.collect_list(F.when(F.col("new_layout").isNull(), F.col("table_name"))).alias("gone"), F.collect_list(F.when(F.col("old_layout").isNull(), F.col("table_name"))).alias("came"))
+    paired = groups.withColumn("pairs", F.when((F.size("gone") > 0) & (F.size("came") > 0), _tables_udf()(F.col("gone"), F.col("came"))).otherwise(F.array()))
+    none = F.lit(None).cast("string")
+    rows = F.concat(
+        F.transform("pairs", lambda p: F.struct(p["table_name"].alias("table_name"), F.lit("table_renamed").alias("change_kind"), p["old_table"].alias("old_table"), p["score"].alias("score"))),
+        F.transform(F.array_except("gone", F.col("pairs.old_table")), lambda t: F.struct(t.alias("table_name"), F.lit("table_removed").alias("change_kind"), none.alias("old_table"), F.lit(None).cast("double").alias("score"))),
+        F.transform(F.array_except("came", F.col("pairs.table_name")), lambda t: F.struct(t.alias("table_name"), F.lit("table_added").alias("change_kind"), none.alias("old_table"), F.lit(None).cast("double").alias("score"))),
+    )
+    changed = paired.select("db_name", "file_no", F.explode(rows).alias("r")).select("db_name", "file_no", "r.*")
+    kept = both.filter("old_layout is not null and new_layout is not null").select(*KEY, none.alias("change_kind"), F.col("table_name").alias("old_table"), F.lit(None).cast("double").alias("score"))
+    return changed.unionByName(kept)
 
 
 KEY = ["db_name", "file_no", "table_name"]
@@ -103,55 +213,21 @@ def side_type(columns: DataFrame) -> str:
     return columns.select(F.struct(*SIDE).alias("s")).schema["s"].dataType.simpleString()
 
 
-def flooded_pairs(columns: DataFrame) -> DataFrame:
-    """Scored pairs of columns, from ``aligned`` names: each name with itself, and gone with come columns that share a neighbour.
+def column_matches(names: DataFrame) -> DataFrame:
+    """Correspondences of gone and come names, from ``aligned`` names: KEY, old_col_name, new_col_name, the sides' kinds and neighbours, score.
 
-    A pair's neighbours are the pairs one column to the left and one to the
-    right on both sides, which lie on one diagonal of the table's pair matrix:
-    one sort along the diagonals serves every round.  A round computes
-    (1 - FLOW) * own + FLOW * mean(neighbours), a contraction, so after
-    log(EPSILON) / log(FLOW) rounds the scores have converged to EPSILON.
-    """
-    flat = lambda df, which, name: [F.col(name).alias(f"{which}_col_name"), *[F.col(f"{which}.{c}").alias(f"{which}_{c}") for c in SIDE]]
-    same = columns.filter("old is not null and new is not null").select(*KEY, *flat(columns, "old", "col_name"), *flat(columns, "new", "col_name"))
-    gone = columns.filter("new is null").select(*KEY, *flat(columns, "old", "col_name"))
-    came = columns.filter("old is null").select(*KEY, *flat(columns, "new", "col_name"))
-    by_left = gone.join(came.withColumn("old_left_name", F.col("new_left_name")), [*KEY, "old_left_name"])
-    by_right = gone.join(came.withColumn("old_right_name", F.col("new_right_name")), [*KEY, "old_right_name"])
-    cols = same.columns
-    near = by_left.select(*cols).union(by_right.select(*cols)).distinct()
-    likeness = 1 - F.levenshtein("old_col_name", "new_col_name") / F.greatest(F.length("old_col_name"), F.length("new_col_name"), F.lit(1))
-    pairs = same.union(near).withColumn("own", 0.6 * likeness + 0.4 * (F.col("old_kind") == F.col("new_kind")).cast("double")).withColumn("score", F.col("own"))
-    # the diagonal is a column of its own: as an expression every window would sort by another one
-    pairs = pairs.withColumn("diagonal", F.col("new_rank") - F.col("old_rank"))
-    line = Window.partitionBy(*KEY, "diagonal").orderBy("old_rank")
-    edge = lambda a, b, mark: ((F.col(a) == mark) & (F.col(b) == mark)).cast("double")
-    rounds, error = 0, 1.0
-    while error > EPSILON:
-        rounds, error = rounds + 1, error * FLOW
-    pairs = pairs.withColumn("up", F.lag("old_rank").over(line) == F.col("old_rank") - 1).withColumn("down", F.lead("old_rank").over(line) == F.col("old_rank") + 1)
-    for _ in range(rounds):
-        before = F.when(F.col("up"), F.lag("score").over(line)).otherwise(edge("old_left_name", "new_left_name", "^"))
-        after = F.when(F.col("down"), F.lead("score").over(line)).otherwise(edge("old_right_name", "new_right_name", "$"))
-        pairs = pairs.withColumn("score", (1 - FLOW) * F.col("own") + FLOW * (before + after) / 2)
-    return pairs.select(*cols, "score")
-
-
-def column_matches(pairs: DataFrame) -> DataFrame:
-    """Consistent correspondences, with ``same`` for a kept name.
-
-    A kept name is its own match; of the other pairs, which hold no kept name,
-    those that are the best of both their columns, ties to the first by position.
+    Only tables that both lost and got names are collected, one row each.
     """
-    marked = settle(pairs.withColumn("same", F.col("old_col_name") == F.col("new_col_name")))
-    best_new = F.row_number().over(Window.partitionBy(*KEY, "old_col_name").orderBy(F.desc("score"), "new_rank"))
-    best_old = F.row_number().over(Window.partitionBy(*KEY, "new_col_name").orderBy(F.desc("score"), "old_rank"))
-    others = marked.filter("not same").withColumn("a", best_new).withColumn("b", best_old).filter("a = 1 and b = 1").drop("a", "b")
-    return marked.filter("same").unionByName(others)
+    touched = names.groupBy(*KEY).agg(F.max(F.col("new").isNull()).alias("lost"), F.max(F.col("old").isNull()).alias("got")).filter("lost and got").select(*KEY)
+    whole = names.join(touched, KEY, "left_semi").groupBy(*KEY).agg(F.collect_list(F.struct("col_name", "old", "new")).alias("cols"))
+    flooded = whole.withColumn("m", F.explode(F.filter(_columns_udf()(F.col("cols")), lambda m: m["old_col_name"] != m["new_col_name"])))
+    side = lambda name, which: F.filter("cols", lambda c: c["col_name"] == F.col(f"m.{name}"))[0][which]
+    matched = flooded.select(*KEY, "m.*", side("old_col_name", "old").alias("old"), side("new_col_name", "new").alias("new"))
+    return matched.select(*KEY, "old_col_name", "new_col_name", "score", *[F.col(f"{w}.{c}").alias(f"{w}_{c}") for w in ("old", "new") for c in SIDE])
 
 
 #: The rule a match of different names must meet to be a rename.
-RENAME = "not same and old_kind = new_kind and old_left_name = new_left_name and old_right_name = new_right_name"
+RENAME = "old_kind = new_kind and old_left_name = new_left_name and old_right_name = new_right_name"
 
 
 def schema_changes(schemas: DataFrame) -> DataFrame:
@@ -161,37 +237,42 @@ def schema_changes(schemas: DataFrame) -> DataFrame:
     (added, removed, renamed, type_changed, table_added, table_removed,
     table_renamed), old_name, old_type, new_type, score.  A rename needs a
     match of the flooding whose columns have one type and the same neighbours;
-    matches short of that stay removed and added.  Rows without database,
+    matches short of that stay removed and added.  Which of several gone tables
+    of one layout was renamed to a come one, the flooding tells.  Rows without database,
     file number, table or column name are ignored; repeated rows count once.
     """
     columns = settle(_columns(schemas))
     changes = settle(_table_changes(columns))
     names = aligned(columns, changes.filter("change_kind is null"))
-    matches = column_matches(flooded_pairs(names))
-    types = matches.filter("same and old_kind <> new_kind").select(*KEY, F.col("new_col_name").alias("col_name"), F.lit("type_changed").alias("change_kind"), F.col("old_col_name").alias("old_name"), F.col("old_kind").alias("old_type"), F.col("new_kind").alias("new_type"), "score")
-    renames = settle(matches.filter(RENAME))
+    types = names.filter("old.kind <> new.kind").select(*KEY, "col_name", F.lit("type_changed").alias("change_kind"), F.col("col_name").alias("old_name"), F.col("old.kind").alias("old_type"), F.col("new.kind").alias("new_type"), F.lit(NAME).alias("score"))
+    renames = settle(column_matches(names).filter(RENAME))
     renamed = renames.select(*KEY, F.col("new_col_name").alias("col_name"), F.lit("renamed").alias("change_kind"), F.col("old_col_name").alias("old_name"), F.col("old_kind").alias("old_type"), F.col("new_kind").alias("new_type"), "score")
     moved = renames.select(*KEY, F.col("old_col_name").alias("col_name")).union(renames.select(*KEY, "new_col_name"))
     single = names.filter("old is null or new is null").join(moved, [*KEY, "col_name"], "left_anti").select(*KEY, "col_name", F.when(F.col("old").isNull(), "added").otherwise("removed").alias("change_kind"), F.lit(None).cast("string").alias("old_name"), F.col("old.kind").alias("old_type"), F.col("new.kind").alias("new_type"), F.lit(None).cast("double").alias("score"))
-    tables = changes.filter("change_kind is not null").select(*KEY, F.lit("").alias("col_name"), "change_kind", F.col("old_table").alias("old_name"), F.lit(None).cast("string").alias("old_type"), F.lit(None).cast("string").alias("new_type"), F.lit(None).cast("double").alias("score"))
+    tables = changes.filter("change_kind is not null").select(*KEY, F.lit("").alias("col_name"), "change_kind", F.col("old_table").alias("old_name"), F.lit(None).cast("string").alias("old_type"), F.lit(None).cast("string").alias("new_type"), "score")
     files = columns.select("db_name", "file_no", "file_name").distinct()
     return reduce(DataFrame.unionByName, [types, renamed, single, tables]).join(files, ["db_name", "file_no"]).select("db_name", "file_no", "file_name", "table_name", "col_name", "change_kind", "old_name", "old_type", "new_type", "score")
 
 
-def consistent_layout(schemas: DataFrame) -> DataFrame:
-    """One layout per database: every table and column under the name it has last, with a type that holds all its types.
+#: Score from which ``consistent_layout`` follows a match that is no rename by the rule.
+FOLLOW = 0.75
+
+
+def consistent_columns(schemas: DataFrame, follow: float = FOLLOW) -> DataFrame:
+    """Every delivered column with its place in the consistent layout: db_name, file_no, file_name, old_table, old_column, kind, table_name, col_name.
 
-    Renames are followed through the series with the hierarchy operator: a
-    column of one file hangs from its successor in the next, so the root is
-    the last.  Result: db_name, table_name, col_name, spark_type, access_types,
-    first_file, last_file, n_files.
+    Renames, and matches of one type that score at least ``follow``, are
+    followed through the series with the hierarchy operator: a column of one
+    file hangs from its successor in the next, so the root is the last.
     """
     from tamarack.operators.hierarchy import hierarchy
 
     columns = settle(_columns(schemas))
     changes = settle(_table_changes(columns))
     key = KEY
-    matches = column_matches(flooded_pairs(aligned(columns, changes.filter("change_kind is null")))).filter(f"same or ({RENAME})").select(*key, "old_col_name", "new_col_name")
+    names = aligned(columns, changes.filter("change_kind is null"))
+    kept = names.filter("old is not null and new is not null").select(*key, F.col("col_name").alias("old_col_name"), F.col("col_name").alias("new_col_name"))
+    matches = kept.unionByName(column_matches(names).filter(f"({RENAME}) or (old_kind = new_kind and score >= {float(follow)!r})").select(*key, "old_col_name", "new_col_name"))
     ident = lambda no, table, col: F.xxhash64("db_name", no, table, col)
     through = matches.select("db_name", "file_no", F.col("table_name").alias("old_table"), "table_name", "old_col_name", "new_col_name")
     carried = changes.filter("change_kind = 'table_renamed'").select(*key, "old_table")
@@ -201,12 +282,21 @@ def consistent_layout(schemas: DataFrame) -> DataFrame:
     mine = settle(columns.select(*key, "col_name", "kind", "file_name", ident("file_no", "table_name", "col_name").alias("id")))
     tree = hierarchy(mine.select("id").join(up, "id", "left"), "id", "parent_id").select("id", "root_id")
     last = mine.select(F.col("id").alias("root_id"), F.col("table_name").alias("last_table"), F.col("col_name").alias("last_col"))
+    return mine.join(tree, "id").join(last, "root_id").select("db_name", "file_no", "file_name", F.col("table_name").alias("old_table"), F.col("col_name").alias("old_column"), "kind", F.col("last_table").alias("table_name"), F.col("last_col").alias("col_name"), "root_id")
+
+
+def consistent_layout(schemas: DataFrame, follow: float = FOLLOW) -> DataFrame:
+    """One layout per database: every table and column under the name it has last, with a type that holds all its types.
+
+    Columns are those of ``consistent_columns``.  Result: db_name, table_name,
+    col_name, spark_type, access_types, first_file, last_file, n_files.
+    """
     order = list(LATTICE)
     place = F.create_map(*[F.lit(x) for n, c in enumerate(order) for x in (str(c), n)])
     spark_type = F.create_map(*[F.lit(x) for n, c in enumerate(order) for x in (n, LATTICE[c])])
-    rows = mine.join(tree, "id").groupBy("db_name", "root_id").agg(F.max(F.coalesce(F.element_at(place, F.col("kind")), F.lit(order.index(10)))).alias("widest"), F.max(F.col("kind").isin("8", "9", "11")).alias("odd"), F.count_distinct("kind").alias("n_types"), F.array_sort(F.collect_set("kind")).alias("access_types"), F.min_by("file_name", "file_no").alias("first_file"), F.max_by("file_name", "file_no").alias("last_file"), F.count_distinct("file_no").alias("n_files"))
+    rows = consistent_columns(schemas, follow).groupBy("db_name", "root_id", "table_name", "col_name").agg(F.max(F.coalesce(F.element_at(place, F.col("kind")), F.lit(order.index(10)))).alias("widest"), F.max(F.col("kind").isin("8", "9", "11")).alias("odd"), F.count_distinct("kind").alias("n_types"), F.array_sort(F.collect_set("kind")).alias("access_types"), F.min_by("file_name", "file_no").alias("first_file"), F.max_by("file_name", "file_no").alias("last_file"), F.count_distinct("file_no").alias("n_files"))
     chosen = F.when((F.col("n_types") > 1) & F.col("odd"), "string").otherwise(F.element_at(spark_type, F.col("widest")))
-    return rows.join(last, "root_id").select("db_name", F.col("last_table").alias("table_name"), F.col("last_col").alias("col_name"), chosen.alias("spark_type"), F.array_join("access_types", ",").alias("access_types"), "first_file", "last_file", "n_files")
+    return rows.select("db_name", "table_name", "col_name", chosen.alias("spark_type"), F.array_join("access_types", ",").alias("access_types"), "first_file", "last_file", "n_files")
 
 
 def unite(tables: list[DataFrame], layout: list[tuple[str, str]], renames: dict[str, str] | None = None) -> DataFrame:

@@ -87,3 +87,109 @@ def test_unite(spark):
 def test_extra_columns(spark):
     df = files(spark, {"t": [("a", "Text")]}, {"t": [("a", "Text"), ("b", "INT")]}).selectExpr("*", "1 as rank", "'x' as kind", "2 as next_no", "'y' as left_name")
     assert [r["change_kind"] for r in drift.schema_changes(df).collect()] == ["added"]
+
+
+def test_scores_decide_which_table_was_renamed(spark, monkeypatch):
+    one = {"a_tmp": [("x", "Text"), ("y", "INT")], "zeta": [("x", "Text"), ("y", "INT")]}
+    two = {"zeta2": [("x", "Text"), ("y", "INT")]}
+    got = changes(spark, one, two)
+    assert got == {("f2.mdb", "zeta2", "", "table_renamed"), ("f2.mdb", "a_tmp", "", "table_removed")}
+    # without likeness every score is the same, and the first by name is taken
+    assert drift.flood_tables(["a_tmp", "zeta"], ["zeta2"])[0][:2] == ("zeta", "zeta2")
+    monkeypatch.setattr(drift, "likeness", lambda a, b: 0.0)
+    assert drift.flood_tables(["a_tmp", "zeta"], ["zeta2"])[0][:2] == ("a_tmp", "zeta2")
+
+
+def column(name, old=None, new=None):
+    side = lambda x: x and {"kind": x[0], "left_name": x[1], "right_name": x[2], "rank": x[3]}
+    return {"col_name": name, "old": side(old), "new": side(new)}
+
+
+def flooded(columns):
+    return {(m["old_col_name"], m["new_col_name"]) for m in drift.flood_columns(columns) if m["old_col_name"] != m["new_col_name"]}
+
+
+def test_names_decide_where_neighbours_are_even(monkeypatch):
+    # id, first, town -> id, middle, first_name, town: each newcomer shares one neighbour with the column that went
+    cols = [column("id", ("4", "^", "first", 1), ("4", "^", "middle", 1)), column("town", ("10", "first", "$", 3), ("10", "first_name", "$", 4))]
+    cols += [column("first", ("10", "id", "town", 2)), column("middle", None, ("10", "id", "first_name", 2)), column("first_name", None, ("10", "middle", "town", 3))]
+    assert flooded(cols) == {("first", "first_name")}
+    monkeypatch.setattr(drift, "likeness", lambda a, b: 0.5)
+    assert flooded(cols) == {("first", "middle")}
+
+
+def test_flooding_lets_neighbours_outweigh_names():
+    # amount went and total came in its place; amount_old came elsewhere with another type
+    cols = [column("a", ("4", "^", "amount", 1), ("4", "^", "total", 1)), column("b", ("4", "amount", "c", 3), ("4", "total", "c", 3)), column("c", ("4", "b", "$", 4), ("4", "b", "amount_old", 4))]
+    cols += [column("amount", ("5", "a", "b", 2)), column("total", None, ("5", "a", "b", 2)), column("amount_old", None, ("10", "c", "$", 5))]
+    assert flooded(cols) == {("amount", "total")}
+
+
+def test_layout_follows_what_the_flooding_matches(spark):
+    one = {"t": [("id", "INT"), ("first", "Text"), ("last", "Text"), ("town", "Text")]}
+    two = {"t": [("id", "INT"), ("first_", "Text"), ("last_", "Text"), ("town", "Text")]}
+    df = files(spark, one, two)
+    assert {r["change_kind"] for r in drift.schema_changes(df).collect()} == {"added", "removed"}
+    assert {r["col_name"] for r in drift.consistent_layout(df).collect()} == {"id", "first_", "last_", "town"}
+    assert {r["col_name"] for r in drift.consistent_layout(df, follow=2.0).collect()} == {"id", "first", "last", "first_", "last_", "town"}
+    row = drift.consistent_columns(df).filter("file_no = 1 and old_column = 'first'").first()
+    assert (row["table_name"], row["col_name"]) == ("t", "first_")
+
+
+def test_random_changes_match_the_rule(spark):
+    """The rule spelled out over every pair, on random series with moves, renames beside each other and copied tables."""
+    import random
+
+    r = random.Random(31)
+    kinds = ["Text", "INT", "Memo", "MONEY"]
+    series, want = [], set()
+    tables = {f"tab{k}": [(f"c{k}_{j}", r.choice(kinds)) for j in range(r.randint(1, 7))] for k in range(6)}
+    for no in range(1, 16):
+        series.append({t: list(c) for t, c in tables.items()})
+        for t in list(tables):
+            cols = tables[t]
+            for _ in range(r.choice([0, 1, 2])):
+                p, what = r.randrange(len(cols)), r.random()
+                if what < 0.4:
+                    cols[p] = (f"n{r.randrange(10**6)}", cols[p][1])
+                elif what < 0.6:
+                    cols[p] = (cols[p][0], r.choice(kinds))
+                elif what < 0.8:
+                    cols.insert(p, (f"m{r.randrange(10**6)}", r.choice(kinds)))
+                elif len(cols) > 1:
+                    cols.pop(p)
+            if r.random() < 0.15:
+                tables[f"{t}_{no}"] = tables.pop(t)
+    for no, (a, b) in enumerate(zip(series, series[1:]), 2):
+        for t in set(a) & set(b):
+            ends = lambda cols: {c: (k, ("^", *(x for x, _ in cols))[i], (*(x for x, _ in cols), "$")[i + 1]) for i, (c, k) in enumerate(cols)}
+            x, y = ends(a[t]), ends(b[t])
+            new = {d for c in set(x) - set(y) for d in set(y) - set(x) if x[c] == y[d]}
+            old = {c for c in set(x) - set(y) for d in set(y) - set(x) if x[c] == y[d]}
+            want |= {(f"f{no}.mdb", t, d, "renamed") for d in new} | {(f"f{no}.mdb", t, d, "added") for d in set(y) - set(x) - new} | {(f"f{no}.mdb", t, c, "removed") for c in set(x) - set(y) - old}
+            want |= {(f"f{no}.mdb", t, c, "type_changed") for c in set(x) & set(y) if x[c][0] != y[c][0]}
+    got = changes(spark, *series)
+    assert {c for c in got if c[2]} == want and len(want) > 50
+
+
+def test_flooding_never_loses_a_rename_by_the_rule():
+    import random
+
+    r = random.Random(5)
+    for _ in range(1500):
+        a = [(f"c{k}", r.choice("xyz")) for k in range(r.randint(1, 6))]
+        b = list(a)
+        for _ in range(r.randint(1, 4)):
+            p = r.randrange(len(b)) if b else 0
+            what = r.random()
+            if what < 0.5 and b:
+                b[p] = (r.choice([f"n{r.randrange(99)}", b[p][0] + "_x", f"c{r.randrange(9)}1"]), b[p][1])
+            elif what < 0.75:
+                b.insert(p, (f"m{r.randrange(99)}", r.choice("xyz")))
+            elif b:
+                b.pop(p)
+        b = list(dict(b).items())
+        ends = lambda cols: {c: (k, ("^", *(x for x, _ in cols))[i], (*(x for x, _ in cols), "$")[i + 1], i + 1) for i, (c, k) in enumerate(cols)}
+        x, y = ends(a), ends(b)
+        rule = {(c, d) for c in set(x) - set(y) for d in set(y) - set(x) if x[c][:3] == y[d][:3]}
+        assert rule <= flooded([column(c, x.get(c), y.get(c)) for c in {**x, **y}]), (a, b)
