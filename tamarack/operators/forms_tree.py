@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarack.functions.names import name_key, object_ref, strip
-from tamarack.operators.hierarchy import FINISH_ROWS, hierarchy
+from tamarack.operators.hierarchy import hierarchy
 from tamarack.operators.rows import one_per_key
 
 
@@ -38,9 +38,9 @@ def control_links(controls: DataFrame) -> DataFrame:
     return rows.select("control_id", "ctl_name", "seeks.by", "seeks.scope", "seeks.name").join(offers, ["by", "scope", "name"], "left").select("control_id", "parent_id", "ctl_name")
 
 
-def control_tree(controls: DataFrame, finish_rows: int = FINISH_ROWS) -> DataFrame:
+def control_tree(controls: DataFrame, paths: bool = True) -> DataFrame:
     """``hierarchy`` over ``control_links``."""
-    return hierarchy(control_links(controls), "control_id", "parent_id", finish_rows)
+    return hierarchy(control_links(controls), "control_id", "parent_id", paths)
 
 
 def control_paths(controls: DataFrame, tree: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from tamarack.workspace import settle
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    tree = forms_tree.control_tree(table(spark, d, "form_control"))
+    tree = forms_tree.control_tree(table(spark, d, "form_control"), paths=False)
     return tree.select(F.col("id").alias("control_id"), "root_id", F.col("depth").alias("node_depth"))
 
 

@@ -1,4 +1,4 @@
-"""The hierarchy operator against a walk up the parents, in one task and in distributed rounds."""
+"""The hierarchy operator against a walk up the parents, with and without shortened chains."""
 
 import random
 
@@ -26,9 +26,9 @@ def brute(parents: dict) -> dict:
     return out
 
 
-def run(spark, parents: dict, finish_rows: int) -> dict:
+def run(spark, parents: dict, paths: bool, finish_rows: int = 0) -> dict:
     links = spark.createDataFrame(list(parents.items()), "a long, b long")
-    return {r["id"]: (r["root_id"], r["depth"]) for r in hierarchy(links, "a", "b", finish_rows).collect()}
+    return {r["id"]: (r["root_id"], r["depth"]) for r in hierarchy(links, "a", "b", paths, finish_rows).collect()}
 
 
 def forest(seed: int, n: int) -> dict:
@@ -45,16 +45,37 @@ def forest(seed: int, n: int) -> dict:
     return parents
 
 
-@pytest.mark.parametrize("finish_rows", [10**6, 40, 0])
-def test_matches_walk(spark, finish_rows):
-    parents = forest(finish_rows, 300)
-    assert run(spark, parents, finish_rows) == brute(parents)
+@pytest.mark.parametrize("paths,finish_rows", [(True, 0), (False, 0), (False, 40), (True, 10**6), (False, 10**6)])
+def test_matches_walk(spark, paths, finish_rows):
+    parents = forest(7 + paths, 300)
+    assert run(spark, parents, paths, finish_rows) == brute(parents)
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_both_ways_give_the_same(spark):
+    links = spark.createDataFrame(list(forest(3, 200).items()), "a long, b long")
+    rows = [{r["id"]: (r["parent_id"], r["root_id"], r["depth"], r["subtree_size"], r["on_loop"]) for r in hierarchy(links, "a", "b", p, n).collect()} for p, n in ((True, 10**6), (False, 0), (False, 30))]
+    assert rows[0] == rows[1] == rows[2]
+
+
+def test_a_chain_takes_few_rounds(spark, monkeypatch):
+    from tamarack.operators import hierarchy as h
+
+    calls = []
+    real = h._peel_leaves
+    monkeypatch.setattr(h, "_peel_leaves", lambda state: calls.append(1) or real(state))
+    n = 2000
+    links = spark.createDataFrame([(k, k - 1 if k else None) for k in range(n)] + [(10_000 + k, 10_000 + (k + 1) % 500) for k in range(500)] + [(20_000, 10_007)], "a long, b long")
+    rows = {r["id"]: r for r in hierarchy(links, "a", "b", False, 100).collect()}
+    assert all(rows[k]["depth"] == k and rows[k]["root_id"] == 0 and rows[k]["subtree_size"] == n - k for k in range(n))
+    assert all(rows[10_000 + k]["on_loop"] and rows[10_000 + k]["root_id"] == 10_000 and rows[10_000 + k]["subtree_size"] == 1 + (k == 7) for k in range(500))
+    assert (rows[20_000]["depth"], rows[20_000]["root_id"], rows[20_000]["parent_id"]) == (-1, 10_000, 10_007)
+    assert len(calls) < 40
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.dictionaries(st.integers(1, 12), st.one_of(st.none(), st.integers(1, 12)), max_size=12))
 def test_small_graphs(spark, parents):
-    assert run(spark, parents, 10**6) == brute(parents)
+    assert run(spark, parents, False, 3) == run(spark, parents, True, 10**6) == brute(parents)
 
 
 def test_hot_parent_and_chain(spark):
@@ -62,7 +83,7 @@ def test_hot_parent_and_chain(spark):
     parents[1] = None
     parents |= {1000 + k: (1000 + k - 1 if k else None) for k in range(12)}
     links = spark.createDataFrame(list(parents.items()), "a long, b long")
-    rows = {r["id"]: r for r in hierarchy(links, "a", "b", 20).collect()}
+    rows = {r["id"]: r for r in hierarchy(links, "a", "b").collect()}
     assert rows[1]["subtree_size"] == 399 and rows[1011]["depth"] == 11
     assert rows[1011]["ancestors"] == list(range(1000, 1011))
 
@@ -80,10 +101,9 @@ def test_descendants(spark):
     assert pairs == {(1, 2, 1), (1, 3, 2), (2, 3, 1)}
 
 
-@pytest.mark.parametrize("finish_rows", [10**6, 3, 0])
-def test_descendants_below_a_loop(spark, finish_rows):
+def test_descendants_below_a_loop(spark):
     links = spark.createDataFrame([(1, 2), (2, 1), (3, 1), (4, 3), (5, 4), (6, 2), (7, None), (8, 7)], "a long, b long")
-    tree = hierarchy(links, "a", "b", finish_rows)
+    tree = hierarchy(links, "a", "b")
     assert {tuple(r) for r in descendants(tree).collect()} == {(1, 3, 1), (1, 4, 2), (3, 4, 1), (1, 5, 3), (3, 5, 2), (4, 5, 1), (2, 6, 1), (7, 8, 1)}
     assert {r["id"]: r["depth"] for r in tree.collect()} == {1: -1, 2: -1, 3: -1, 4: -1, 5: -1, 6: -1, 7: 0, 8: 1}
 
