@@ -16,17 +16,50 @@ BLANK = " \u00a0\u3000"
 CLOSER = {'"': '"', "'": "'", "[": "]"}
 
 
-def tokenize(text: str | None, decimal_comma: bool = False) -> list[str]:
+def _closed(text: str, k: int, escape: str | None) -> tuple[str, int] | None:
+    """The value within the quote or brackets that open at k, and the place after them; None where they are never closed."""
+    mark, close, n = text[k], CLOSER[text[k]], len(text)
+    bracket, depth, parts = mark == "[", 1, []
+    j = k + 1
+    while j < n:
+        c = text[j]
+        if c == escape and j + 1 < n:
+            parts.append(text[j + 1])
+            j += 2
+            continue
+        if c == close:
+            if not bracket and text.startswith(close, j + 1):
+                parts.append(close)
+                j += 2
+                continue
+            depth -= 1
+            if not depth:
+                return "".join(parts), j + 1
+        elif bracket and c == mark:
+            depth += 1
+        parts.append(c)
+        j += 1
+    if bracket and (j := text.find(close, k)) > 0:
+        # what is opened more often than closed runs to the first closing mark
+        return text[k + 1 : j], j + 1
+    return None
+
+
+def tokenize(text: str | None, decimal_comma: bool = False, escape: str | None = None) -> list[str]:
     """Values of a packed text, in order.
 
-    States: before a value, in a bare value, in a quoted or bracketed value,
-    after its closing mark.  Separators inside quotes or brackets belong to
-    the value; a doubled quote stands for one; CR LF is one separator; a
-    separator at the very end opens no value.  With ``decimal_comma`` a comma
-    directly between two digits belongs to the value.  A quote or bracket that
-    is never closed is an ordinary character, and text between a closing mark
-    and the next separator stays with the value.  Null, empty and blank texts
-    hold no value.
+    States: before a value, in a bare value, in a quoted value, in a bracketed
+    one with its depth, after an escape, after the closing mark.  Separators
+    inside quotes or brackets belong to the value; a doubled quote stands for
+    one; brackets within brackets are kept and must be closed first, but where
+    too few are closed the first closing one ends the value; CR LF is one
+    separator; a separator at the very end opens no value.  With ``escape``
+    (a backslash, say) the character after it is taken as it is, inside quotes
+    and brackets; fields of form designs have none.  With ``decimal_comma`` a
+    comma directly between two digits belongs to the value.  A quote or bracket
+    that is never closed is an ordinary character, and text between a closing
+    mark and the next separator stays with the value.  Null, empty and blank
+    texts hold no value.
     """
     if text is None:
         return []
@@ -37,17 +70,8 @@ def tokenize(text: str | None, decimal_comma: bool = False) -> list[str]:
         while k < n and text[k] in BLANK:
             k += 1
         value, quoted = "", False
-        mark = text[k] if k < n else ""
-        if mark in CLOSER and mark:
-            close, j, parts = CLOSER[mark], k + 1, []
-            while (e := text.find(close, j)) >= 0:
-                parts.append(text[j:e])
-                if mark != "[" and text.startswith(close, e + 1):
-                    parts.append(close)
-                    j = e + 2
-                    continue
-                value, quoted, k = "".join(parts), True, e + 1
-                break
+        if k < n and text[k] in CLOSER and (found := _closed(text, k, escape)):
+            (value, k), quoted = found, True
         start = k
         while k < n and (text[k] not in SEPARATORS or (decimal_comma and text[k] == "," and 0 < k < n - 1 and text[k - 1].isdigit() and text[k + 1].isdigit())):
             k += 1
@@ -58,7 +82,7 @@ def tokenize(text: str | None, decimal_comma: bool = False) -> list[str]:
     return out
 
 
-def split_packed(df: DataFrame, text_col: str, decimal_comma_col: str | None = None) -> DataFrame:
+def split_packed(df: DataFrame, text_col: str, decimal_comma_col: str | None = None, escape: str | None = None) -> DataFrame:
     """All columns of ``df`` plus item_no (from 1) and item_text, one row per value.
 
     Columns of ``df`` that have these names already are replaced.
@@ -68,7 +92,7 @@ def split_packed(df: DataFrame, text_col: str, decimal_comma_col: str | None = N
 
     def values(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, commas in batches:
-            yield pd.Series([tokenize(t, bool(c)) for t, c in zip(texts, commas)], dtype=object)
+            yield pd.Series([tokenize(t, bool(c), escape) for t, c in zip(texts, commas)], dtype=object)
 
     values.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
     udf = F.pandas_udf(values, "array<string>")

@@ -22,6 +22,16 @@ def test_tokenizer_cases():
     assert t("[a]b; [c") == ["ab", "[c"]
 
 
+def test_depth_and_escapes():
+    t = packed.tokenize
+    assert t("[a[b]c];d") == ["a[b]c", "d"] and t("[[x;y],[z]];w") == ["[x;y],[z]", "w"]
+    assert t("[a[b];c") == ["a[b", "c"] and t("[];x") == ["", "x"]
+    assert t(r'"a\";b";c', escape="\\") == ['a";b', "c"] and t(r"[a\];b];c", escape="\\") == ["a];b", "c"]
+    # without an escape character a backslash is one of a path
+    assert t(r'"C:\dir\";x') == ["C:\\dir\\", "x"]
+    assert t("[" * 50_000) == ["[" * 50_000] or len(t("[" * 50_000)) == 1
+
+
 @given(st.lists(st.text(alphabet="ab ,;|'\"[]\t", max_size=6), min_size=1, max_size=6))
 def test_round_trip_of_quoted_values(values):
     text = ";".join('"' + v.replace('"', '""') + '"' for v in values)
