@@ -1,8 +1,10 @@
 """References to records that do not exist, by anti-join of distinct keys.
 
-Distinct non-null references are compared with the intervals in which their
-targets existed; what has no living target is joined back to the referring
-rows, so a name used a million times is looked up once per moment of use.
+The distinct non-null references and moments of use are anti-joined with the
+targets that exist at that moment; what is left is joined with the earliest
+target of its name, which tells why, and back to the referring rows.  A name
+used a million times is looked up once per moment of use, and targets are
+combined before they are joined.
 """
 
 from __future__ import annotations
@@ -30,13 +32,15 @@ def orphan_keys(refs: DataFrame, targets: DataFrame, key: list[str], at: str) ->
     a target without created_at never lives but counts as known.
     """
     asked = refs.select(*key, at).dropna().distinct()
-    spans = targets.select(*key, F.col("created_at").alias("__from"), F.col("deleted_at").alias("__to"), F.lit(True).alias("__known")).dropna(subset=key).distinct()
-    seen = asked.join(spans, key, "left")
-    began = F.coalesce(F.col("__from") <= F.col(at), F.lit(False))
-    lives = began & (F.col("__to").isNull() | (F.col("__to") > F.col(at)))
-    known = seen.groupBy(*key, at).agg(F.max(lives).alias("lives"), F.max(began).alias("began"), F.max(F.coalesce("__known", F.lit(False))).alias("known"))
-    reason = F.when(~F.col("known"), "missing").when(F.col("began"), "deleted").otherwise("late")
-    return known.filter("not lives").select(*key, at, reason.alias("reason"))
+    known = targets.select(*key, F.col("created_at").alias("__from"), F.col("deleted_at").alias("__to")).dropna(subset=key)
+    # of several targets that begin together the one that lasts longest says it all
+    spans = known.filter("__from is not null").groupBy(*key, "__from").agg(F.max(F.struct(F.col("__to").isNull(), "__to")).alias("__last")).select(*key, "__from", F.col("__last.__to").alias("__to"))
+    a, t = asked.alias("a"), spans.alias("t")
+    lives = (F.col("t.__from") <= F.col(f"a.{at}")) & (F.col("t.__to").isNull() | (F.col("t.__to") > F.col(f"a.{at}")))
+    lost = a.join(t, reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"t.{k}") for k in key]) & lives, "left_anti")
+    first = known.groupBy(*key).agg(F.min("__from").alias("__first"), F.lit(True).alias("__known"))
+    reason = F.when(F.col("__known").isNull(), "missing").when(F.col("__first") <= F.col(at), "deleted").otherwise("late")
+    return lost.join(first, key, "left").select(*key, at, reason.alias("reason"))
 
 
 def sql_sources(text: str | None) -> list[str]:
@@ -166,12 +170,13 @@ def form_orphans(controls: DataFrame, forms: DataFrame, objects: DataFrame, fiel
     whole = scope.select("db_file", "exported_at", "names", F.lit("source").alias("kind"), F.explode("names").alias("name"))
     broken = whole.join(orphan_keys(whole, sources, key, "exported_at"), [*key, "exported_at"], "left_semi").select("db_file", "exported_at", "names").distinct()
     judged = bound.join(broken, ["db_file", "exported_at", "names"], "left_anti").withColumn("owners", F.expr("if(owner = '', names, array(owner))"))
-    spans = fields.select("db_file", name_key(F.col("obj_name")).alias("owner"), name_key(F.col("field_name")).alias("field"), "created_at", "deleted_at")
-    asked = judged.select("db_file", "owners", "field", "exported_at").distinct()
-    one_by_one = asked.select("*", F.explode("owners").alias("owner")).join(spans.withColumn("known", F.lit(True)).dropna(subset=["db_file", "owner", "field"]).distinct(), ["db_file", "owner", "field"], "left")
-    began = F.coalesce(F.col("created_at") <= F.col("exported_at"), F.lit(False))
-    state = one_by_one.groupBy("db_file", "owners", "field", "exported_at").agg(F.max(began & (F.col("deleted_at").isNull() | (F.col("deleted_at") > F.col("exported_at")))).alias("lives"), F.max(began).alias("began"), F.max(F.coalesce("known", F.lit(False))).alias("known"))
-    lost = state.filter("not lives").withColumn("reason", F.when(~F.col("known"), "missing").when(F.col("began"), "deleted").otherwise("late"))
+    field_targets = fields.select("db_file", name_key(F.col("obj_name")).alias("owner"), name_key(F.col("field_name")).alias("field"), "created_at", "deleted_at")
+    asked = judged.select("db_file", "owners", "field", "exported_at").distinct().withColumn("owner", F.explode("owners"))
+    one = ["db_file", "owner", "field"]
+    each = asked.join(orphan_keys(asked, field_targets, one, "exported_at"), [*one, "exported_at"], "left")
+    # a field sought in several objects is lost if it is so in all of them
+    state = each.groupBy("db_file", "owners", "field", "exported_at").agg(F.count("*").alias("n"), F.count("reason").alias("n_lost"), F.collect_set("reason").alias("reasons"))
+    lost = state.filter("n_lost = n").withColumn("reason", F.when(F.array_contains("reasons", "deleted"), "deleted").when(F.array_contains("reasons", "late"), "late").otherwise("missing")).drop("n", "n_lost", "reasons")
     lost_fields = judged.join(lost, ["db_file", "owners", "field", "exported_at"]).select(F.lit("control_source").alias("ref_field"), F.col("control_id").alias("record_id"), "reason", "exported_at")
     found = reduce(DataFrame.unionByName, [lost_objects, lost_sources, lost_fields])
     return found.select("ref_field", "record_id", "reason", F.date_format("exported_at", "yyyy-MM").alias("period_month"))
