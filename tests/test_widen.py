@@ -30,14 +30,17 @@ def test_last_readable_value_wins(spark):
     rows = [
         (1, "form", 5, "Width", "10", D(1)), (2, "form", 5, " WI_DTH", "20", D(2)), (3, "form", 5, "width", "#Error", D(3)),
         (4, "form", 5, "Caption", "a", D(1)), (5, "form", 5, "Caption", "b", D(1)), (6, "control", 5, "Visible", "yes", None),
-        (7, "form", 6, "Width", "n/a", D(1)), (8, None, 5, "Width", "1", D(1)), (9, "form", 5, "NoSuch", "1", D(1)), (2, "form", 5, " WI_DTH", "20", D(2)),
+        (7, "form", 6, "Width", "n/a", D(1)), (8, None, 5, "Width", "1", D(1)), (9, "form", 5, "No Such", "1", D(1)), (10, "form", 7, "nosuch", "2.5", D(1)), (11, "form", 7, "Odd", "x", D(1)), (12, "form", 7, "odd", "1", D(0 + 2)), (13, "form", 7, " ", "1", D(1)), (2, "form", 5, " WI_DTH", "20", D(2)),
     ]
     wide = widen.form_attributes(spark.createDataFrame(rows, SCHEMA))
     got = {(r["owner_kind"], r["owner_id"]): r for r in wide.collect()}
-    assert set(got) == {("form", 5), ("control", 5)}
+    assert set(got) == {("form", 5), ("control", 5), ("form", 7)}
+    # attributes of no fixed type are found, with the narrowest type of their values
+    assert str(got["form", 5]["nosuch"]) == "1.00" and str(got["form", 7]["nosuch"]) == "2.50" and got["form", 7]["odd"] == "1"
+    assert wide.columns[-2:] == ["nosuch", "odd"]
     assert got["form", 5]["width"] == 20 and got["form", 5]["caption"] == "b" and got["control", 5]["visible"] is True
     cells = {tuple(r) for r in widen.cells_of(wide, ["owner_kind", "owner_id"]).collect()}
-    assert cells == {("form", 5, "width", "20"), ("form", 5, "caption", "b"), ("control", 5, "visible", "true")}
+    assert cells == {("form", 5, "nosuch", "1.00"), ("form", 7, "nosuch", "2.50"), ("form", 7, "odd", "1"), ("form", 5, "width", "20"), ("form", 5, "caption", "b"), ("control", 5, "visible", "true")}
 
 
 def test_blocks_and_types(spark, monkeypatch):
@@ -51,9 +54,18 @@ def test_blocks_and_types(spark, monkeypatch):
     assert rows == {k: tuple(v) for k, v in want.items()}
 
 
-def test_ordinals_are_dense(spark):
-    df = spark.createDataFrame([(k % 37,) for k in range(200)], "id long")
-    assert sorted(r["ordinal"] for r in widen.ordinals(df, ["id"]).collect()) == list(range(37))
+def test_ordinals_are_dense_and_in_order(spark, monkeypatch):
+    monkeypatch.setattr(widen, "BLOCK", 5)
+    df = spark.createDataFrame([(k % 37, a, "1") for k in range(37) for a in ("x", "other")] + [(99, "other", "1")], "id long, attr_name string, cell_value string")
+    rows = widen.stitch(df.repartition(7), ["id"], {"x": "int", "y z": "string"}).collect()
+    assert sorted((r["id"], r["ordinal"]) for r in rows) == [(k, k) for k in range(37)] and all(r["x"] == 1 and r["y z"] is None for r in rows)
+
+
+def test_too_many_attributes_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(widen, "MOST_COLUMNS", 26)
+    rows = [(k, "form", k, f"new{k}", "1", D(1)) for k in range(3)]
+    with pytest.raises(ValueError):
+        widen.form_attributes(spark.createDataFrame(rows, SCHEMA))
 
 
 def test_empty(spark):
