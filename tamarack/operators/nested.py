@@ -1,9 +1,12 @@
 """Deeply nested records to related flat tables.
 
-Every object on an array level becomes a row with a key of its own, the key of
-its parent and its ordinal.  JSON documents are walked once per record in
-Arrow batches, whatever their depth; typed nested columns are exploded
-natively.  The merged schema of a node kind is inferred from its rows.
+Each document is read once into its nested records, whatever their depth and
+whatever keys they hang from.  The merged schema of the nesting, over all
+documents, then tells which keys are lists: those that any record delivers as
+an array of objects, and those known beforehand.  Under these every object is a
+row with a key of its own, the key of its parent and its ordinal, also where
+the list is a single object or JSON text; elsewhere an object stays a value of
+its owner.  Typed nested columns are exploded natively.
 """
 
 from __future__ import annotations
@@ -17,10 +20,15 @@ from pyspark.sql import functions as F
 
 from tamarack.functions.names import strip
 from tamarack.operators.rows import one_per_key
+from tamarack.workspace import settle
 
-#: What a form document nests: list key of the owner -> (kind of its objects, list keys within them).
-FORM_LISTS = {"properties": ("property", ()), "sections": ("section", ("properties", "controls")), "controls": ("control", ("properties", "controls"))}
-NODES = "array<struct<kind string, path string, parent_path string, ordinal int, attributes map<string,string>>>"
+#: Lists of a form document, as owner's list and own (the document's own list is ''), and the kinds of their objects.
+FORM_LISTS = (("", "properties"), ("", "sections"), ("sections", "properties"), ("sections", "controls"), ("controls", "properties"), ("controls", "controls"))
+FORM_ROUTES = r"^(properties|sections(\.controls)*(\.properties)?|components(\.properties)?)$"
+KINDS = {"properties": "property", "sections": "section", "controls": "control"}
+NODES = "array<struct<route string, list string, shape string, path string, parent_path string, ordinal int, attributes map<string,string>>>"
+#: The most lists of a nesting, and attributes of a flat table, that are told apart; more are refused.
+MOST_LISTS, MOST_COLUMNS = 10_000, 5_000
 
 
 def _refuse(name: str):
@@ -37,12 +45,18 @@ def parse_json(text: str | None):
         return None
 
 
-def _listed(value) -> list:
+def _records(value) -> tuple[list, str]:
+    """What a value holds as a list, and its shape: an array, a single object or the text of either."""
+    shape = "array"
     if isinstance(value, str):
-        value = parse_json(value)
+        if not value.lstrip()[:1] in ("[", "{"):
+            return [], ""
+        value, shape = parse_json(value), "text"
     if isinstance(value, dict):
-        return [value]
-    return value if isinstance(value, list) else []
+        return [value], "text" if shape == "text" else "object"
+    if isinstance(value, list) and any(isinstance(x, dict) for x in value):
+        return value, shape
+    return [], ""
 
 
 def _text(value) -> str | None:
@@ -51,34 +65,53 @@ def _text(value) -> str | None:
     return json.dumps(value, ensure_ascii=False)
 
 
-def walk(document, top: tuple[str, ...] = ("properties", "sections")) -> list[dict]:
-    """All nested objects of a document, parents first, with paths of 0-based positions."""
+def walk(document) -> list[dict]:
+    """All nested records of a document, parents first, with paths of 0-based positions.
+
+    Keys compare without case and outer blanks; of several the first that is
+    not null counts.  route holds the lists' keys from the top down.
+    """
     out: list[dict] = []
-    stack = [(document, top, "", None)] if isinstance(document, dict) else []
+    stack = [(document, "", "", None)] if isinstance(document, dict) else []
     while stack:
-        owner, lists, path, parent = stack.pop()
+        owner, route, path, parent = stack.pop()
         by_key: dict = {}
         for k, v in owner.items():
-            if by_key.get(k.strip().lower()) is None:
-                by_key[k.strip().lower()] = v
-        for name in lists:
-            kind, inner = FORM_LISTS[name]
-            for n, item in enumerate(_listed(by_key.get(name))):
+            if by_key.get(low := k.strip().lower()) is None:
+                by_key[low] = v
+        for name, value in by_key.items():
+            if not isinstance(value, (list, dict, str)):
+                continue
+            records, shape = _records(value)
+            # dots and arrows stand between the keys of a route
+            name = name.replace(".", "%2e").replace(">", "%3e")
+            inner = f"{route}.{name}" if route else name
+            for n, item in enumerate(records):
                 if isinstance(item, dict):
                     own = f"{path}.{n}" if path else str(n)
-                    attributes = {k.strip().lower(): _text(v) for k, v in item.items() if k.strip().lower() not in inner}
-                    out.append({"kind": kind, "path": own, "parent_path": parent, "ordinal": n, "attributes": attributes})
-                    if inner:
-                        stack.append((item, inner, own, f"{kind}:{own}"))
+                    attributes = {k.strip().lower(): _text(v) for k, v in item.items()}
+                    out.append({"route": inner, "list": name, "shape": shape, "path": own, "parent_path": parent, "ordinal": n, "attributes": attributes})
+                    stack.append((item, inner, own, f"{inner}:{own}"))
     return out
 
 
-def json_nodes(df: DataFrame, key: str, json_col: str) -> DataFrame:
-    """One row per nested object of the form documents in ``json_col``.
+def nesting(nodes: DataFrame, known: tuple[tuple[str, str], ...] = ()) -> list[tuple[str, str]]:
+    """The merged schema of the nesting: (owner's list, list) of every list that some record delivers as an array, and the known ones."""
+    steps = nodes.filter("shape = 'array'").select(F.when(F.size(F.split("route", r"\.")) > 1, F.element_at(F.split("route", r"\."), -2)).otherwise("").alias("owner"), "list").distinct()
+    found = sorted((r["owner"], r["list"]) for r in steps.limit(MOST_LISTS + 1).collect())
+    if len(found) > MOST_LISTS:
+        raise ValueError(f"more than {MOST_LISTS} lists")
+    return [*known, *(x for x in found if x not in known)]
+
+
+def json_nodes(df: DataFrame, key: str, json_col: str, known: tuple[tuple[str, str], ...] = (), only_known: bool = False) -> DataFrame:
+    """One row per nested record of the documents in ``json_col``, under the lists of their merged schema.
 
-    ``df`` must have one row per ``key``.  Result: key, kind, path (unique
-    within a record and kind), parent_path (kind:path of the parent, null at
-    the top), ordinal, attributes.  A null, empty or invalid text gives none.
+    ``df`` must have one row per ``key``.  Result: key, kind (of a list without
+    a kind its key), route, path (unique within a record and route),
+    parent_path (route:path of the parent, null at the top), ordinal,
+    attributes (without the lists).  With ``only_known`` lists not known
+    beforehand stay values.  A null, empty or invalid text gives none.
     """
 
     def nodes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -87,28 +120,39 @@ def json_nodes(df: DataFrame, key: str, json_col: str) -> DataFrame:
 
     nodes.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     udf = F.pandas_udf(nodes, NODES)
-    return df.select(key, F.explode(udf(F.col(json_col))).alias("n")).select(key, "n.*")
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # reading costs by the record, not by the byte that partitions are merged by
+    every = settle(df.select(key, json_col).filter(F.col(json_col).isNotNull()).repartition(spread).select(key, F.explode(udf(F.col(json_col))).alias("n")).select(key, "n.*"))
+    lists = list(known) if only_known else nesting(every, known)
+    steps = F.array(*[F.lit(f"{a}>{b}") for a, b in lists]) if lists else F.array().cast("array<string>")
+    parts = F.split("route", r"\.")
+    own = F.transform(parts, lambda x, i: F.concat(F.when(i > 0, F.element_at(parts, i)).otherwise(F.lit("")), F.lit(">"), x))
+    taken = every.filter(F.size(F.array_except(own, steps)) == 0)
+    within = F.transform(F.filter(steps, lambda s: F.substring_index(s, ">", 1) == F.col("list")), lambda s: F.substring_index(s, ">", -1))
+    kinds = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
+    return taken.select(key, F.coalesce(F.element_at(kinds, F.col("list")), F.col("list")).alias("kind"), "route", "path", "parent_path", "ordinal", F.map_filter("attributes", lambda k, _: ~F.array_contains(within, k)).alias("attributes"))
 
 
 def component_nodes(df: DataFrame, key: str, list_col: str) -> DataFrame:
     """Rows of the typed components column and of the items nested in each, as ``json_nodes`` gives them."""
     level = df.select(key, F.posexplode(list_col).alias("ordinal", "c")).filter("c is not null")
-    parts = level.select(key, F.lit("component").alias("kind"), F.col("ordinal").cast("string").alias("path"), F.lit(None).cast("string").alias("parent_path"), "ordinal", F.create_map(F.lit("comp_name"), F.col("c.comp_name")).alias("attributes"))
+    parts = level.select(key, F.lit("component").alias("kind"), F.lit("components").alias("route"), F.col("ordinal").cast("string").alias("path"), F.lit(None).cast("string").alias("parent_path"), "ordinal", F.create_map(F.lit("comp_name"), F.col("c.comp_name")).alias("attributes"))
     inner = level.select(key, F.col("ordinal").alias("outer"), F.posexplode("c.properties").alias("ordinal", "i")).filter("i is not null")
-    items = inner.select(key, F.lit("item").alias("kind"), F.concat_ws(".", "outer", "ordinal").alias("path"), F.concat(F.lit("component:"), F.col("outer").cast("string")).alias("parent_path"), "ordinal", F.create_map(F.lit("prop_key"), F.col("i.prop_key"), F.lit("prop_value"), F.col("i.prop_value")).alias("attributes"))
+    items = inner.select(key, F.lit("item").alias("kind"), F.lit("components.properties").alias("route"), F.concat_ws(".", "outer", "ordinal").alias("path"), F.concat(F.lit("components:"), F.col("outer").cast("string")).alias("parent_path"), "ordinal", F.create_map(F.lit("prop_key"), F.col("i.prop_key"), F.lit("prop_value"), F.col("i.prop_value")).alias("attributes"))
     return parts.unionByName(items)
 
 
-def form_nodes(exports: DataFrame) -> DataFrame:
+def form_nodes(exports: DataFrame, only_known: bool = False) -> DataFrame:
     """Every nested object of the form exports, repeated deliveries of an export counted once.
 
-    Result: export_id, kind (section, control, property, component, item),
-    path, parent_path, ordinal, attributes, node_key and parent_key
-    (surrogate keys over all tables).
+    Result: export_id, kind (section, control, property, component, item and,
+    but with ``only_known``, any other list of the merged schema), route, path,
+    parent_path, ordinal, attributes, node_key and parent_key (surrogate
+    keys over all tables).
     """
     once = one_per_key(exports.select("export_id", "loaded_at", "content_json", "components").filter("export_id is not null"), ["export_id"], ["loaded_at", "content_json", "components"], "loaded_at")
-    nodes = json_nodes(once, "export_id", "content_json").unionByName(component_nodes(once, "export_id", "components"))
-    key = F.concat_ws(":", F.col("export_id").cast("string"), "kind", "path")
+    nodes = json_nodes(once, "export_id", "content_json", FORM_LISTS, only_known).unionByName(component_nodes(once, "export_id", "components"))
+    key = F.concat_ws(":", F.col("export_id").cast("string"), "route", "path")
     up = F.when(F.col("parent_path").isNotNull(), F.concat_ws(":", F.col("export_id").cast("string"), "parent_path"))
     return nodes.withColumn("node_key", key).withColumn("parent_key", up)
 
@@ -123,16 +167,18 @@ def merged_schema(nodes: DataFrame) -> DataFrame:
     return seen.select("kind", "attribute", "n_rows", kind.alias("type"))
 
 
-def flat_table(nodes: DataFrame, kind: str, columns: list[tuple[str, str]] | None = None, max_columns: int = 1000) -> DataFrame:
+def flat_table(nodes: DataFrame, kind: str, columns: list[tuple[str, str]] | None = None) -> DataFrame:
     """The typed flat table of one kind: export_id, node_key, parent_key, path, ordinal and the merged columns.
 
-    ``columns`` are (attribute, type) pairs; by default they are inferred.  At
-    most ``max_columns`` attributes, by name, become columns; all attributes
-    also stay in the map ``attributes``, so none is lost.
+    ``columns`` are (attribute, type) pairs; by default they are those of the
+    merged schema, all of them; more than MOST_COLUMNS are refused.  All
+    attributes also stay in the map ``attributes``.
     """
     own = nodes.filter(F.col("kind") == kind)
     if columns is None:
-        columns = [(r["attribute"], r["type"]) for r in merged_schema(own).orderBy("attribute").limit(max_columns).collect()]
+        columns = [(r["attribute"], r["type"]) for r in merged_schema(own).orderBy("attribute").limit(MOST_COLUMNS + 1).collect()]
+        if len(columns) > MOST_COLUMNS:
+            raise ValueError(f"more than {MOST_COLUMNS} attributes of kind {kind}")
     fixed = ["export_id", "node_key", "parent_key", "path", "ordinal", "attributes"]
     cells = [F.element_at("attributes", F.lit(a)).try_cast(t).alias(a if a not in fixed else f"{a}_value") for a, t in columns]
     return own.select(*fixed, *cells)

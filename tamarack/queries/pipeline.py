@@ -33,7 +33,8 @@ def p1_below(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.form_nodes(table(spark, d, "form_export")).select("export_id", F.col("kind").alias("node_kind"), F.col("path").alias("node_path"))
+    # the problem's kinds; other lists that the merged schema finds are in p2_flat_nodes
+    return nested.form_nodes(table(spark, d, "form_export")).filter(F.col("route").rlike(nested.FORM_ROUTES)).select("export_id", F.col("kind").alias("node_kind"), F.col("path").alias("node_path"))
 
 
 def p2_schema(spark: SparkSession, d: str) -> DataFrame:
@@ -45,6 +46,10 @@ def p2_controls(spark: SparkSession, d: str) -> DataFrame:
     return flat.drop("attributes")
 
 
+def p2_flat_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return nested.form_nodes(table(spark, d, "form_export"))
+
+
 def _flat(spark: SparkSession, d: str, kind: str) -> DataFrame:
     """All attributes of one kind, by the merged schema, and the map of them."""
     return nested.flat_table(settle(nested.form_nodes(table(spark, d, "form_export")).filter(F.col("kind") == kind)), kind)
@@ -102,6 +107,6 @@ def p7_wide(spark: SparkSession, d: str) -> DataFrame:
     return widen.form_attributes(table(spark, d, "form_property"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_below, p2_found, p2_schema, p2_controls, p2_flat_section, p2_flat_control, p2_flat_property, p2_flat_component, p2_flat_item, p3_found, p4_found, p4_layout, p6_found, p6_counts, p7_found, p7_wide)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_below, p2_found, p2_schema, p2_controls, p2_flat_nodes, p2_flat_section, p2_flat_control, p2_flat_property, p2_flat_component, p2_flat_item, p3_found, p4_found, p4_layout, p6_found, p6_counts, p7_found, p7_wide)}
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -15,13 +15,13 @@ def test_shapes(spark):
     assert found(spark, rows) == {
         (1, "property", "0", None),
         (1, "section", "0", None),
-        (1, "control", "0.0", "section:0"),
-        (1, "control", "0.0.0", "control:0.0"),
-        (1, "property", "0.0.0.1", "control:0.0.0"),
+        (1, "control", "0.0", "sections:0"),
+        (1, "control", "0.0.0", "sections.controls:0.0"),
+        (1, "property", "0.0.0.1", "sections.controls.controls:0.0.0"),
         (2, "component", "0", None),
         (2, "component", "1", None),
-        (2, "item", "0.0", "component:0"),
-        (2, "item", "0.1", "component:0"),
+        (2, "item", "0.0", "components:0"),
+        (2, "item", "0.1", "components:0"),
     }
     assert found(spark, []) == set()
 
@@ -62,3 +62,24 @@ def test_every_kind_has_a_whole_flat_table(spark, small):
         names = {r["attribute"] for r in nested.merged_schema(own).collect()}
         assert {n if n not in ("path", "ordinal") else f"{n}_value" for n in names} | {"attributes", "node_key", "parent_key"} <= set(flat.columns)
         assert flat.count() == own.count() > 0
+
+
+def test_merged_schema_tells_the_lists(spark):
+    # tags is a list in the second document, so it is one in the first; size never is
+    docs = [{"Sections": {"Name": "a", "Tags": {"T": 1}, "Size": {"W": 1}}, "Parts": '[{"P": [{"Q": 2}]}]'}, {"sections": [{"tags": [{"T": 2}, 3, {"T": 3}]}], "parts": [{"p": {"q": 1}}]}]
+    df = spark.createDataFrame([(k, None, json.dumps(d), None) for k, d in enumerate(docs)], SCHEMA)
+    nodes = nested.form_nodes(df)
+    got = {(r["export_id"], r["kind"], r["path"], r["parent_key"]) for r in nodes.collect()}
+    assert got == {
+        (0, "section", "0", None), (0, "tags", "0.0", "0:sections:0"), (0, "parts", "0", None), (0, "p", "0.0", "0:parts:0"),
+        (1, "section", "0", None), (1, "tags", "0.0", "1:sections:0"), (1, "tags", "0.2", "1:sections:0"), (1, "parts", "0", None), (1, "p", "0.0", "1:parts:0"),
+    }
+    assert {r["kind"] for r in nested.form_nodes(df, only_known=True).collect()} == {"section"}
+    values = {r["export_id"]: r["attributes"] for r in nodes.filter("kind = 'section'").collect()}
+    assert values[0] == {"name": "a", "size": '{"W": 1}'} and values[1] == {}
+
+
+def test_odd_keys(spark):
+    doc = {"a.b": [{"x>y": [{"z": 1}]}], "": [{"q": 1}], " A.B ": None}
+    rows = nested.form_nodes(spark.createDataFrame([(1, None, json.dumps(doc), None)], SCHEMA)).collect()
+    assert {(r["kind"], r["path"]) for r in rows} == {("a%2eb", "0"), ("x%3ey", "0.0"), ("", "0")}
