@@ -239,6 +239,42 @@ def test_pages_over_repeated_rows(spark):
     assert got == [(1,)] * 7 + [(2,)] * 2
 
 
+def test_pages_of_equal_rows_go_both_ways(spark):
+    values = [1] * 7 + [2] * 2 + [3] + [None] * 3
+    e = Engine(spark, tables={"r": spark.createDataFrame([(v,) for v in values], "x int")})
+    want = sorted(((v,) for v in values), key=lambda r: (r[0] is not None, r[0] or 0))
+    forward, cursor, last = [], "", None
+    while True:
+        last = query_page(e, "SELECT x FROM r", request=PageRequest(3, after=cursor))
+        forward += last.rows
+        if not last.next_cursor:
+            break
+        cursor = last.next_cursor
+    assert forward == want
+    back, page = list(last.rows), last
+    while page.prev_cursor:
+        page = query_page(e, "SELECT x FROM r", request=PageRequest(3, before=page.prev_cursor))
+        back = page.rows + back
+        assert query_page(e, "SELECT x FROM r", request=PageRequest(3, after=page.next_cursor)).rows == want[len(want) - len(back) + len(page.rows) :][:3]
+    assert back == want
+
+
+def test_many_equal_rows_are_not_brought_to_the_driver(spark, monkeypatch):
+    e = Engine(spark, tables={"r": spark.range(100_000).selectExpr("1 as x", "'same' as y")})
+    first = query_page(e, "SELECT x, y FROM r")
+    real, brought = type(first.frame).collect, []
+
+    def collect(self):
+        got = real(self)
+        brought.append(len(got))
+        return got
+
+    monkeypatch.setattr(type(first.frame), "collect", collect)
+    second = query_page(e, "SELECT x, y FROM r", request=PageRequest(after=first.next_cursor))
+    assert len(second.rows) == 100 and sum(brought) <= 101 + 10
+    assert query_page(e, "SELECT x, y FROM r", request=PageRequest(before=second.prev_cursor)).rows == first.rows
+
+
 def test_page_errors(db):
     sql = "SELECT id FROM hbl ORDER BY id"
     first = query_page(db, sql, request=PageRequest(2))
