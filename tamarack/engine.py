@@ -5,14 +5,14 @@ from __future__ import annotations
 import hashlib
 import itertools
 import threading
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, is_dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tamarack.functions.values import Typed, as_text, kind_of, quote_name
-from tamarack.plans.ast import Select
+from tamarack.plans.ast import Call, Name, Select, Star, Table
 from tamarack.plans.compiler import Column, Compiler, normal, unique
 from tamarack.plans.lexer import AccessSqlError
 from tamarack.plans.parser import parse
@@ -45,6 +45,46 @@ class TableSchema:
     row_count: int | None = None
 
 
+class Source:
+    """A table that is read column by column: a statement reads those it names."""
+
+    def columns(self) -> list[str]:
+        raise NotImplementedError
+
+    def read(self, columns: list[str] | None = None) -> DataFrame:
+        """The table with these columns, or all."""
+        raise NotImplementedError
+
+    def count(self) -> int | None:
+        """Its rows where it knows them without reading them."""
+        return None
+
+
+def names_of(node, views: Callable[[str], object] | None = None, seen: set[str] | None = None) -> set[str] | None:
+    """The column names that a statement, and the saved queries in it, may read; None for all of them."""
+    out: set[str] = set()
+    seen = set() if seen is None else seen
+    stack = [node]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, Star):
+            return None
+        if isinstance(x, Name):
+            out.add(normal(x.parts[-1]))
+        elif isinstance(x, Table):
+            inner = views(x.name) if views and normal(x.name) not in seen else None
+            if inner is not None:
+                seen.add(normal(x.name))
+                stack.append(inner)
+        elif isinstance(x, Call):
+            stack += [a for a in x.args if not isinstance(a, Star)]
+        elif isinstance(x, (tuple, list)):
+            stack += x
+        elif is_dataclass(x):
+            stack += [getattr(x, f.name) for f in fields(x)]
+    return out
+
+
 @dataclass
 class TableData:
     columns: list[str]
@@ -55,8 +95,8 @@ class TableData:
 class Engine:
     """Access SQL over named DataFrames and saved queries.
 
-    ``tables`` maps names to DataFrames, Parquet paths or None; a name given
-    None, or found nowhere, is looked for as ``<folder>/<name>.parquet``.
+    ``tables`` maps names to DataFrames, Parquet paths, sources that read
+    single columns (``Source``) or None; a name given None, or found nowhere, is looked for as ``<folder>/<name>.parquet``.
     Names don't depend on case.  With ``case_sensitive_text`` texts compare
     exactly, which lets Parquet filters see them.
     """
@@ -108,6 +148,8 @@ class Engine:
                 source = self._sources.get(key, (name, None))[1]
                 if isinstance(source, DataFrame):
                     self._frames[key] = source
+                elif isinstance(source, Source):
+                    self._frames[key] = source.read()
                 elif isinstance(source, str):
                     self._frames[key] = self.spark.read.parquet(source)
                 elif self.folder and (known := next((n for n in self.tables() if n.lower() == key), None)):
@@ -116,8 +158,29 @@ class Engine:
                     return None
             return self._frames[key]
 
-    def _resolve(self, name: str):
+    def compiler(self, stmt: Select, params: dict[str, object] | None) -> Compiler:
+        """A compiler of one statement, for which tables are read as far as it names their columns."""
+        wanted = names_of(stmt, lambda n: parse(self._views[normal(n)][1]) if normal(n) in self._views and normal(n) not in self._sources else None)
+        return Compiler(lambda name: self._resolve(name, wanted), params or {}, self.exact, lambda text, args: self.spark.sql(text, args=dict(args)).first()["n"])
+
+    def _part(self, name: str, source: Source, wanted: set[str]):
+        """A view of a source's columns that a statement names."""
+        columns = [c for c in source.columns() if normal(c) in wanted] or source.columns()[:1]
+        with self._lock:
+            key = "\0".join([normal(name), *columns])
+            if key not in self._temp:
+                df = source.read(columns)
+                known = unique([Column(f.name, kind_of(f.dataType), f.name) for f in df.schema.fields])
+                view = f"tamarack_{self._id}_{len(self._temp)}_{hashlib.sha256(key.encode()).hexdigest()[:12]}"
+                df.toDF(*[c.name for c in known]).createOrReplaceTempView(view)
+                self._temp[key] = (quote_name(view), known)
+            return self._temp[key]
+
+    def _resolve(self, name: str, wanted: set[str] | None = None):
         key = normal(name)
+        source = self._sources.get(key, (name, None))[1]
+        if isinstance(source, Source) and wanted is not None and len({c.lower() for c in source.columns()}) == len(source.columns()):
+            return self._part(name, source, wanted)
         df = self.frame(name)
         if df is not None:
             with self._lock:
@@ -141,13 +204,19 @@ class Engine:
             kind = f.dataType.simpleString()
             code = meta.get("access_type") or (5 if kind.startswith("decimal") and kind.endswith(",4)") else 16 if kind.startswith("decimal") else TYPE_OF.get(kind, 11))
             out.append(ColumnSchema(f.name, code, TYPE_NAMES.get(code, "UNKNOWN"), meta.get("size", 0), meta.get("prec", 0), meta.get("scale", 0), meta.get("is_fixed", code not in (9, 10, 11, 12))))
-        return TableSchema(name, tuple(out))
+        return TableSchema(name, tuple(out), self._known_count(name))
+
+    def _known_count(self, name: str) -> int | None:
+        source = self._sources.get(normal(name), (name, None))[1]
+        return source.count() if isinstance(source, Source) else None
 
     def schemas(self) -> dict[str, TableSchema]:
         return {n: self.schema(n) for n in self.tables()}
 
     def row_count(self, name: str) -> int:
-        """Rows of a table; Parquet files answer from their footers."""
+        """Rows of a table; database files answer from the table's header, Parquet files from their footers."""
+        if (known := self._known_count(name)) is not None:
+            return known
         df = self.frame(name)
         if df is None:
             raise AccessSqlError(f"{name} is not a table")
@@ -175,7 +244,7 @@ class Engine:
     def compile(self, sql: str | Select, params: dict[str, object] | None = None) -> tuple[str, dict[str, object], list[Column]]:
         """Spark SQL text, its arguments and the result columns."""
         stmt = parse(sql) if isinstance(sql, str) else sql
-        compiler = Compiler(self._resolve, params or {}, self.exact, lambda text, args: self.spark.sql(text, args=dict(args)).first()["n"])
+        compiler = self.compiler(stmt, params)
         out = compiler.select(stmt, None)
         return out.sql, compiler.args, out.columns
 
@@ -189,7 +258,7 @@ class Engine:
         key = normal(name)
         compiler_sql = self.view_sql(name)
         stmt = parse(compiler_sql)
-        compiler = Compiler(self._resolve, params or {}, self.exact, lambda text, args: self.spark.sql(text, args=dict(args)).first()["n"])
+        compiler = self.compiler(stmt, params)
         compiler.open_views.append(key)
         out = compiler.select(stmt, None)
         return self.spark.sql(out.sql, args=compiler.args) if compiler.args else self.spark.sql(out.sql)
@@ -216,6 +285,11 @@ class Engine:
             for row in self.query(sql, params).toLocalIterator():
                 yield tuple(row)
 
+    def collect(self, sql: str, params: dict[str, object] | None = None, tag: str | None = None) -> list[tuple]:
+        """All rows at once, within a slot; for small results."""
+        with self.running(tag):
+            return [tuple(r) for r in self.query(sql, params).collect()]
+
     def describe(self, command: str) -> DataFrame:
         """LIST TABLES and DESCRIBE TABLE name."""
         words = command.strip().rstrip(";").split(None, 2)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from tamarack.engine import Engine
+from tamarack.engine import Engine, Source
 from tamarack.sources.jet.pages import JetError
 from tamarack.sources.jet.saved import saved_queries
 from tamarack.sources.jet.tables import JetFile
@@ -77,6 +78,26 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(JetDataSource)
 
 
+class JetSource(Source):
+    """A table of a database file; only the columns asked for are decoded, and the header knows its rows."""
+
+    def __init__(self, spark: SparkSession, path: str, name: str):
+        self.spark, self.path, self.name = spark, path, name
+        with JetFile(path) as f:
+            table = f.table(name)
+            self.schema, self.rows = table.schema(), table.row_count
+
+    def columns(self) -> list[str]:
+        return self.schema.names
+
+    def read(self, columns: list[str] | None = None) -> DataFrame:
+        chosen = StructType([f for f in self.schema.fields if columns is None or f.name in columns])
+        return self.spark.read.format("jet").schema(chosen).option("table", self.name).load(self.path)
+
+    def count(self) -> int:
+        return self.rows
+
+
 def open_database(spark: SparkSession, path: str, **options) -> Engine:
     """An engine over the user tables and saved queries of one file, which every executor must be able to read."""
     register(spark)
@@ -85,7 +106,7 @@ def open_database(spark: SparkSession, path: str, **options) -> Engine:
         queries = saved_queries(f)
     engine = Engine(spark, **options)
     for name in names:
-        engine.add_table(name, spark.read.format("jet").option("table", name).load(path))
+        engine.add_table(name, JetSource(spark, path, name))
     for name, sql in queries.items():
         if isinstance(sql, str):
             engine.add_view(name, sql)

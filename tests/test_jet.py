@@ -67,6 +67,17 @@ def test_spark_source_and_engine(spark, tmp_path):
     assert df.rdd.getNumPartitions() == 4 and df.count() == 198
 
 
+def test_only_named_columns_are_decoded_and_the_header_counts(spark, tmp_path):
+    path, _ = build(tmp_path / "p.mdb")
+    e = open_database(spark, path)
+    plan = lambda sql: e.query(sql)._jdf.queryExecution().analyzed().toString()
+    assert "memo#" not in plan("SELECT l, m FROM typed WHERE b = TRUE") and "memo#" in plan("SELECT * FROM typed")
+    assert "name#" not in plan("SELECT Count(*) AS n FROM many") and "name#" not in plan("SELECT id FROM first_rows") and "name#" in plan("SELECT m.* FROM many AS m")
+    assert [tuple(r) for r in e.query("SELECT l FROM typed WHERE b = TRUE AND s = 'größe'").collect()] == [(70000,)]
+    # the header's number, which deleted rows leave as it was written
+    assert e.row_count("typed") == 3 and e.schema("typed").row_count == 3 and e.collect("SELECT Count(*) FROM many") == [(198,)]
+
+
 def test_overflow_rows_and_damage(tmp_path):
     w = JetWriter()
     columns = [("id", 4), ("s", 10)]

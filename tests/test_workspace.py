@@ -21,6 +21,15 @@ def test_shared_folder_is_used(spark, tmp_path, monkeypatch):
     assert any(tmp_path.iterdir())
 
 
+def test_no_local_folder_on_a_cluster():
+    import pytest
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        cluster = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda *_: None), master=master, applicationId="x"))
+        with pytest.raises(RuntimeError):
+            workspace.root(cluster)
+
+
 def test_clear(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(workspace, "_written", {})
     monkeypatch.setattr(workspace, "root", lambda _: f"file://{tmp_path}")
