@@ -136,6 +136,16 @@ r AS (SELECT owner_kind, owner_id, attr, recorded_at, prop_row_id, CASE
     WHEN attr IN ('caption', 'fontname', 'tag', 'statusbartext') THEN nullif(v, '') END AS cell FROM n)
 SELECT owner_kind, owner_id, attr AS attr_name, arg_max(cell, (recorded_at, prop_row_id)) AS cell_value FROM r WHERE cell IS NOT NULL GROUP BY ALL""",
 }
+ORACLES["p4_objects"] = """SELECT db_file, obj_name, CAST(obj_type AS INTEGER) AS obj_type, created_at, deleted_at FROM catalog_object
+UNION ALL SELECT db_file, form_name, NULL, created_at, deleted_at FROM form_content"""
+ORACLES["p2_schema"] = ORACLES["p2_found"][: ORACLES["p2_found"].index("SELECT export_id, kind AS node_kind")] + """,
+pairs AS (SELECT n.kind, trim(e.key) AS attribute, CASE WHEN e.type = 'NULL' THEN NULL ELSE trim(coalesce(json_extract_string(e.value, '$'), CAST(e.value AS VARCHAR))) END AS v
+          FROM nodes n, json_each(n.obj) e WHERE n.kind <> 'form' AND NOT (n.kind IN ('section', 'control') AND trim(e.key) IN ('properties', 'controls'))
+    UNION ALL SELECT 'component', 'comp_name', trim(comp.comp_name) FROM comps WHERE comp IS NOT NULL
+    UNION ALL SELECT 'item', unnest(['prop_key', 'prop_value']), unnest([trim(i.prop_key), trim(i.prop_value)]) FROM (SELECT unnest(comp.properties) AS i FROM comps) WHERE i IS NOT NULL),
+shaped AS (SELECT kind, attribute, CASE WHEN v IS NULL THEN 0 WHEN regexp_full_match(v, '-?[0-9]{1,18}') THEN 1 WHEN regexp_full_match(v, '-?[0-9]+([.][0-9]+)?(e[-+]?[0-9]+)?') THEN 2 WHEN v IN ('true', 'false') THEN 8 ELSE 4 END AS shape FROM pairs),
+seen AS (SELECT kind, attribute, count(*) AS n_rows, bit_or(shape) AS shapes FROM shaped GROUP BY ALL)
+SELECT kind, attribute, n_rows, CASE WHEN shapes = 0 THEN 'string' WHEN shapes = 1 THEN 'bigint' WHEN shapes < 4 THEN 'double' WHEN shapes = 8 THEN 'boolean' ELSE 'string' END AS type FROM seen"""
 ORACLES["p6_counts"] = f"SELECT ref_field, reason, period_month, count(*) AS n_orphans FROM ({ORACLES['p6_found']}) GROUP BY ALL"
 ORACLES["p1_paths"] = f"""WITH RECURSIVE {_PARENTS},
 credited AS (SELECT unnest(CASE WHEN looped THEN path[1:list_position(path, cur)] ELSE path END) AS x FROM ends),

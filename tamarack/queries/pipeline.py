@@ -87,6 +87,16 @@ def p4_layout(spark: SparkSession, d: str) -> DataFrame:
     return drift.consistent_layout(table(spark, d, "schema_column"))
 
 
+def p4_columns(spark: SparkSession, d: str) -> DataFrame:
+    return drift.consistent_columns(table(spark, d, "schema_column")).drop("root_id")
+
+
+def p4_objects(spark: SparkSession, d: str) -> DataFrame:
+    # forms are kept apart from other objects and name their name otherwise
+    layout = [("db_file", "string"), ("obj_name", "string"), ("obj_type", "int"), ("created_at", "timestamp_ntz"), ("deleted_at", "timestamp_ntz")]
+    return drift.unite([table(spark, d, "catalog_object"), table(spark, d, "form_content")], layout, {"form_name": "obj_name"})
+
+
 def _orphans(spark: SparkSession, d: str) -> DataFrame:
     return orphans.form_orphans(*(table(spark, d, t) for t in ("form_control", "form_content", "catalog_object", "catalog_field")))
 
@@ -107,6 +117,6 @@ def p7_wide(spark: SparkSession, d: str) -> DataFrame:
     return widen.form_attributes(table(spark, d, "form_property"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_below, p2_found, p2_schema, p2_controls, p2_flat_nodes, p2_flat_section, p2_flat_control, p2_flat_property, p2_flat_component, p2_flat_item, p3_found, p4_found, p4_layout, p6_found, p6_counts, p7_found, p7_wide)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p1_below, p2_found, p2_schema, p2_controls, p2_flat_nodes, p2_flat_section, p2_flat_control, p2_flat_property, p2_flat_component, p2_flat_item, p3_found, p4_found, p4_layout, p4_columns, p4_objects, p6_found, p6_counts, p7_found, p7_wide)}
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tamarack.engine import Engine
 from tamarack.paging import PageRequest, Pager, query_page
+from tamarack.plans.legacy import legacy_query
+from tamarack.sources.jet.saved import QueryRow, query_sql
 
 #: Saved queries that the view queries use.
 VIEWS = {
@@ -44,7 +46,7 @@ STATEMENTS: dict[str, tuple[str, dict, str]] = {
     "arith_int": ("SELECT n_nationkey, n_nationkey*2+n_regionkey-1 AS v, -n_regionkey AS neg FROM [nation]", {}, "SELECT n_nationkey, CAST(n_nationkey*2+n_regionkey-1 AS BIGINT) AS v, CAST(-n_regionkey AS BIGINT) AS neg FROM nation"),
     "div_float": ("SELECT p_partkey, p_size / 4 AS quarter FROM [part]", {}, "SELECT p_partkey, CAST(p_size AS DOUBLE) / 4 AS quarter FROM part"),
     "concat": ('SELECT c_custkey, c_name & "-" & c_mktsegment AS tag FROM [customer]', {}, "SELECT c_custkey, c_name || '-' || c_mktsegment AS tag FROM customer"),
-    "three_valued": ('SELECT c.c_custkey, IIf(o.o_totalprice > 0 AND FALSE, "t", IIf(NOT (o.o_totalprice > 0), "n", "u")) AS mark FROM [customer] AS c LEFT JOIN [orders] AS o ON c.c_custkey = o.o_custkey WHERE c.c_custkey < 300', {}, "SELECT c.c_custkey, CASE WHEN o.o_totalprice > 0 AND FALSE THEN 't' WHEN NOT (o.o_totalprice > 0) THEN 'n' ELSE 'u' END AS mark FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey WHERE c.c_custkey < 300"),
+    "three_valued": ('SELECT c.c_custkey, IIf(o.o_totalprice > 0 AND FALSE, "t", IIf(NOT (o.o_totalprice > 0), "n", "u")) AS mark FROM [customer] AS c LEFT JOIN [orders] AS o ON c.c_custkey = o.o_custkey ', {}, "SELECT c.c_custkey, CASE WHEN o.o_totalprice > 0 AND FALSE THEN 't' WHEN NOT (o.o_totalprice > 0) THEN 'n' ELSE 'u' END AS mark FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey "),
     "null_in": ("SELECT abi_hbl_id, IIf(manifest_quantity IN (1, NULL), 1, IIf(NOT manifest_quantity IN (1, NULL), 2, 3)) AS v FROM [t_abi_hbl]", {}, "SELECT abi_hbl_id, CAST(CASE WHEN manifest_quantity IN (1, NULL) THEN 1 WHEN NOT manifest_quantity IN (1, NULL) THEN 2 ELSE 3 END AS BIGINT) AS v FROM t_abi_hbl"),
     "fn_iif": ('SELECT l_orderkey, l_linenumber, IIf(l_quantity > 25, "big", "small") AS size_class FROM [lineitem]', {}, "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN 'big' ELSE 'small' END AS size_class FROM lineitem"),
     "fn_nz": ("SELECT abi_hbl_id, Nz(manifest_quantity, 0) AS q, Nz(house_no) AS h FROM [t_abi_hbl]", {}, "SELECT abi_hbl_id, CAST(coalesce(manifest_quantity, 0) AS BIGINT) AS q, coalesce(house_no, '') AS h FROM t_abi_hbl"),
@@ -163,7 +165,7 @@ def read_table_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def list_tables(spark: SparkSession, d: str) -> DataFrame:
-    return engine(spark, d).describe("LIST TABLES").filter("table_name in ('nation', 'region', 'orders')")
+    return engine(spark, d).describe("LIST TABLES")
 
 
 def describe_table(spark: SparkSession, d: str) -> DataFrame:
@@ -174,6 +176,41 @@ def row_count(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(engine(spark, d).row_count("lineitem"),)], "n long")
 
 
+#: name -> rows that describe a saved query, parameters, SQL for DuckDB
+SAVED: dict[str, tuple[list[QueryRow], dict, str]] = {
+    "saved_parameters": ([QueryRow(2, 4, "lowest"), QueryRow(3, 1), QueryRow(5, 0, "nation"), QueryRow(8, 0, None, None, "n_regionkey >= [lowest]")], {"lowest": 3}, "SELECT * FROM nation WHERE n_regionkey >= 3"),
+    "saved_distinct": ([QueryRow(3, 2), QueryRow(5, 0, "customer"), QueryRow(6, 0, "segment", None, "c_mktsegment")], {}, "SELECT DISTINCT c_mktsegment AS segment FROM customer"),
+    "saved_top": ([QueryRow(3, 16, "5"), QueryRow(5, 0, "nation"), QueryRow(6, 0, None, None, "n_name"), QueryRow(11, 0, "D", None, "n_name")], {}, "SELECT n_name FROM nation ORDER BY n_name DESC LIMIT 5"),
+    "saved_joins": ([QueryRow(3, 0), QueryRow(5, 0, "nation", "n"), QueryRow(5, 0, "region", "r"), QueryRow(5, 0, "supplier", "s"), QueryRow(6, 0, "place", None, "n.n_name"), QueryRow(6, 0, None, None, "r.r_name"), QueryRow(6, 0, None, None, "s.s_suppkey"), QueryRow(7, 1, "n", "r", "n.n_regionkey = r.r_regionkey"), QueryRow(7, 2, "n", "s", "n.n_nationkey = s.s_nationkey")], {}, "SELECT n.n_name AS place, r.r_name, s.s_suppkey FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey LEFT JOIN supplier s ON n.n_nationkey = s.s_nationkey"),
+    "saved_groups": ([QueryRow(3, 0), QueryRow(5, 0, "orders"), QueryRow(6, 0, None, None, "o_orderpriority"), QueryRow(6, 0, "n", None, "Count(*)"), QueryRow(8, 0, None, None, "o_totalprice > 1000"), QueryRow(9, 0, None, None, "o_orderpriority"), QueryRow(10, 0, None, None, "Count(*) > 10"), QueryRow(11, 0, None, None, "o_orderpriority")], {}, "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY 1 HAVING count(*) > 10"),
+}
+
+#: name -> statement of the small dialect, SQL for DuckDB
+LEGACY: dict[str, tuple[str, str]] = {
+    "legacy_columns": ("SELECT n_nationkey, N_NAME FROM nation", "SELECT n_nationkey, n_name FROM nation"),
+    "legacy_star": ("SELECT * FROM region LIMIT 5", "SELECT * FROM region"),
+    "legacy_count": ("SELECT COUNT(*) FROM lineitem WHERE l_quantity > 45 AND l_returnflag <> 'A'", "SELECT count(*) AS count FROM lineitem WHERE l_quantity > 45 AND l_returnflag <> 'A'"),
+    "legacy_where": ("SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F' OR NOT o_totalprice > 1000) AND o_orderdate < strptime('1997-01-01', '%Y-%m-%d')", "SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F' OR NOT o_totalprice > 1000) AND o_orderdate < TIMESTAMP '1997-01-01'"),
+    "legacy_null": ("SELECT abi_hbl_id FROM t_abi_hbl WHERE hold_date IS NOT NULL OR house_no IS NULL", "SELECT abi_hbl_id FROM t_abi_hbl WHERE hold_date IS NOT NULL OR house_no IS NULL"),
+    "legacy_like": ("SELECT p_partkey FROM part WHERE p_name LIKE 's%' OR p_brand LIKE 'Brand#_1'", "SELECT p_partkey FROM part WHERE p_name LIKE 's%' OR p_brand LIKE 'Brand#_1'"),
+    "legacy_ilike": ("SELECT p_partkey FROM part WHERE p_name ILIKE 'S%'", "SELECT p_partkey FROM part WHERE p_name ILIKE 'S%'"),
+    "legacy_top": ("SELECT TOP 100 PERCENT n_nationkey FROM nation WHERE n_regionkey >= 2", "SELECT n_nationkey FROM nation WHERE n_regionkey >= 2"),
+}
+
+
+def fn_date_now(spark: SparkSession, d: str) -> DataFrame:
+    # the clock itself has no counterpart; what must hold of it has
+    return engine(spark, d).query('SELECT n_nationkey, IIf(Date() <= Now(), 1, 0) AS begun, IIf(DateValue(Now()) = Date(), 1, 0) AS today, IIf(Format(Date(), "hh:nn:ss") = "00:00:00", 1, 0) AS midnight FROM [nation]')
+
+
+def _saved(rows: list[QueryRow], params: dict) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: engine(spark, d).query(query_sql(rows), params)
+
+
+def _legacy(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: legacy_query(engine(spark, d), sql)
+
+
 _PLAIN = "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey"
 OTHERS: dict[str, tuple[Callable, str]] = {
     "page_first": (page_first, f"{_PLAIN} LIMIT 50"),
@@ -181,9 +218,12 @@ OTHERS: dict[str, tuple[Callable, str]] = {
     "page_previous": (page_previous, f"{_PLAIN} LIMIT 20 OFFSET 30"),
     "pager_page": (pager_page, f"{_PLAIN} LIMIT 100 OFFSET 200"),
     "read_table_text": (read_table_text, "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation"),
-    "list_tables": (list_tables, "SELECT unnest(['nation', 'region', 'orders']) AS table_name"),
+    "list_tables": (list_tables, "SELECT table_name FROM information_schema.tables"),
     "describe_table": (describe_table, "SELECT unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS column_name"),
     "row_count": (row_count, "SELECT count(*) AS n FROM lineitem"),
+    "fn_date_now": (fn_date_now, "SELECT n_nationkey, 1 AS begun, 1 AS today, 1 AS midnight FROM nation"),
+    **{n: (_saved(rows, p), o) for n, (rows, p, o) in SAVED.items()},
+    **{n: (_legacy(sql), o) for n, (sql, o) in LEGACY.items()},
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**{n: _statement(sql, p) for n, (sql, p, _) in STATEMENTS.items()}, **{n: f for n, (f, _) in OTHERS.items()}}
