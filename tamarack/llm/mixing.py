@@ -11,8 +11,10 @@ two are landed by giving up one constraint after the other.
 
 from __future__ import annotations
 
+import base64
 import random
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -26,33 +28,31 @@ BLOCK_DOCS = 20_000
 EPS = 1e-9
 
 
-def token_counts(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
+#: Fixed value: how texts are split before their bytes are paired, as the public 50k byte-level vocabulary was made.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Where the rank file of that vocabulary is on this machine.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@lru_cache(4)
+def _encoding(path: str, pattern: str):
+    """The encoder of a rank file (base64 token and rank to a line); read once by each Python worker."""
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def token_counts(documents: DataFrame, tokenizer: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """doc_id, source, n_tokens by a public byte-level tokenizer.
 
-    ``tokenizer`` is the path of a rank file (base64 token and rank to a
-    line); by default that of the installed public 50k vocabulary.  Null texts
-    count 0 tokens.
+    ``tokenizer`` is the path of a rank file that every executor can read,
+    ``pattern`` how it splits texts.  Null texts count 0 tokens.
     """
-    if tokenizer is None:
-        import public_tokenizers
-
-        tokenizer = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import base64
-        import builtins
-
-        import public_tokenizers
-        import tiktoken
-
-        kept = getattr(builtins, "__tamarack_encodings", None)
-        if kept is None:
-            kept = builtins.__tamarack_encodings = {}
-        if tokenizer not in kept:
-            with open(tokenizer, "rb") as lines:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            kept[tokenizer] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        encode = kept[tokenizer].encode_ordinary
+        encode = _encoding(tokenizer, pattern).encode_ordinary
         for batch in texts:
             yield pd.Series([len(encode(t)) if t else 0 for t in batch], dtype="int64")
 

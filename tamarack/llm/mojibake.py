@@ -285,7 +285,12 @@ def restore_texts(fields: DataFrame) -> DataFrame:
     cost = F.create_map(*[F.lit(x) for w, c in WRITTEN.items() for x in (w, c)])
     prior = F.coalesce(F.element_at(cost, F.split("channel", ">")[0]), F.lit(2.0)) + F.when(F.col("channel").endswith("twice"), 1.0).otherwise(0.0)
     known = vocabulary.select(F.col("word").alias("form"), F.col("freq").alias("seen"))
-    edges = back.unionByName(ahead).join(own, "word").join(known, "form", "left")
+    # a reading with wildcards that a corpus word fills is that word
+    wild = F.replace(F.regexp_replace("form", r"([%_\\])", r"\\$1"), F.lit(WILD), F.lit("_"))
+    whole_words = ahead.select("word", "channel", F.col("form").alias("__whole"))
+    filled = back.filter(F.col("form").contains(WILD)).withColumn("__like", wild).join(whole_words, ["word", "channel"]).filter("__whole like __like")
+    filled = filled.select("word", "channel", F.col("__whole").alias("form"), (F.col("evidence") + 0.5).alias("evidence"))
+    edges = back.unionByName(ahead).unionByName(filled).join(own, "word").join(known, "form", "left")
     ratio = F.log(F.coalesce("seen", F.lit(UNSEEN)) / F.col("own"))
     # repetition says nothing against a word that is valid UTF-8 read wrongly, as a whole file may be exported so: it counts as standing there once
     whole = F.col("channel").rlike("^utf-8>") & (F.col("evidence") >= WHOLE) & ~F.col("form").contains(WILD) & (F.col("channel").rlike(">(cp1252|latin_1)") | F.col("word").rlike(SIGNS))

@@ -70,3 +70,9 @@ def test_repetition_does_not_hide_damage(spark):
     df = spark.createDataFrame([(t,) for w in (counts, right) for t, n in w.items() for _ in range(n)], "text string")
     got = {r["text"]: r["restored"] for r in mojibake.restore_texts(df).collect()}
     assert got == {"MenÃ¼": "Menü", "MÃ¼ller": "Müller", "KÃ¶ln": "Köln", "GrÃ¶n": "Grön"}
+
+
+def test_corpus_words_fill_wildcards(spark):
+    rows = [("貨物番号",)] * 3 + [("è²¨ç‰©ç•ªå·",), ("100%_貨物番号",), ("100%_è²¨ç‰©ç•ªå·",)]
+    got = {r["text"]: (r["restored"], r["complete"]) for r in mojibake.restore_texts(spark.createDataFrame(rows, "text string")).collect()}
+    assert got == {"è²¨ç‰©ç•ªå·": ("貨物番号", True), "100%_è²¨ç‰©ç•ªå·": ("100%_貨物番号", True)}
