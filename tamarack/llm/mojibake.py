@@ -36,6 +36,8 @@ SWITCH, ENTER = 4.0, 0.3
 MARKS = "[\\x{80}-\\x{9f}\\x{fffd}\\x{e000}-\\x{f8ff}]"
 #: What a form that doesn't occur counts as, and the evidence of one whole multibyte character.
 UNSEEN, WHOLE = 0.3, 3.0
+#: What it costs that a word from which a lossy channel took all signs of damage is taken for one.
+UNMARKED = 2.0
 #: Signs beyond ASCII: a word of letters alone, such as a Russian one, may be valid UTF-8 in some code page by chance.
 SIGNS = "[^\\x00-\\x7f\\p{L}\\p{M}]|[\u00aa\u00ba\u00b5]"
 LATTICE = "array<struct<channel string, form string, evidence double>>"
@@ -163,6 +165,11 @@ def forward(word: str) -> list[tuple[str, str, float]]:
 
     def add(channel: str, garbled: str, evidence: float) -> None:
         garbled = garbled.strip(" ")
+        if garbled.isascii() and "?" not in garbled:
+            # what is left bears no mark of damage: a number or a few letters may stand for themselves, other words mostly do
+            if sum(map(str.isalpha, garbled)) < 3:
+                return
+            evidence -= UNMARKED
         if garbled and garbled != word:
             # a word of lost characters alone could be anything
             out.setdefault((channel, garbled), evidence if garbled.strip(LOST + "?") else -9.0)

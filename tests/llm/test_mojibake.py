@@ -76,3 +76,9 @@ def test_corpus_words_fill_wildcards(spark):
     rows = [("貨物番号",)] * 3 + [("è²¨ç‰©ç•ªå·",), ("100%_貨物番号",), ("100%_è²¨ç‰©ç•ªå·",)]
     got = {r["text"]: (r["restored"], r["complete"]) for r in mojibake.restore_texts(spark.createDataFrame(rows, "text string")).collect()}
     assert got == {"è²¨ç‰©ç•ªå·": ("貨物番号", True), "100%_è²¨ç‰©ç•ªå·": ("100%_貨物番号", True)}
+
+
+def test_plain_words_beside_frequent_ones_with_signs_are_right(spark):
+    # 2 is what some channels leave of 2°, No of Não, however much more frequent these are
+    rows = [(f"10 µm ± 2° {k}",) for k in range(400)] + [(f"Não confirmado {k}",) for k in range(400)] + [("Hold date 2",), ("No data",), ("Menu",)] + [(f"Menü {k}",) for k in range(300)]
+    assert mojibake.restore_texts(spark.createDataFrame(rows, "text string")).collect() == []
