@@ -146,6 +146,40 @@ pairs AS (SELECT n.kind, trim(e.key) AS attribute, CASE WHEN e.type = 'NULL' THE
 shaped AS (SELECT kind, attribute, CASE WHEN v IS NULL THEN 0 WHEN regexp_full_match(v, '-?[0-9]{1,18}') THEN 1 WHEN regexp_full_match(v, '-?[0-9]+([.][0-9]+)?(e[-+]?[0-9]+)?') THEN 2 WHEN v IN ('true', 'false') THEN 8 ELSE 4 END AS shape FROM pairs),
 seen AS (SELECT kind, attribute, count(*) AS n_rows, bit_or(shape) AS shapes FROM shaped GROUP BY ALL)
 SELECT kind, attribute, n_rows, CASE WHEN shapes = 0 THEN 'string' WHEN shapes = 1 THEN 'bigint' WHEN shapes < 4 THEN 'double' WHEN shapes = 8 THEN 'boolean' ELSE 'string' END AS type FROM seen"""
+_CI = "coalesce(nullif(json_extract({0}, '$.{1}'), 'null'), nullif(json_extract({0}, '$.{2}'), 'null'), nullif(json_extract({0}, '$.{3}'), 'null'))"
+
+
+def _ci(obj: str, key: str) -> str:
+    """A key's value, written in small letters, capitals or with one capital."""
+    return _CI.format(obj, key.lower(), key, key.upper())
+
+
+_ARRAY = "CASE json_type({0}) WHEN 'ARRAY' THEN CAST({0} AS JSON[]) WHEN 'OBJECT' THEN [{0}] WHEN 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string({0}, '$')) THEN CASE json_type(CAST(json_extract_string({0}, '$') AS JSON)) WHEN 'ARRAY' THEN CAST(CAST(json_extract_string({0}, '$') AS JSON) AS JSON[]) WHEN 'OBJECT' THEN [CAST(json_extract_string({0}, '$') AS JSON)] END END END"
+_CELL = "json_extract_string({0}, '$')"
+_WHOLE = "CASE WHEN regexp_full_match(trim(json_extract_string({0}, '$')), '[-+]?[0-9]{{1,18}}') THEN CAST(trim(json_extract_string({0}, '$')) AS BIGINT) END"
+ORACLES["p2_controls"] = f"""WITH RECURSIVE docs AS (SELECT export_id, arg_max(content_json, loaded_at) AS j FROM form_export GROUP BY export_id),
+secs AS (SELECT export_id, unnest(a) AS obj, generate_subscripts(a, 1) - 1 AS n FROM (SELECT export_id, {_ARRAY.format('v')} AS a FROM (SELECT export_id, {_ci('CAST(j AS JSON)', 'Sections')} AS v FROM docs WHERE j IS NOT NULL AND json_valid(j)))),
+ctl AS (
+    SELECT export_id, 'sections.controls' AS route, s.export_id || ':sections:' || s.n AS parent_key, s.n || '.' || k AS path, k AS ordinal, item AS obj
+    FROM (SELECT export_id, n, unnest(a) AS item, generate_subscripts(a, 1) - 1 AS k FROM (SELECT export_id, n, {_ARRAY.format('v')} AS a FROM (SELECT export_id, n, {_ci('obj', 'Controls')} AS v FROM secs WHERE json_type(obj) = 'OBJECT'))) s WHERE json_type(item) = 'OBJECT'
+    UNION ALL
+    SELECT export_id, route || '.controls', export_id || ':' || route || ':' || path, path || '.' || k, k, item
+    FROM (SELECT export_id, route, path, unnest(a) AS item, generate_subscripts(a, 1) - 1 AS k FROM (SELECT export_id, route, path, {_ARRAY.format('v')} AS a FROM (SELECT export_id, route, path, {_ci('obj', 'Controls')} AS v FROM ctl))) WHERE json_type(item) = 'OBJECT')
+SELECT export_id, export_id || ':' || route || ':' || path AS node_key, parent_key, path, CAST(ordinal AS INTEGER) AS ordinal, {_CELL.format(_ci('obj', 'Name'))} AS name, {_CELL.format(_ci('obj', 'Type'))} AS type,
+    {_WHOLE.format("coalesce(json_extract(obj, '$.TypeCode'), json_extract(obj, '$.typecode'), json_extract(obj, '$.typeCode'), json_extract(obj, '$.TYPECODE'))")} AS typecode, {_WHOLE.format(_ci('obj', 'Left'))} AS "left", {_WHOLE.format(_ci('obj', 'Top'))} AS top, {_CELL.format(_ci('obj', 'Caption'))} AS caption FROM ctl"""
+_P4 = ORACLES["p4_found"][: ORACLES["p4_found"].index("SELECT came.file_name")].rstrip()
+ORACLES["p4_layout"] = f"""WITH RECURSIVE{_P4[4:]},
+steps AS (SELECT nc.db_name, f.prev AS no, nc.tn, oc.cn, nc.file_no AS no2, nc.tn AS tn2, nc.cn AS cn2 FROM nc JOIN oc USING (db_name, file_no, tn, cn) JOIN files f USING (db_name, file_no)
+    UNION ALL SELECT ren.db_name, f.prev, ren.tn, ren.old, ren.file_no, ren.tn, ren.cn FROM ren JOIN files f USING (db_name, file_no)
+    UNION ALL SELECT c.db_name, c.file_no, c.tn, c.cn, came.file_no, came.tn, c.cn FROM came JOIN gone ON gone.db_name = came.db_name AND gone.file_no = came.file_no AND gone.layout = came.layout AND gone.k = came.k
+        JOIN files f ON f.db_name = came.db_name AND f.file_no = came.file_no JOIN c ON c.db_name = came.db_name AND c.file_no = f.prev AND c.tn = gone.tn),
+reach AS (SELECT db_name, file_no, file_name, kind, file_no AS no, tn, cn FROM c
+    UNION ALL SELECT r.db_name, r.file_no, r.file_name, r.kind, s.no2, s.tn2, s.cn2 FROM reach r JOIN steps s ON s.db_name = r.db_name AND s.no = r.no AND s.tn = r.tn AND s.cn = r.cn),
+ends AS (SELECT r.* FROM reach r ANTI JOIN steps s ON s.db_name = r.db_name AND s.no = r.no AND s.tn = r.tn AND s.cn = r.cn),
+grouped AS (SELECT db_name, no, tn, cn, max(coalesce(nullif(list_position(['1', '2', '3', '4', '5', '16', '6', '7', '8', '10', '12', '15', '9', '11', '18'], kind), 0), 10)) AS widest, bool_or(kind IN ('8', '9', '11')) AS odd, count(DISTINCT kind) AS n_types,
+    array_to_string(list_sort(list(DISTINCT kind)), ',') AS access_types, arg_min(file_name, file_no) AS first_file, arg_max(file_name, file_no) AS last_file, count(DISTINCT file_no) AS n_files FROM ends GROUP BY ALL)
+SELECT db_name, tn AS table_name, cn AS col_name, CASE WHEN n_types > 1 AND odd THEN 'string' ELSE (['boolean', 'smallint', 'smallint', 'int', 'decimal(19,4)', 'decimal(28,6)', 'double', 'double', 'timestamp_ntz', 'string', 'string', 'string', 'binary', 'binary', 'int'])[widest] END AS spark_type,
+    access_types, first_file, last_file, n_files FROM grouped"""
 ORACLES["p6_counts"] = f"SELECT ref_field, reason, period_month, count(*) AS n_orphans FROM ({ORACLES['p6_found']}) GROUP BY ALL"
 ORACLES["p1_paths"] = f"""WITH RECURSIVE {_PARENTS},
 credited AS (SELECT unnest(CASE WHEN looped THEN path[1:list_position(path, cur)] ELSE path END) AS x FROM ends),
