@@ -26,7 +26,7 @@ from tamarack.workspace import settle
 FORM_LISTS = (("", "properties"), ("", "sections"), ("sections", "properties"), ("sections", "controls"), ("controls", "properties"), ("controls", "controls"))
 FORM_ROUTES = r"^(properties|sections(\.controls)*(\.properties)?|components(\.properties)?)$"
 KINDS = {"properties": "property", "sections": "section", "controls": "control"}
-NODES = "array<struct<route string, list string, shape string, path string, parent_path string, ordinal int, attributes map<string,string>>>"
+NODES = "array<struct<route string, shape string, path string, attributes map<string,string>>>"
 #: The most lists of a nesting, and attributes of a flat table, that are told apart; more are refused.
 MOST_LISTS, MOST_COLUMNS = 10_000, 5_000
 
@@ -65,16 +65,17 @@ def _text(value) -> str | None:
     return json.dumps(value, ensure_ascii=False)
 
 
-def walk(document) -> list[dict]:
+def walk(document, attributes: bool = True) -> list[dict]:
     """All nested records of a document, parents first, with paths of 0-based positions.
 
     Keys compare without case and outer blanks; of several the first that is
-    not null counts.  route holds the lists' keys from the top down.
+    not null counts.  route holds the lists' keys from the top down.  Without
+    ``attributes`` the records' values aren't copied.
     """
     out: list[dict] = []
-    stack = [(document, "", "", None)] if isinstance(document, dict) else []
+    stack = [(document, "", "")] if isinstance(document, dict) else []
     while stack:
-        owner, route, path, parent = stack.pop()
+        owner, route, path = stack.pop()
         by_key: dict = {}
         for k, v in owner.items():
             if by_key.get(low := k.strip().lower()) is None:
@@ -83,40 +84,41 @@ def walk(document) -> list[dict]:
             if not isinstance(value, (list, dict, str)):
                 continue
             records, shape = _records(value)
+            if not records:
+                continue
             # dots and arrows stand between the keys of a route
             name = name.replace(".", "%2e").replace(">", "%3e")
             inner = f"{route}.{name}" if route else name
             for n, item in enumerate(records):
                 if isinstance(item, dict):
                     own = f"{path}.{n}" if path else str(n)
-                    attributes = {k.strip().lower(): _text(v) for k, v in item.items()}
-                    out.append({"route": inner, "list": name, "shape": shape, "path": own, "parent_path": parent, "ordinal": n, "attributes": attributes})
-                    stack.append((item, inner, own, f"{inner}:{own}"))
+                    out.append({"route": inner, "shape": shape, "path": own, "attributes": {k.strip().lower(): _text(v) for k, v in item.items()} if attributes else None})
+                    stack.append((item, inner, own))
     return out
 
 
 def nesting(nodes: DataFrame, known: tuple[tuple[str, str], ...] = ()) -> list[tuple[str, str]]:
     """The merged schema of the nesting: (owner's list, list) of every list that some record delivers as an array, and the known ones."""
-    steps = nodes.filter("shape = 'array'").select(F.when(F.size(F.split("route", r"\.")) > 1, F.element_at(F.split("route", r"\."), -2)).otherwise("").alias("owner"), "list").distinct()
+    steps = nodes.filter("shape = 'array'").select(F.when(F.size(F.split("route", r"\.")) > 1, F.element_at(F.split("route", r"\."), -2)).otherwise("").alias("owner"), F.substring_index("route", ".", -1).alias("list")).distinct()
     found = sorted((r["owner"], r["list"]) for r in steps.limit(MOST_LISTS + 1).collect())
     if len(found) > MOST_LISTS:
         raise ValueError(f"more than {MOST_LISTS} lists")
     return [*known, *(x for x in found if x not in known)]
 
 
-def json_nodes(df: DataFrame, key: str, json_col: str, known: tuple[tuple[str, str], ...] = (), only_known: bool = False) -> DataFrame:
+def json_nodes(df: DataFrame, key: str, json_col: str, known: tuple[tuple[str, str], ...] = (), only_known: bool = False, attributes: bool = True) -> DataFrame:
     """One row per nested record of the documents in ``json_col``, under the lists of their merged schema.
 
     ``df`` must have one row per ``key``.  Result: key, kind (of a list without
     a kind its key), route, path (unique within a record and route),
     parent_path (route:path of the parent, null at the top), ordinal,
-    attributes (without the lists).  With ``only_known`` lists not known
-    beforehand stay values.  A null, empty or invalid text gives none.
+    attributes (without the lists; null where they aren't asked for).  With
+    ``only_known`` lists not known beforehand stay values.  A null, empty or invalid text gives none.
     """
 
     def nodes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series([walk(parse_json(t)) for t in batch], dtype=object)
+            yield pd.Series([walk(parse_json(t), attributes) for t in batch], dtype=object)
 
     nodes.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     udf = F.pandas_udf(nodes, NODES)
@@ -128,9 +130,12 @@ def json_nodes(df: DataFrame, key: str, json_col: str, known: tuple[tuple[str, s
     parts = F.split("route", r"\.")
     own = F.transform(parts, lambda x, i: F.concat(F.when(i > 0, F.element_at(parts, i)).otherwise(F.lit("")), F.lit(">"), x))
     taken = every.filter(F.size(F.array_except(own, steps)) == 0)
-    within = F.transform(F.filter(steps, lambda s: F.substring_index(s, ">", 1) == F.col("list")), lambda s: F.substring_index(s, ">", -1))
+    last = F.substring_index("route", ".", -1)
+    within = F.transform(F.filter(steps, lambda s: F.substring_index(s, ">", 1) == last), lambda s: F.substring_index(s, ">", -1))
     kinds = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
-    return taken.select(key, F.coalesce(F.element_at(kinds, F.col("list")), F.col("list")).alias("kind"), "route", "path", "parent_path", "ordinal", F.map_filter("attributes", lambda k, _: ~F.array_contains(within, k)).alias("attributes"))
+    above = lambda c: F.array_join(F.slice(F.split(c, r"\."), 1, F.size(F.split(c, r"\.")) - 1), ".")
+    up = F.when(F.instr("path", ".") > 0, F.concat_ws(":", above("route"), above("path")))
+    return taken.select(key, F.coalesce(F.element_at(kinds, last), last).alias("kind"), "route", "path", up.alias("parent_path"), F.substring_index("path", ".", -1).cast("int").alias("ordinal"), F.map_filter("attributes", lambda k, _: ~F.array_contains(within, k)).alias("attributes"))
 
 
 def component_nodes(df: DataFrame, key: str, list_col: str) -> DataFrame:
@@ -142,16 +147,17 @@ def component_nodes(df: DataFrame, key: str, list_col: str) -> DataFrame:
     return parts.unionByName(items)
 
 
-def form_nodes(exports: DataFrame, only_known: bool = False) -> DataFrame:
+def form_nodes(exports: DataFrame, only_known: bool = False, attributes: bool = True) -> DataFrame:
     """Every nested object of the form exports, repeated deliveries of an export counted once.
 
     Result: export_id, kind (section, control, property, component, item and,
     but with ``only_known``, any other list of the merged schema), route, path,
     parent_path, ordinal, attributes, node_key and parent_key (surrogate
-    keys over all tables).
+    keys over all tables).  Without ``attributes`` those of the JSON part are
+    null and not copied.
     """
     once = one_per_key(exports.select("export_id", "loaded_at", "content_json", "components").filter("export_id is not null"), ["export_id"], ["loaded_at", "content_json", "components"], "loaded_at")
-    nodes = json_nodes(once, "export_id", "content_json", FORM_LISTS, only_known).unionByName(component_nodes(once, "export_id", "components"))
+    nodes = json_nodes(once, "export_id", "content_json", FORM_LISTS, only_known, attributes).unionByName(component_nodes(once, "export_id", "components"))
     key = F.concat_ws(":", F.col("export_id").cast("string"), "route", "path")
     up = F.when(F.col("parent_path").isNotNull(), F.concat_ws(":", F.col("export_id").cast("string"), "parent_path"))
     return nodes.withColumn("node_key", key).withColumn("parent_key", up)

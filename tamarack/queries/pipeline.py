@@ -34,7 +34,7 @@ def p1_below(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     # the problem's kinds; other lists that the merged schema finds are in p2_flat_nodes
-    return nested.form_nodes(table(spark, d, "form_export")).filter(F.col("route").rlike(nested.FORM_ROUTES)).select("export_id", F.col("kind").alias("node_kind"), F.col("path").alias("node_path"))
+    return nested.form_nodes(table(spark, d, "form_export"), attributes=False).filter(F.col("route").rlike(nested.FORM_ROUTES)).select("export_id", F.col("kind").alias("node_kind"), F.col("path").alias("node_path"))
 
 
 def p2_schema(spark: SparkSession, d: str) -> DataFrame:
