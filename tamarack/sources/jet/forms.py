@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tamarack.sources.jet.compound import MAGIC, Compound, Entry
 from tamarack.sources.jet.pages import JetError, u16, u32
-from tamarack.sources.jet.records import COLOURS, packed_records
+from tamarack.sources.jet.records import COLOURS, design_records
 from tamarack.sources.jet.tables import FORM_OBJECT, JetColumn, JetFile
 
 # Control type codes of the list of controls.
@@ -301,7 +301,7 @@ def form_design(name: str, storage_id: int, controls: bytes, design: bytes) -> F
         label = next((p.value for p in g if p.id == 0x14), "")
         by_name.setdefault(label.lower(), g)
     packed: dict[tuple[str, int], dict[str, str]] = {}
-    for r in packed_records(design):
+    for r in design_records(design):
         packed.setdefault((r.name.lower(), r.code), r.values)
     out, section = [], ""
     for k, c in enumerate(listed):

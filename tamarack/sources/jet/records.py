@@ -5,10 +5,15 @@ the next record: a flag alone (below 0x30), or a tag with one byte (to 0x5F),
 two (to 0x9B), four (to 0xBB), or a length and as many bytes (from 0xC0).
 Tag 0xDC holds the control's name.  Only values that stand in a record are
 given; defaults that the designer leaves out are not filled in.
+
+Access 2003 frames the same items wider: the marker and each tag take four
+bytes, and a tag is followed by the property's number, its kind, the size of
+its elements and the bytes of its value.  Such a stream starts with 0x0014.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from tamarack.sources.jet.pages import u16, u32
@@ -32,6 +37,10 @@ ITEMS: dict[int, dict[int, str]] = {
     **{code: {0x33: "SpecialEffect", 0x60: "Height", 0x9C: "BackColor", 0xDF: "EventProcPrefix"} for code in (0x98, 0x99, 0x9A)},
 }
 COLOURS = frozenset(("BackColor", "ForeColor", "BorderColor"))
+#: First word of a widely framed stream, the frame before a value, and the kinds of values there are.
+WIDE, FRAME_BYTES = 0x0014, 18
+VALUE_KINDS = frozenset((1, 2, 3, 4, 6, 8, 9, 10, 11, 12))
+BINARY, LONGEST = 11, 255
 SIGNED = frozenset(("Left", "Top", "OptionValue"))
 
 
@@ -59,54 +68,105 @@ def _text(raw: bytes) -> str | None:
     return text if all(c.isprintable() or c in "\t\r\n" for c in text) and "\ufffd" not in text else None
 
 
-def record_at(data: bytes, start: int) -> Record | None:
-    """The record whose marker stands at ``start``, or None."""
-    if start + 3 > len(data) or data[start] not in (0xFD, 0xFE) or data[start + 2] or data[start + 1] not in ITEMS:
-        return None
-    meaning = ITEMS[data[start + 1]]
-    out = Record(data[start + 1], start, start + 3)
-    at = start + 3
+def _width(tag: int) -> int:
+    """Bytes of a tag's number; -1 where a length stands before its bytes."""
+    return 0 if tag < 0x30 else 1 if tag < 0x60 else 2 if tag < 0x9C else 4 if tag < 0xC0 else -1
+
+
+def _packed_items(data: bytes, at: int) -> Iterator[tuple[int, bytes, int]]:
+    """Tag, value and end of each item from ``at`` on, up to the next marker or what is cut off."""
     while at < len(data) and data[at] < 0xFD:
         tag = data[at]
-        label = meaning.get(tag)
-        width = 0 if tag < 0x30 else 1 if tag < 0x60 else 2 if tag < 0x9C else 4 if tag < 0xC0 else -1
+        start, width = at + 1, _width(tag)
+        if width < 0:
+            if start >= len(data):
+                return
+            start, width = at + 2, data[at + 1]
+        if start + width > len(data):
+            return
+        at = start + width
+        yield tag, data[start:at], at
+
+
+def _wide_items(data: bytes, at: int) -> Iterator[tuple[int, bytes, int]]:
+    """The same in the wide framing; an item without a property's number or of an unknown kind ends them.
+
+    A long binary value may hold the records of inner controls, so the item
+    ends before its bytes.
+    """
+    while at + FRAME_BYTES <= len(data):
+        tag, number, kind, size = u32(data, at), u16(data, at + 4), u32(data, at + 6), u32(data, at + 14)
+        start = at + FRAME_BYTES
+        if tag > 0xFF or not number or kind not in VALUE_KINDS or size > len(data) - start:
+            return
+        inner = kind == BINARY and size > LONGEST
+        yield tag, b"" if inner else data[start : start + size], start if inner else start + size
+        at = start + size
+
+
+def _filled(out: Record, items: Iterator[tuple[int, bytes, int]]) -> Record:
+    """``out`` with the values of its items, of several with one meaning the first."""
+    meaning = ITEMS[out.code]
+    for tag, raw, end in items:
+        label, width = meaning.get(tag), _width(tag)
+        out.end = max(out.end, end)
         if width < 0:
-            if at + 2 > len(data) or at + 2 + data[at + 1] > len(data):
-                break
-            raw = data[at + 2 : at + 2 + data[at + 1]]
             text = _text(raw)
             if tag == NAME and text and not out.name:
                 out.name = text
             elif label and text:
                 out.values.setdefault(label, text[5:] if label == "SourceObject" and text.lower().startswith("form.") else text)
-            at += 2 + len(raw)
-        else:
-            if at + 1 + width > len(data):
-                break
-            if label:
-                number = 1 if not width else data[at + 1] if width == 1 else u16(data, at + 1) if width == 2 else u32(data, at + 1)
-                if not width:
-                    value = "true"
-                elif label in COLOURS:
-                    value = colour(number)
-                else:
-                    if label in SIGNED and number >> (8 * width - 1):
-                        number -= 1 << 8 * width
-                    value = str(number + 1 if label == "BoundColumn" else number)
-                out.values.setdefault(label, value)
-            at += 1 + width
-        out.end = at
+        elif label and not width:
+            out.values.setdefault(label, "false" if raw and not any(raw) else "true")
+        elif label and raw:
+            number = int.from_bytes(raw, "little")
+            if label in COLOURS:
+                value = colour(number & 0xFFFFFFFF)
+            else:
+                if label in SIGNED and number >> (8 * len(raw) - 1):
+                    number -= 1 << 8 * len(raw)
+                value = str(number + 1 if label == "BoundColumn" else number)
+            out.values.setdefault(label, value)
     return out
 
 
-def packed_records(data: bytes) -> list[Record]:
-    """All named records of a design stream, in order; bytes that belong to no record are passed over."""
+def record_at(data: bytes, start: int) -> Record | None:
+    """The packed record whose marker stands at ``start``, or None."""
+    if start + 3 > len(data) or data[start] not in (0xFD, 0xFE) or data[start + 2] or data[start + 1] not in ITEMS:
+        return None
+    return _filled(Record(data[start + 1], start, start + 3), _packed_items(data, start + 3))
+
+
+def wide_record_at(data: bytes, start: int) -> Record | None:
+    """The widely framed record whose marker stands at ``start``, or None; a second type may stand before its items."""
+    if start + 6 > len(data) or data[start] not in (0xFD, 0xFE) or any(data[start + 1 : start + 4]) or data[start + 5] or data[start + 4] not in ITEMS:
+        return None
+    for first in (start + 6, start + 8):
+        out = _filled(Record(data[start + 4], start, first), _wide_items(data, first))
+        if out.end > first:
+            return out
+    return None
+
+
+def _records(data: bytes, at_marker: Callable[[bytes, int], Record | None]) -> list[Record]:
     out, at = [], 0
     while at < len(data):
-        found = record_at(data, at) if data[at] in (0xFD, 0xFE) else None
+        found = at_marker(data, at) if data[at] in (0xFD, 0xFE) else None
         if found is not None and found.name:
             out.append(found)
             at = found.end
         else:
             at += 1
     return out
+
+
+def packed_records(data: bytes) -> list[Record]:
+    """All named records of a packed design stream, in order; bytes that belong to no record are passed over."""
+    return _records(data, record_at)
+
+
+def design_records(data: bytes) -> list[Record]:
+    """All named records of a design stream of either framing."""
+    if len(data) > 1 and u16(data, 0) == WIDE and (wide := _records(data, wide_record_at)):
+        return wide
+    return packed_records(data)

@@ -1,7 +1,7 @@
 import struct
 
 from tamarack.sources.jet import forms
-from tamarack.sources.jet.records import colour, packed_records
+from tamarack.sources.jet.records import colour, design_records, packed_records
 from tests.test_jet_forms import listing
 
 
@@ -49,3 +49,40 @@ def test_design_takes_packed_values():
     by_name = {c.name: {p.name: p for p in c.properties} for c in design.controls}
     assert by_name["TXTONE"]["Left"].value == "-15" and by_name["TXTONE"]["Left"].id == 0x36 and by_name["TXTONE"]["BackColor"].value_type == "Color"
     assert by_name["cbo"]["ColumnWidths"].value_type == "Text" and by_name["Detail"]["Height"].value == "5000"
+
+
+def widened(record, inner=b""):
+    """A packed record in the wide framing, with other kinds for numbers, texts and bytes."""
+    out = bytearray(struct.pack("<IH", record[0], record[1]))
+    at = 3
+    while at < len(record):
+        tag = record[at]
+        if tag >= 0xC0:
+            raw = record[at + 2 : at + 2 + record[at + 1]]
+            at += 2 + len(raw)
+            kind = 10 if tag != 0xE7 else 11
+        else:
+            width = 0 if tag < 0x30 else 1 if tag < 0x60 else 2 if tag < 0x9C else 4
+            raw = record[at + 1 : at + 1 + width]
+            at += 1 + width
+            kind = {0: 1, 1: 2, 2: 3, 4: 4}[width]
+        out += struct.pack("<IHIII", tag, 7, kind, 4, len(raw)) + raw
+    if inner:
+        out += struct.pack("<IHIII", 0xE9, 9, 11, 0, len(inner)) + inner
+    return bytes(out)
+
+
+def test_wide_framing_gives_the_same_records():
+    packed = BOX + COMBO + SECTION
+    wide = b"\x14\x00" + bytes(8) + widened(BOX) + b"noise\xfd\x00\x00" + widened(COMBO) + widened(SECTION)
+    strip = lambda records: [(r.code, r.name, r.values) for r in records]
+    assert strip(design_records(wide)) == strip(design_records(packed)) == strip(packed_records(packed))
+    # inner controls stand in a long binary value of their tab
+    inner = bytes(200) + widened(BOX) + bytes(60)
+    assert strip(design_records(b"\x14\x00" + widened(SECTION, inner) + widened(COMBO))) == strip(packed_records(SECTION + BOX + COMBO))
+    for cut in range(0, len(wide), 7):
+        design_records(wide[:cut])
+    # a type of its own may stand before the items, and a packed stream may start with the same word
+    twice = widened(COMBO)
+    assert strip(design_records(b"\x14\x00" + twice[:6] + b"\x70\x00" + twice[6:])) == strip(packed_records(COMBO))
+    assert strip(design_records(b"\x14\x00" + BOX)) == strip(packed_records(BOX))
