@@ -3,8 +3,10 @@
 A record is FD or FE, the low byte of the control's type, 0, and items up to
 the next record: a flag alone (below 0x30), or a tag with one byte (to 0x5F),
 two (to 0x9B), four (to 0xBB), or a length and as many bytes (from 0xC0).
-Tag 0xDC holds the control's name.  Only values that stand in a record are
-given; defaults that the designer leaves out are not filled in.
+Tag 0xDC holds the control's name.  Records without one before the first
+control are templates of their control type: sizes that a control's record
+leaves out are the template's, else the designer's own.  Other values that a
+record leaves out are not filled in.
 
 Access 2003 frames the same items wider: the marker and each tag take four
 bytes, and a tag is followed by the property's number, its kind, the size of
@@ -41,6 +43,8 @@ COLOURS = frozenset(("BackColor", "ForeColor", "BorderColor"))
 WIDE, FRAME_BYTES = 0x0014, 18
 VALUE_KINDS = frozenset((1, 2, 3, 4, 6, 8, 9, 10, 11, 12))
 BINARY, LONGEST = 11, 255
+# Sizes in twips that the designer gives a new control of a type.
+SIZES = {0x6F: {"Width": "1440"}, 0x68: {"Height": "360"}, 0x69: {"Height": "240"}, 0x65: {"Height": "720"}}
 SIGNED = frozenset(("Left", "Top", "OptionValue"))
 
 
@@ -150,13 +154,21 @@ def wide_record_at(data: bytes, start: int) -> Record | None:
 
 def _records(data: bytes, at_marker: Callable[[bytes, int], Record | None]) -> list[Record]:
     out, at = [], 0
+    templates: dict[int, dict[str, str]] = {}
     while at < len(data):
         found = at_marker(data, at) if data[at] in (0xFD, 0xFE) else None
         if found is not None and found.name:
             out.append(found)
             at = found.end
         else:
+            if found is not None and not out:
+                templates.setdefault(found.code, found.values)
             at += 1
+    for r in out:
+        for label in ("Width", "Height"):
+            size = templates.get(r.code, {}).get(label) or SIZES.get(r.code, {}).get(label)
+            if size is not None:
+                r.values.setdefault(label, size)
     return out
 
 

@@ -86,3 +86,13 @@ def test_wide_framing_gives_the_same_records():
     twice = widened(COMBO)
     assert strip(design_records(b"\x14\x00" + twice[:6] + b"\x70\x00" + twice[6:])) == strip(packed_records(COMBO))
     assert strip(design_records(b"\x14\x00" + BOX)) == strip(packed_records(BOX))
+
+
+def test_templates_and_the_designers_sizes():
+    button, combo, line = (bytes([0xFD, code, 0]) + text(0xDC, name) for code, name in ((0x68, "go"), (0x6F, "pick"), (0x65, "frame")))
+    values = lambda data: {r.name: (r.values.get("Width"), r.values.get("Height")) for r in design_records(data)}
+    assert values(button + combo + line) == {"go": (None, "360"), "pick": ("1440", None), "frame": (None, "720")}
+    templates = b"\xfd\x68\x00" + word(0x63, 420) + b"\xfd\x6f\x00\x32\x02" + word(0x65, 900) + word(0x66, 270) + b"\xfd\x65\x00\x31\x03\x32\x00"
+    assert values(templates + button + combo + line) == {"go": (None, "420"), "pick": ("900", "270"), "frame": (None, "720")}
+    # what a record says itself stays, and a nameless record behind the first control is none's template
+    assert values(combo[:3] + word(0x65, 77) + combo[3:] + b"\xfd\x6f\x00" + word(0x65, 900) + b"\xfd\x6f\x00" + text(0xDC, "late")) == {"pick": ("77", None), "late": ("1440", None)}
