@@ -22,6 +22,11 @@ def _suspect(low: str) -> bool:
     return any(w in low for w in _SIGNS)
 
 
+def may_advertise(text: str) -> bool:
+    """Whether ``dialogue`` may leave out a line of an advert or credit; sure where it is false."""
+    return _suspect(text.lower())
+
+
 def _without_adverts(cue: str) -> str:
     return "\n".join(line for line in cue.split("\n") if not (_suspect(line.lower()) and (_ADVERT.search(line) or _CREDIT.search(line))))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarack.llm.cues import dialogue
+from tamarack.llm.cues import dialogue, may_advertise
 from tamarack.workspace import settle
 
 #: Words of items handled in one pass over the index; more items are taken in blocks.
@@ -139,7 +139,7 @@ def _deletions(w: str) -> set[str]:
 def readings(text: str) -> list[list[bytes]]:
     """The canonical words of a document without its adverts, and with them where it has any, as an item may hold an address itself."""
     own = words(" ".join(dialogue(text)))
-    whole = words(" ".join(dialogue(text, adverts=True)))
+    whole = words(" ".join(dialogue(text, adverts=True))) if may_advertise(text) else own
     return [x for x in ([own] if own == whole else [own, whole]) if x]
 
 
