@@ -167,15 +167,19 @@ ctl AS (
     FROM (SELECT export_id, route, path, unnest(a) AS item, generate_subscripts(a, 1) - 1 AS k FROM (SELECT export_id, route, path, {_ARRAY.format('v')} AS a FROM (SELECT export_id, route, path, {_ci('obj', 'Controls')} AS v FROM ctl))) WHERE json_type(item) = 'OBJECT')
 SELECT export_id, export_id || ':' || route || ':' || path AS node_key, parent_key, path, CAST(ordinal AS INTEGER) AS ordinal, {_CELL.format(_ci('obj', 'Name'))} AS name, {_CELL.format(_ci('obj', 'Type'))} AS type,
     {_WHOLE.format("coalesce(json_extract(obj, '$.TypeCode'), json_extract(obj, '$.typecode'), json_extract(obj, '$.typeCode'), json_extract(obj, '$.TYPECODE'))")} AS typecode, {_WHOLE.format(_ci('obj', 'Left'))} AS "left", {_WHOLE.format(_ci('obj', 'Top'))} AS top, {_CELL.format(_ci('obj', 'Caption'))} AS caption FROM ctl"""
+ORACLES["p1_below"] = f"""WITH RECURSIVE {_PARENTS}
+SELECT path[k + 1] AS ancestor_id, id, CAST(k AS INTEGER) AS distance FROM (SELECT id, path, unnest(range(1, CASE WHEN looped THEN list_position(path, cur) ELSE len(path) END)) AS k FROM ends)"""
 _P4 = ORACLES["p4_found"][: ORACLES["p4_found"].index("SELECT came.file_name")].rstrip()
-ORACLES["p4_layout"] = f"""WITH RECURSIVE{_P4[4:]},
+_ENDS = f"""WITH RECURSIVE{_P4[4:]},
 steps AS (SELECT nc.db_name, f.prev AS no, nc.tn, oc.cn, nc.file_no AS no2, nc.tn AS tn2, nc.cn AS cn2 FROM nc JOIN oc USING (db_name, file_no, tn, cn) JOIN files f USING (db_name, file_no)
     UNION ALL SELECT ren.db_name, f.prev, ren.tn, ren.old, ren.file_no, ren.tn, ren.cn FROM ren JOIN files f USING (db_name, file_no)
     UNION ALL SELECT c.db_name, c.file_no, c.tn, c.cn, came.file_no, came.tn, c.cn FROM came JOIN gone ON gone.db_name = came.db_name AND gone.file_no = came.file_no AND gone.layout = came.layout AND gone.k = came.k
         JOIN files f ON f.db_name = came.db_name AND f.file_no = came.file_no JOIN c ON c.db_name = came.db_name AND c.file_no = f.prev AND c.tn = gone.tn),
-reach AS (SELECT db_name, file_no, file_name, kind, file_no AS no, tn, cn FROM c
-    UNION ALL SELECT r.db_name, r.file_no, r.file_name, r.kind, s.no2, s.tn2, s.cn2 FROM reach r JOIN steps s ON s.db_name = r.db_name AND s.no = r.no AND s.tn = r.tn AND s.cn = r.cn),
-ends AS (SELECT r.* FROM reach r ANTI JOIN steps s ON s.db_name = r.db_name AND s.no = r.no AND s.tn = r.tn AND s.cn = r.cn),
+reach AS (SELECT db_name, file_no, file_name, kind, tn AS old_table, cn AS old_column, file_no AS no, tn, cn FROM c
+    UNION ALL SELECT r.db_name, r.file_no, r.file_name, r.kind, r.old_table, r.old_column, s.no2, s.tn2, s.cn2 FROM reach r JOIN steps s ON s.db_name = r.db_name AND s.no = r.no AND s.tn = r.tn AND s.cn = r.cn),
+ends AS (SELECT r.* FROM reach r ANTI JOIN steps s ON s.db_name = r.db_name AND s.no = r.no AND s.tn = r.tn AND s.cn = r.cn)"""
+ORACLES["p4_columns"] = f"{_ENDS} SELECT db_name, file_no, file_name, old_table, old_column, kind, tn AS table_name, cn AS col_name FROM ends"
+ORACLES["p4_layout"] = f"""{_ENDS},
 grouped AS (SELECT db_name, no, tn, cn, max(coalesce(nullif(list_position(['1', '2', '3', '4', '5', '16', '6', '7', '8', '10', '12', '15', '9', '11', '18'], kind), 0), 10)) AS widest, bool_or(kind IN ('8', '9', '11')) AS odd, count(DISTINCT kind) AS n_types,
     array_to_string(list_sort(list(DISTINCT kind)), ',') AS access_types, arg_min(file_name, file_no) AS first_file, arg_max(file_name, file_no) AS last_file, count(DISTINCT file_no) AS n_files FROM ends GROUP BY ALL)
 SELECT db_name, tn AS table_name, cn AS col_name, CASE WHEN n_types > 1 AND odd THEN 'string' ELSE (['boolean', 'smallint', 'smallint', 'int', 'decimal(19,4)', 'decimal(28,6)', 'double', 'double', 'timestamp_ntz', 'string', 'string', 'string', 'binary', 'binary', 'int'])[widest] END AS spark_type,
