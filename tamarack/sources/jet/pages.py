@@ -77,12 +77,25 @@ def find_file(path: str) -> str:
     raise FileNotFoundError(path)
 
 
+def opened(path: str) -> tuple[object, int, str]:
+    """A file to read from any place, its size and its path: a local path, or an address such as hdfs://host/file that Arrow knows to open."""
+    if "://" not in path or path.startswith("file://"):
+        found = find_file(path.removeprefix("file://"))
+        return open(found, "rb"), os.path.getsize(found), found  # noqa: SIM115
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path)
+    info = system.get_file_info(inner)
+    if info.type != fs.FileType.File:
+        raise FileNotFoundError(path)
+    return system.open_input_file(inner), info.size, path
+
+
 class PageFile:
     """Pages of one database file, decrypted; the last ones read are kept."""
 
     def __init__(self, path: str, keep: int = 256):
-        self.path = find_file(path.removeprefix("file://"))
-        self._file = open(self.path, "rb")  # noqa: SIM115
+        self._file, self.size, self.path = opened(path)
         head = self._file.read(4096)
         if len(head) < 0x98 or head[:4] != b"\x00\x01\x00\x00":
             self._file.close()
@@ -95,7 +108,6 @@ class PageFile:
         plain = rc4(HEADER_KEY, head[0x18 : 0x18 + (126 if self.version == 0 else 128)])
         self.code_page = u16(plain, 0x3C - 0x18)
         self.key = u32(plain, 0x3E - 0x18)
-        self.size = os.path.getsize(self.path)
         self.page_count = self.size // self.layout.page_size
         self._kept: OrderedDict[int, bytes] = OrderedDict()
         self._keep = keep

@@ -105,6 +105,28 @@ def test_search_path(tmp_path, monkeypatch):
         assert "many" in f.tables()
 
 
+def test_files_of_other_systems(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    path, _ = build(tmp_path / "far.mdb")
+    asked = []
+
+    class Far:
+        @staticmethod
+        def from_uri(uri):
+            asked.append(uri)
+            return fs.LocalFileSystem(), path if uri.endswith("far.mdb") else "/none"
+
+    monkeypatch.setattr(fs, "FileSystem", Far)
+    with JetFile("hdfs://host/far.mdb") as f:
+        assert f.tables() == ["typed", "many", "wide"] and len(list(f.rows(f.table("many")))) == 198
+    with pytest.raises(FileNotFoundError):
+        JetFile("hdfs://host/none.mdb")
+    with JetFile(f"file://{path}") as f:
+        assert f.path == path
+    assert asked == ["hdfs://host/far.mdb", "hdfs://host/none.mdb"]
+
+
 def test_rc4_vector():
     assert rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
 
