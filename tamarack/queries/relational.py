@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tamarack.engine import Engine
-from tamarack.paging import PageRequest, Pager, query_page
+from tamarack.paging import PageError, PageRequest, Pager, query_page
 from tamarack.plans.legacy import legacy_query
+from tamarack.plans.lexer import AccessSqlError
 from tamarack.sources.jet.saved import QueryRow, query_sql
 
 #: Saved queries that the view queries use.
@@ -203,6 +204,57 @@ def fn_date_now(spark: SparkSession, d: str) -> DataFrame:
     return engine(spark, d).query('SELECT n_nationkey, IIf(Date() <= Now(), 1, 0) AS begun, IIf(DateValue(Now()) = Date(), 1, 0) AS today, IIf(Format(Date(), "hh:nn:ss") = "00:00:00", 1, 0) AS midnight FROM [nation]')
 
 
+#: Statements that can't be run.
+REJECTED = [
+    "SELECT n_name FROM nation WHERE Count(*) > 1",
+    "SELECT n_name FROM nation GROUP BY Count(*)",
+    "SELECT Nothing(n_name) FROM nation",
+    "SELECT n_name FROM nowhere",
+    "SELECT no_column FROM nation",
+    "SELECT n_name FROM nation WHERE n_name = 'open",
+    "SELECT n_name FROM",
+    "SELECT n_name FROM nation ORDER BY 7",
+    "SELECT n_name FROM nation WHERE n_nationkey = #13/45/2020#",
+    "DELETE FROM nation",
+]
+
+
+def rejected_statements(spark: SparkSession, d: str) -> DataFrame:
+    e = engine(spark, d)
+
+    def refused(sql: str) -> int:
+        try:
+            e.compile(sql)
+        except AccessSqlError:
+            return 1
+        return 0
+
+    return spark.createDataFrame([(k, refused(sql)) for k, sql in enumerate(REJECTED)], "place int, refused int")
+
+
+def refused_cursors(spark: SparkSession, d: str) -> DataFrame:
+    e = engine(spark, d)
+    cursor = query_page(e, ORDERED, request=PageRequest(size=5)).next_cursor
+    cases = [(ORDERED, {}, PageRequest(5, after=cursor, before=cursor)), (ORDERED, {}, PageRequest(1001)), (ORDERED, {}, PageRequest(5, after="!")), (f"{ORDERED} DESC", {}, PageRequest(5, after=cursor)), (ORDERED, {"p": 1}, PageRequest(5, after=cursor)), ("SELECT DISTINCT o_orderstatus FROM [orders]", {}, PageRequest(5))]
+
+    def refused(sql: str, params: dict, request: PageRequest) -> int:
+        try:
+            query_page(e, sql, params, request)
+        except PageError:
+            return 1
+        return 0
+
+    return spark.createDataFrame([(k, refused(*case)) for k, case in enumerate(cases)], "place int, refused int")
+
+
+def list_views(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(n,) for n in engine(spark, d).views()], "view_name string")
+
+
+def typed_rows(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(list(engine(spark, d).rows("SELECT r_regionkey, r_name FROM [region]", tag="typed")), "r_regionkey int, r_name string")
+
+
 def _saved(rows: list[QueryRow], params: dict) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: engine(spark, d).query(query_sql(rows), params)
 
@@ -222,6 +274,10 @@ OTHERS: dict[str, tuple[Callable, str]] = {
     "describe_table": (describe_table, "SELECT unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS column_name"),
     "row_count": (row_count, "SELECT count(*) AS n FROM lineitem"),
     "fn_date_now": (fn_date_now, "SELECT n_nationkey, 1 AS begun, 1 AS today, 1 AS midnight FROM nation"),
+    "rejected_statements": (rejected_statements, "SELECT CAST(unnest(range(10)) AS INTEGER) AS place, 1 AS refused"),
+    "refused_cursors": (refused_cursors, "SELECT CAST(unnest(range(6)) AS INTEGER) AS place, 1 AS refused"),
+    "list_views": (list_views, "SELECT unnest(['asian_customers', 'asian_nations', 'big_orders', 'lines_from']) AS view_name"),
+    "typed_rows": (typed_rows, "SELECT r_regionkey, r_name FROM region"),
     **{n: (_saved(rows, p), o) for n, (rows, p, o) in SAVED.items()},
     **{n: (_legacy(sql), o) for n, (sql, o) in LEGACY.items()},
 }
