@@ -1,4 +1,4 @@
-"""Writes small Jet 4 files, for tests only."""
+"""Writes small Jet 4 files, for tests and for the queries over generated files; no sink."""
 
 from __future__ import annotations
 
@@ -168,12 +168,15 @@ class JetWriter:
     def object(self, ident, name, kind, flags=0, properties=None):
         self.catalog.append((ident, name, kind, flags, properties))
 
-    def save(self, path):
+    def content(self):
+        """The whole file; nothing may be added afterwards."""
         columns = [("Id", 4), ("Name", 10), ("Type", 3), ("Flags", 4), ("LvProp", 11)]
         rows = [self.row(columns, (i, n, k, f if f < 2**31 else f - 2**32, self.long(p) if p is not None else None)) for i, n, k, f, p in [(2, "MSysObjects", 1, 0x80000000, None), *self.catalog]]
         data = [self.rows_page(rows[k : k + 8], 2) for k in range(0, len(rows), 8)]
         self.define(2, columns, data, len(rows))
+        return b"".join(rc4(struct.pack("<I", self.key ^ n), bytes(p)) if self.key and n else bytes(p) for n, p in enumerate(self.pages))
+
+    def save(self, path):
         with open(path, "wb") as f:
-            for n, p in enumerate(self.pages):
-                f.write(rc4(struct.pack("<I", self.key ^ n), bytes(p)) if self.key and n else bytes(p))
+            f.write(self.content())
         return str(path)

@@ -11,7 +11,7 @@ from tamarack.sources.jet.pages import JetError, rc4
 from tamarack.sources.jet.saved import QueryRow, query_sql
 from tamarack.sources.jet.source import open_database
 from tamarack.sources.jet.tables import JetFile
-from tests.jet_writer import JetWriter
+from tamarack.sources.jet.writer import JetWriter
 
 GUID = uuid.UUID("12345678-1234-5678-1234-567812345678")
 COLUMNS = [("b", 1), ("by", 2), ("i", 3), ("l", 4), ("m", 5), ("f", 6), ("d", 7), ("t", 8), ("bin", 9), ("s", 10), ("ole", 11), ("memo", 12), ("g", 15), ("n", 16, 3)]

@@ -9,7 +9,7 @@ from tamarack.sources.jet import forms
 from tamarack.sources.jet.compound import Compound
 from tamarack.sources.jet.pages import JetError
 from tamarack.sources.jet.tables import JetFile
-from tests.jet_writer import JetWriter
+from tamarack.sources.jet.writer import JetWriter
 
 
 def text_property(ident, text):
