@@ -245,9 +245,10 @@ def _score(models: dict[str, tuple[float, dict[str, float]]], doc_type: pa.DataT
         for batch in batches:
             best = [[] for _ in names]
             for text, spoken in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                said: dict[str, list] = {}
+                # a sentence said twice has its votes twice
+                said: dict[str, dict[str, str]] = {}
                 for s in spoken or ():
-                    said.setdefault(s["sentence"], []).append(s)
+                    said.setdefault(s["sentence"], {})[s["category"]] = s["votes"]
                 low = [-99.0] * len(names)
                 for s in set((text or "").split("\n")):
                     z = known.get(s)
@@ -255,9 +256,8 @@ def _score(models: dict[str, tuple[float, dict[str, float]]], doc_type: pa.DataT
                         if len(known) > KEPT:
                             known.clear()
                         z = score(s)
-                        for vote in said.get(s, ()):
-                            c = vote["category"]
-                            z[place[c]] += votes[c, ""] + sum(votes[c, n] for n, v in zip(voters[c], vote["votes"]) if v != "0")
+                        for c, pattern in said.get(s, {}).items():
+                            z[place[c]] += votes[c, ""] + sum(votes[c, n] for n, v in zip(voters[c], pattern) if v != "0")
                         known[s] = z
                     low = list(map(max, low, z))
                 for k, z in enumerate(low):

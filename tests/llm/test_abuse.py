@@ -217,3 +217,13 @@ def test_masks_of_any_size_and_place():
         assert voters.plain(f"you {masked}.") == [f"you {word}"], masked
     assert sum(voters.votes(voters.plain("You b**ch!")[0])["abuse"]) > 1
     assert voters.plain("a note* s*e*x ***") == ["a note sex"] and voters.filled("f***") is None
+
+
+def test_repetition_within_a_document_changes_nothing(spark, corpus):
+    docs, _ = corpus
+    lines = [*HARMLESS, "The city was hit by the plague.", *[x for v in PLANTED.values() for x in v]]
+    more = [(4000 + 10 * k + n, "\n\n".join([line] * n), "r") for k, line in enumerate(lines) for n in (1, 2, 5)]
+    scores = {r["doc_id"]: tuple(r)[1:] for r in abuse.content_scores(spark.createDataFrame(docs + more, "doc_id long, text string, source string")).filter("doc_id >= 4000").collect()}
+    for k in range(len(lines)):
+        once, twice, often = (scores[4000 + 10 * k + n] for n in (1, 2, 5))
+        assert np.allclose(once, twice, atol=1e-9) and np.allclose(once, often, atol=1e-9), lines[k]
