@@ -71,7 +71,7 @@ VOTERS: dict[str, list[tuple[str, re.Pattern, int]]] = {
         ("told", re.compile(r"\b(?:in the (?:war|story|play|film|book|legend)|the villain|once upon)\b"), -1),
     ],
     "hate": [
-        ("degrading", re.compile(rf"\b{_DEG}\b"), 1),
+        ("degrading", re.compile(rf"\b(?!(?<!uma )praga\b)(?<!piece of ){_DEG}\b"), 1),
         ("degraded", re.compile(rf"\b(?:are|re|is|all|just|sont|son|sind|sao|cest|c est) (?:all |just |nothing but |only |a |an |des |de la |du |un |una |une |ein |eine |nur |todos |doch |bloss ){{0,4}}{_DEG}\b"), 1),
         ("eradicate", re.compile(r"\b(?:should|must|ought to|have to|has to|need to) (?:all )?be (?:\w+ )?(?:exterminated|wiped out|driven out|burned|locked up|eliminated|killed|gassed|hanged|shot|expelled|put down)\b|\bil faut (?:tous )?les (?:exterminer|eliminer|liminer|chasser|tuer|bruler)\b|\bhay que (?:exterminarlos|echarlos|matarlos|eliminarlos|quemarlos)\b|\bgehoren (?:alle )?(?:vernichtet|ausgerottet|vertrieben|vergast|verbrannt|eingesperrt)\b|\btem de ser exterminad"), 1),
         ("breed", re.compile(r"\bbreed like\b|\bby blood\b|\bthe only good one\b|\bthe only good \w+ is a dead\b|\bno son personas\b|\bsous hommes\b|\buntermenschen\b|\bsubhumans?\b|\bfilthy (?:race|breed|people)\b"), 1),
