@@ -12,9 +12,12 @@ tables are never collected.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,8 +52,8 @@ FLOW = 0.6
 NAME = 0.6
 #: Scores are carried on until no pair moves by more than this.
 EPSILON = 1e-4
-#: Pairs of a gone and a come name from which only those are built that share a neighbour's name; 255 columns make fewer.
-DENSE = 100_000
+#: Pairs that a step of the flooding takes at once; their number doesn't change the scores.
+BLOCK = 1 << 20
 
 
 def type_code(code: Column, name: Column) -> Column:
@@ -88,14 +91,57 @@ def likeness(a: str, b: str) -> float:
     return 2 * len(x & y) / (len(x) + len(y))
 
 
-def consistent(scored: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
-    """Of (score, old place, new place) the best pairs, each place once; ties to the first by place."""
-    olds, news, out = set(), set(), []
-    for score, i, j in sorted(scored, key=lambda x: (-x[0], x[1], x[2])):
-        if i not in olds and j not in news:
-            olds.add(i)
-            news.add(j)
+class Names:
+    """Names by the pairs of letters they hold, for the likeness of another name to all of them at once."""
+
+    def __init__(self, names: list[str]):
+        self.names = names
+        places: dict[str, list[int]] = {}
+        for j, name in enumerate(names):
+            for gram in _grams(name):
+                places.setdefault(gram, []).append(j)
+        self.common = frozenset(g for g, js in places.items() if len(js) == len(names))
+        self.places = {g: np.array(js, dtype=np.intp) for g, js in places.items() if g not in self.common}
+        sizes, self.size = np.unique([len(_grams(n)) for n in names], return_inverse=True)
+        self.n_sizes = len(sizes)
+
+    def likeness(self, name: str) -> np.ndarray:
+        grams = _grams(name)
+        shared = np.full(len(self.names), len(grams & self.common), dtype=np.intp)
+        for gram in grams - self.common:
+            if gram in self.places:
+                shared[self.places[gram]] += 1
+        # names with as many pairs, of which as many are shared, are equally like: one of each kind is compared
+        kind = shared * self.n_sizes + self.size
+        one = np.full((len(grams) + 1) * self.n_sizes, -1, dtype=np.intp)
+        one[kind] = np.arange(len(self.names))
+        like = np.zeros(len(one))
+        for k in np.flatnonzero(one >= 0):
+            like[k] = likeness(name, self.names[one[k]])
+        return like[kind]
+
+
+def consistent(n_old: int, n_new: int, scores: Callable[[int], np.ndarray]) -> list[tuple[float, int, int]]:
+    """The best (score, old place, new place) of all pairs, each place once; ties to the first by place.
+
+    ``scores`` gives an old place's scores with every new one.  An old place
+    waits under its best score with the new places that were free when it was
+    last looked at; where the first in line still has that score, no pair of
+    free places is better.  So no list of all pairs is kept or sorted.
+    """
+    free, out = np.ones(n_new, dtype=bool), []
+    waiting = [(-np.inf, i) for i in range(n_old)]
+    while waiting and len(out) < n_new:
+        bound, i = waiting[0]
+        left = np.where(free, scores(i), -np.inf)
+        j = int(left.argmax())
+        score = float(left[j])
+        if -score == bound:
+            heapq.heappop(waiting)
+            free[j] = False
             out.append((score, i, j))
+        else:
+            heapq.heapreplace(waiting, (-score, i))
     return out
 
 
@@ -103,14 +149,11 @@ def flood_tables(gone: list[str], came: list[str]) -> list[tuple[str, str, float
     """Pairs of a gone and a come table of one layout, with their score; as many as the fewer of them.
 
     All their columns match, so what flows in from them is whole and the
-    name decides.  Groups of more than DENSE pairs are paired in name order
-    beyond equal starts, as so many tables of one layout are numbered copies.
+    name decides, however many they are.
     """
     gone, came = sorted(gone), sorted(came)
-    if len(gone) * len(came) > DENSE:
-        return [(a, b, (1 - FLOW) * likeness(a, b) + FLOW) for a, b in zip(gone, came)]
-    scored = [((1 - FLOW) * likeness(a, b) + FLOW, i, j) for i, a in enumerate(gone) for j, b in enumerate(came)]
-    return [(gone[i], came[j], score) for score, i, j in consistent(scored)]
+    names = Names(came)
+    return [(gone[i], came[j], score) for score, i, j in consistent(len(gone), len(came), lambda i: (1 - FLOW) * names.likeness(gone[i]) + FLOW)]
 
 
 def flood_columns(columns: list[dict]) -> list[dict]:
@@ -124,38 +167,58 @@ def flood_columns(columns: list[dict]) -> list[dict]:
     """
     old = sorted((c for c in columns if c["old"]), key=lambda c: c["old"]["rank"])
     new = sorted((c for c in columns if c["new"]), key=lambda c: c["new"]["rank"])
-    at_old, at_new = {c["col_name"]: i for i, c in enumerate(old)}, {c["col_name"]: j for j, c in enumerate(new)}
+    at_new = {c["col_name"]: j for j, c in enumerate(new)}
     gone = [i for i, c in enumerate(old) if not c["new"]]
     came = [j for j, c in enumerate(new) if not c["old"]]
-    pairs = {(i, at_new[c["col_name"]]) for i, c in enumerate(old) if c["new"]}
-    kept = set(pairs)
-    if len(gone) * len(came) <= DENSE:
-        pairs |= {(i, j) for i in gone for j in came}
-    else:
-        for side in ("left_name", "right_name"):
-            by = {}
-            for j in came:
-                by.setdefault(new[j]["new"][side], []).append(j)
-            pairs |= {(i, j) for i in gone for j in by.get(old[i]["old"][side], ())}
-    own = {(i, j): NAME * likeness(old[i]["col_name"], new[j]["col_name"]) + (1 - NAME) * (old[i]["old"]["kind"] == new[j]["new"]["kind"]) for i, j in pairs}
-    score, table, moved = dict(own), 1.0, 1.0
-
-    def beside(i: int, j: int) -> float:
-        # two tables' edges meet as a pair of like neighbours does
+    kept = [(i, at_new[c["col_name"]]) for i, c in enumerate(old) if c["new"]]
+    as_kept, as_gone, as_came = {p: k for k, p in enumerate(kept)}, {i: g for g, i in enumerate(gone)}, {j: c for c, j in enumerate(came)}
+
+    # scores in one line: two fixed ones, of what is no pair and of two tables' edges, which meet as a pair of like
+    # neighbours does; the kept pairs; a row for each gone column with a place for each come one
+    apart, edge, first = 0, 1, 2 + len(kept)
+    rows = np.arange(first, first + len(gone) * len(came), dtype=np.int32).reshape(len(gone), len(came))
+    score = np.ones(first + rows.size)
+    score[apart] = 0.0
+    score[2:first] = [NAME * likeness(old[i]["col_name"], new[j]["col_name"]) + (1 - NAME) * (old[i]["old"]["kind"] == new[j]["new"]["kind"]) for i, j in kept]
+    names, kinds = Names([new[j]["col_name"] for j in came]), np.array([new[j]["new"]["kind"] for j in came], dtype=object)
+    pairs = score[first:].reshape(rows.shape)
+    for g, i in enumerate(gone):
+        pairs[g] = NAME * names.likeness(old[i]["col_name"]) + (1 - NAME) * (kinds == old[i]["old"]["kind"])
+    own = (1 - FLOW) * score[2:]
+
+    def place(i: int, j: int) -> int:
         if i < 0 or i >= len(old) or j < 0 or j >= len(new):
-            return float((i < 0 and j < 0) or (i >= len(old) and j >= len(new)))
-        return score.get((i, j), 0.0)
-
+            return edge if (i < 0 and j < 0) or (i >= len(old) and j >= len(new)) else apart
+        if i in as_gone and j in as_came:
+            return int(rows[as_gone[i], as_came[j]])
+        return 2 + as_kept[i, j] if (i, j) in as_kept else apart
+
+    def beside(step: int) -> np.ndarray:
+        """Where the score of the pair before or behind each pair stands."""
+        grid = np.full(rows.shape, apart, dtype=np.int32)
+        run = (np.diff(gone) == 1)[:, None] & (np.diff(came) == 1)
+        if step < 0:
+            grid[1:, 1:] = np.where(run, rows[:-1, :-1], apart)
+        else:
+            grid[:-1, :-1] = np.where(run, rows[1:, 1:], apart)
+        for i, j in [*kept, (-1, -1), (len(old), len(new))]:
+            if i - step in as_gone and j - step in as_came:
+                grid[as_gone[i - step], as_came[j - step]] = place(i, j)
+        return np.concatenate([np.array([place(i + step, j + step) for i, j in kept], dtype=np.int32), grid.ravel()])
+
+    left, right, table, moved = beside(-1), beside(1), 1.0, 1.0
+    now, after = score[2:], np.empty(len(own))
+    blocks = [tuple(x[start : start + BLOCK] for x in (own, left, right, now, after)) for start in range(0, len(own), BLOCK)]
     while moved > EPSILON:
-        after = {(i, j): (1 - FLOW) * own[i, j] + FLOW * (2 * beside(i - 1, j - 1) + 2 * beside(i + 1, j + 1) + table) / 5 for i, j in pairs}
-        moved = max((abs(after[p] - score[p]) for p in pairs), default=0.0)
-        score = after
-        best: dict[int, float] = {}
-        for (i, _), v in score.items():
-            best[i] = max(best.get(i, 0.0), v)
-        table = (1 - FLOW) + FLOW * sum(best.values()) / max(len(old), len(new), 1)
-    chosen = consistent([(score[p], *p) for p in pairs if p not in kept])
-    return [{"old_col_name": old[i]["col_name"], "new_col_name": new[j]["col_name"], "score": float(v)} for v, i, j in [*((score[p], *p) for p in sorted(kept)), *chosen]]
+        moved = 0.0
+        for own_part, before, behind, was, becomes in blocks:
+            np.add(own_part, FLOW * (2 * score[before] + 2 * score[behind] + table) / 5, out=becomes)
+            moved = max(moved, np.abs(becomes - was).max())
+        now[:] = after
+        best = score[2:first].tolist() + (pairs.max(axis=1).tolist() if came else [])
+        table = (1 - FLOW) + FLOW * sum(best) / max(len(old), len(new), 1)
+    chosen = [(v, gone[g], came[c]) for v, g, c in consistent(len(gone), len(came), lambda g: pairs[g])]
+    return [{"old_col_name": old[i]["col_name"], "new_col_name": new[j]["col_name"], "score": float(v)} for v, i, j in [*((score[2 + k], *p) for k, p in enumerate(kept)), *chosen]]
 
 
 def _tables_udf():

@@ -193,3 +193,52 @@ def test_flooding_never_loses_a_rename_by_the_rule():
         x, y = ends(a), ends(b)
         rule = {(c, d) for c in set(x) - set(y) for d in set(y) - set(x) if x[c][:3] == y[d][:3]}
         assert rule <= flooded([column(c, x.get(c), y.get(c)) for c in {**x, **y}]), (a, b)
+
+
+def words(n, seed):
+    import random
+
+    r = random.Random(seed)
+    return ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(10)) for _ in range(n)]
+
+
+def test_the_best_pairs_are_those_of_a_sorted_list_of_all_pairs():
+    import random
+
+    r = random.Random(8)
+    for _ in range(400):
+        names = list(dict.fromkeys("".join(r.choice("ab1") for _ in range(r.randint(1, 5))) for _ in range(r.randint(0, 25))))
+        cut = r.randint(0, len(names))
+        gone, came = sorted(names[:cut]), sorted(names[cut:])
+        want, olds, news = [], set(), set()
+        for score, i, j in sorted((-((1 - drift.FLOW) * drift.likeness(a, b) + drift.FLOW), i, j) for i, a in enumerate(gone) for j, b in enumerate(came)):
+            if i not in olds and j not in news:
+                olds.add(i)
+                news.add(j)
+                want.append((gone[i], came[j], -score))
+        assert drift.flood_tables(gone[::-1], came[::-1]) == want
+
+
+def test_many_tables_of_one_layout_are_matched_as_few_are(spark):
+    # the names that come are in another order by their first letters than those that go; 360 * 300 pairs
+    gone = words(360, 1)
+    came = {f"{999 - k}_{w}": w for k, w in enumerate(gone[:300])}
+    assert {(a, b) for a, b, _ in drift.flood_tables(gone, list(came))} == {(w, c) for c, w in came.items()}
+    assert {(a, b) for a, b, _ in drift.flood_tables(gone[:20], list(came)[:20])} == {(w, c) for c, w in list(came.items())[:20]}
+    layout = [("x", "Text"), ("y", "INT")]
+    got = changes(spark, {t: layout for t in gone}, {t: layout for t in came})
+    assert got == {("f2.mdb", c, "", "table_renamed") for c in came} | {("f2.mdb", w, "", "table_removed") for w in gone[300:]}
+
+
+def test_many_columns_are_matched_as_few_are(monkeypatch):
+    # every name changes, so no pair shares a neighbour but the first and the last; 400 * 400 pairs
+    def renamed(old):
+        new = [f"{w}_n" for w in old]
+        ends = lambda cols: [("10", a, b, n) for n, (a, b) in enumerate(zip(["^", *cols], [*cols[1:], "$"]), 1)]
+        return [column(c, s) for c, s in zip(old, ends(old))] + [column(c, None, s) for c, s in zip(new, ends(new))]
+
+    for n in (5, 400):
+        assert flooded(renamed(words(n, 2))) == {(w, f"{w}_n") for w in words(n, 2)}
+    whole = drift.flood_columns(renamed(words(40, 3)))
+    monkeypatch.setattr(drift, "BLOCK", 7)
+    assert drift.flood_columns(renamed(words(40, 3))) == whole
